@@ -209,7 +209,6 @@ def motor_chain() -> RuleChain:
         return F.concat(F.lit(f"{name} value "), value,
                         F.lit(" doesn't satisfy the YES/NO/NA requirement on any remaining candidate rate row."))
 
-    zd = T.nil_dep_class("nil_dep")
     tail = [
         Rule(c("cc_label"), c("cc_combined") | N.in_range(c("cc"), c("r_cc_min"), c("r_cc_max")),
              _range_detail(c("cc_label"), c("cc"))),
@@ -228,7 +227,7 @@ def motor_chain() -> RuleChain:
              code_detail("NCB", N.number_text("ncb"))),
         Rule(F.lit(K.POLICY_FILE_COLUMNS["cpa"]), coded(c("r_is_cpa"), c("cpa").between(1, 1000), c("cpa") == 0),
              code_detail("CPA", N.number_text("cpa"))),
-        Rule(F.lit(K.POLICY_FILE_COLUMNS["nil_dep"]), coded(c("r_is_zd"), zd == "YES", zd == "NO"),
+        Rule(F.lit(K.POLICY_FILE_COLUMNS["nil_dep"]), coded(c("r_is_zd"), c("zd") == "YES", c("zd") == "NO"),
              code_detail("Nil Dep", F.concat(F.lit("'"), F.coalesce(c("nil_dep"), F.lit("NAN")), F.lit("'")))),
     ]
     return RuleChain(
@@ -238,7 +237,7 @@ def motor_chain() -> RuleChain:
         lead_rate=["r_product", "r_sub_product", "r_fuel_type", "r_make_model_class"],
         tail_policy=[
             "cc", "cc_combined", "seating", "vehicle_age", "tariff", "inception", "make_model", "make_names", "rto",
-            "rto_names", "ncb", "cpa", "nil_dep",
+            "rto_names", "ncb", "cpa", "zd",
         ],
         tail_rate=[
             "r_cc_min", "r_cc_max", "r_sc_min", "r_sc_max", "r_vehicle_age_min", "r_vehicle_age_max", "r_tariff_min",

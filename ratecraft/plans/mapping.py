@@ -10,6 +10,7 @@ from ratecraft.operators import rulejoin as J
 from ratecraft.operators.amounts import premium_validation, with_amounts
 from ratecraft.operators.healthjoin import map_health
 from ratecraft.operators.resolve import resolve_codes, resolve_models
+from ratecraft.session import stage
 from ratecraft.sources.policies import motor_features, with_insurer, with_names
 
 RESULT_COLUMNS = [
@@ -35,7 +36,7 @@ def resolve_motor(features: DataFrame, rates: DataFrame, rto_master: DataFrame,
 def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     """Results of resolved motor features against normalised motor rates.
 
-    Two passes. The first joins on selective keys and finds the matches; the second works out masks only for policies
+    Features are staged once, since three branches read them. Then two passes. The first joins on selective keys and finds the matches; the second works out masks only for policies
     without a match, and for those with bad data, whose text lists the failed rules too.
     """
     chain = J.motor_chain()
@@ -48,7 +49,7 @@ def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     validation = premium_validation(
         F.col("sub_product"), F.col("vehproduct"), F.col("total_od_cell"), F.col("tp_premium_cell"), F.col("ncb_cell")
     )
-    checked = features.withColumn("data_errors", F.array_compact(F.array(combined, validation)))
+    checked = stage(features.withColumn("data_errors", F.array_compact(F.array(combined, validation))))
     clean = checked.where(F.size("data_errors") == 0)
     matched = J.resolve_groups(J.motor_matches(clean, rates, chain), J.motor_payload())
     unexplained = checked.join(matched.select("row_id"), "row_id", "left_anti")

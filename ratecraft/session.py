@@ -1,11 +1,14 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and staged tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDER: str | None = None
+
 
 def build_session(master: str | None = None, app_name: str = "ratecraft", **conf: str) -> SparkSession:
     """A session with the settings the operators expect; a cluster's own settings win over these."""
@@ -23,14 +26,23 @@ def build_session(master: str | None = None, app_name: str = "ratecraft", **conf
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, for a frame several outputs are built from.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    global _LOCAL_FOLDER
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if _LOCAL_FOLDER is None:
+        _LOCAL_FOLDER = tempfile.mkdtemp(prefix="ratecraft-stage-")
+    return _LOCAL_FOLDER
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes a frame several outputs are built from as a table in the shared folder and reads it back.
 
-    The folder is read from ``spark.checkpoint.dir``; only where it is unset (tests, a laptop) is a
-    local one created. Checkpoint files survive the loss of executors.
+    The source is then read once, lost executors cost no recomputation of it, and later joins see columns, filters and
+    true sizes of a parquet table.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ratecraft-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,6 +85,7 @@ def motor_features(policies: DataFrame, run_year: int) -> DataFrame:
         "ncb": N.plain_number("ncb"),
         "cpa": N.plain_number("cpa"),
         "nil_dep": F.upper(T.present("nil_dep")),
+        "zd": T.nil_dep_class("nil_dep"),
     }
     amounts = {"ncb_cell": c("ncb"), "total_od_cell": c("total_od"), "tp_premium_cell": c("tp_premium")}
     return policies.select("row_id", *[v.alias(k) for k, v in {**typed, **amounts}.items()])
