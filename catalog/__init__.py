@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mapping_queries"]
+MODULES = ["scalar_queries", "mapping_queries"]
 
 
 def load() -> tuple[dict, dict]:

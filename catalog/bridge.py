@@ -357,6 +357,42 @@ FROM {part}
 
 
 
+_MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+
+# Single messy cells of every kind a grid or label holds.
+VIEWS["cells"] = f"""
+SELECT o_orderkey AS id, o_custkey AS custkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price,
+  {pick('o_orderkey % 8', ['1,234', ' -- ', '33.90%', '', ' 999,999 ', 'abc', '-', None])} AS cell,
+  CASE WHEN o_orderkey % 8 = 6 THEN {_text('o_totalprice')} || '%' ELSE {_text('o_totalprice')} END AS amount,
+  {pick('o_orderkey % 9', ['TW', 'private car', 'GCV 4W', ' gcv 3w', 'PCV 3W', 'pcv 4w', 'MISCD', 'PCV 2W', 'Marine'])} AS product,
+  {pick('o_orderkey % 4', ['NA', 'Bike', '', None])} AS vehicle_class,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'ALLINDIA' ELSE 'magma_' || lower({pick('month(o_orderdate) - 1', _MONTHS)})
+    || {_two('year(o_orderdate) % 100')} || '_cg2' END AS label,
+  {pick('o_orderkey % 6', ['TG05', 'or02', 'GC', 'MH12', '9X', 'M1'])} AS code,
+  year(o_orderdate) - o_custkey % 12 AS made_year,
+  CASE WHEN o_orderkey % 3 = 0 THEN {_two('day(o_orderdate)')} || '/' || {_two('month(o_orderdate)')} || '/' || {_two('year(o_orderdate) % 100')}
+       WHEN o_orderkey % 3 = 1 THEN {_text('day(o_orderdate)')} || ' ' || {pick('month(o_orderdate) - 1', [m.title() for m in _MONTHS])} || ' '
+         || {_text('year(o_orderdate)')} ELSE {_text('year(o_orderdate)')} || '-' || {_text('month(o_orderdate)')} || '-'
+         || {_text('day(o_orderdate)')} END AS written_date
+FROM {{orders}}
+"""
+
+# Stored failure texts.
+VIEWS["reason"] = f"""
+SELECT row_id AS id, file_id, inception AS seen_on, insurer_raw, product, make_model,
+  CASE linenumber % 5
+    WHEN 1 THEN 'Failed on: Policy: vehicle make / model — Vehicle make/model ''' || make_model || ''' did not share at least 2 words with any'
+      || ' MakeModelMaster cluster entry — add it to MakeModelMaster or check the MIS value.'
+    WHEN 2 THEN 'Failed on: Policy: rto no — RTO ''' || rto || ''' was not found | Also failed on: Policy: cpa — CPA value '
+      || {_text('cc')} || ' is wrong | Also failed on: Policy: nil dep — no dash here'
+    WHEN 3 THEN 'Multiple Rate Master groups matched. Matching Group IDs: ' || {_text('partkey')} || ', ' || {_text('suppkey')} || ' … (+4 more)'
+    WHEN 4 THEN 'No rates found for criteria'
+    ELSE 'Failed on: Policy: tariff rate — Policy: tariff rate value ' || {_text('cc')} || ' falls outside the range configured on every remaining'
+    END AS reason
+FROM policy
+"""
+
+
 def _double_literals(sql: str) -> str:
     """Fractions outside quotes as doubles, in both engines."""
     parts = re.split(r"('[^']*')", sql)
