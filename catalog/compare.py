@@ -63,9 +63,10 @@ def check(spark, con, name: str, sf_dir: str) -> str:
         extra = [x for x in got if x not in set(want)][:2] if len(got) < 100000 else []
         lost = [x for x in want if x not in set(got)][:2] if len(want) < 100000 else []
         return f"rows {len(got)} != {len(want)}; columns {sorted(columns)}; only spark {extra}; only oracle {lost}"
-    off = [(g, w) for g, w in zip(got, want) if g != w]
-    if off:
-        return f"{len(off)} of {len(got)} rows differ; columns {sorted(columns)}; first {off[:2]}"
+    if got != want:
+        extra, lost = set(got) - set(want), set(want) - set(got)
+        pairs = f"only spark {sorted(extra, key=repr)[:2]}; only oracle {sorted(lost, key=repr)[:2]}"
+        return f"{len(extra)} of {len(got)} rows differ; columns {sorted(columns)}; {pairs}"
     return ""
 
 

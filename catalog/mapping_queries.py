@@ -131,3 +131,337 @@ def motor_rule_join(s: Source) -> DataFrame:
 @query("keep_on_fail_masks", _DECIDED + "SELECT row_id, CAST(mask AS BIGINT) AS mask FROM best")
 def keep_on_fail_masks(s: Source) -> DataFrame:
     return J.best_masks(motor_features(s), S.motor_rate_rows(s.rate_card), J.motor_chain())
+
+
+# ---- whole motor results --------------------------------------------------------------------------
+def _amount(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'null', 'nul', 'nill', 'na') THEN 0.0 "
+            f"ELSE TRY_CAST(regexp_replace({c}, '[^0-9.\\-]', '', 'g') AS DOUBLE) END")
+
+
+def _shown_amount(c: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{{{:,.2f}}}}', {c}), '0+$', ''), '\\.$', '')"
+
+
+_OD, _TP, _NCB = "Policy: total od", "Policy: tp premium", "Policy: no claim bonus"
+_BOTH = f"upper(sub) || ' policies must carry premium in both {_OD} and {_TP}.'"
+_VALIDATION = f"""checked AS (
+  SELECT *, list_filter([
+    CASE WHEN od IS NULL THEN '{_OD} value ''' || trim(total_od) || ''' is not a valid number, so the premium split of this ' || upper(sub) || ' policy could not be checked.' END,
+    CASE WHEN tp IS NULL THEN '{_TP} value ''' || trim(tp_premium) || ''' is not a valid number, so the premium split of this ' || upper(sub) || ' policy could not be checked.' END,
+    CASE WHEN sub = 'stp' AND tp = 0 THEN '{_TP} is zero/blank, but STP policies must carry their premium there.' END,
+    CASE WHEN sub = 'stp' AND od <> 0 THEN '{_OD} is ' || {_shown_amount('od')} || ', but STP policies must have it zero/blank (the premium belongs in {_TP} only).' END,
+    CASE WHEN sub = 'saod' AND od = 0 THEN '{_OD} is zero/blank, but SAOD policies must carry their premium there.' END,
+    CASE WHEN sub = 'saod' AND tp <> 0 THEN '{_TP} is ' || {_shown_amount('tp')} || ', but SAOD policies must have it zero/blank (the premium belongs in {_OD} only).' END,
+    CASE WHEN sub LIKE '1+%' AND car AND od = 0 THEN '{_OD} is zero/blank, but Private Car ' || upper(sub) || ' policies must carry premium in {_OD} ({_TP} is optional).' END,
+    CASE WHEN sub LIKE '1+%' AND NOT car AND od = 0 AND tp = 0 THEN '{_OD} and {_TP} are both zero/blank, but ' || {_BOTH} END,
+    CASE WHEN sub LIKE '1+%' AND NOT car AND od = 0 AND (tp <> 0 OR tp IS NULL) THEN '{_OD} is zero/blank, but ' || {_BOTH} END,
+    CASE WHEN sub LIKE '1+%' AND NOT car AND tp = 0 AND (od <> 0 OR od IS NULL) THEN '{_TP} is zero/blank, but ' || {_BOTH} END,
+    CASE WHEN sub IN ('1+3', '1+5') AND bonus IS NULL THEN '{_NCB} value ''' || trim(ncb) || ''' is not a valid number, so it could not be checked against the '
+      || upper(sub) || ' rule (zero/blank required).' END,
+    CASE WHEN sub IN ('1+3', '1+5') AND bonus <> 0 THEN '{_NCB} is ' || {_shown_amount('bonus')} || ', but ' || upper(sub) || ' policies must have it zero/blank.' END
+  ], lambda x: x IS NOT NULL) AS problems
+  FROM (SELECT *, lower(trim(sub_product)) AS sub, coalesce(lower(trim(vehproduct)) = 'private car', false) AS car, {_amount('total_od')} AS od,
+    {_amount('tp_premium')} AS tp, {_amount('ncb')} AS bonus FROM {{source}}) amounts
+), validated AS (
+  SELECT row_id, CASE WHEN sub IN ('stp', 'saod', '1+1', '1+3', '1+5') AND len(problems) > 0 THEN 'Validation error — ' || array_to_string(problems, ' ')
+    || ' Correct the source MIS data and re-run mapping for this row.' END AS problem FROM checked
+)"""
+_CARS = "(SELECT * REPLACE (CASE WHEN row_id % 4 = 0 THEN 'Private Car' ELSE vehproduct END AS vehproduct) FROM mis)"
+
+
+@query("premium_split_validation", f"WITH {_VALIDATION.replace('{source}', _CARS)} SELECT row_id, problem FROM validated")
+def premium_split_validation(s: Source) -> DataFrame:
+    from ratecraft.operators.amounts import premium_validation
+
+    cars = F.when(F.col("row_id") % 4 == 0, F.lit("Private Car")).otherwise(F.col("vehproduct"))
+    problem = premium_validation(F.col("sub_product"), cars, F.col("total_od"), F.col("tp_premium"), F.col("ncb"))
+    return s.mis.select("row_id", problem.alias("problem"))
+
+
+_RANGE_OPEN = " is blank/unparseable on this policy, and no remaining candidate rate row has an open (blank) range."
+_RANGE_OUT = " falls outside the range configured on every remaining candidate rate row."
+_DETAILS = f"""[
+  CASE WHEN NOT bit13 THEN 'Policy: vehproduct — Value ''' || coalesce(nullif(f_product, ''), 'nan') || ''' did not match any remaining candidate Rate Master row''s product (after the previous rules narrowed the field).' END,
+  CASE WHEN NOT bit12 THEN 'Policy: sub product — Value ''' || coalesce(nullif(f_sub, ''), 'nan') || ''' did not match any remaining candidate Rate Master row''s sub product (after the previous rules narrowed the field).' END,
+  CASE WHEN NOT bit11 THEN 'Policy: fuel — Value ''' || coalesce(nullif(f_fuel, ''), 'nan') || ''' did not match any remaining candidate Rate Master row''s fuel type (after the previous rules narrowed the field).' END,
+  CASE WHEN NOT bit10 THEN 'Policy: vehicle class — Vehicle class ''' || coalesce(nullif(f_class, ''), 'nan') || ''' has no exact match among remaining candidate rate rows, and none of them has an NA-wildcard class.' END,
+  CASE WHEN NOT bit9 THEN 'Policy: cc cubic capacity — Policy: cc cubic capacity' || coalesce(' value ' || CAST(f_cc AS STRING) || '{_RANGE_OUT}', '{_RANGE_OPEN}') END,
+  CASE WHEN NOT bit8 THEN 'Policy: seating capacity — Policy: seating capacity value ' || CAST(f_sc AS STRING) || '{_RANGE_OUT}' END,
+  CASE WHEN NOT bit7 THEN age_label || ' — ' || coalesce('Calculated vehicle age ''' || CAST(f_age AS STRING) || ''' ((current year + 1) - the year in ' || age_label
+    || ') falls outside the age band (lower bound exclusive, upper bound inclusive) configured on every remaining candidate rate row.', age_label || '{_RANGE_OPEN}') END,
+  CASE WHEN NOT bit6 THEN 'Policy: tariff rate — Policy: tariff rate value ' || CAST(f_tariff AS STRING) || '{_RANGE_OUT}' END,
+  CASE WHEN NOT bit5 THEN 'Policy: inception date — ' || coalesce('Inception date ' || CAST(f_date AS STRING) || ' falls outside the active date window on every remaining candidate rate row.',
+    'Inception date is blank/unparseable on this policy, and no remaining candidate rate row has an open (blank) date window.') END,
+  CASE WHEN NOT bit4 THEN 'Policy: vehicle make / model — Vehicle make/model ''' || f_make || CASE WHEN len(makes) = 0 THEN ''' did not share at least 2 words with any MakeModelMaster cluster entry — add it to MakeModelMaster or check the MIS value.'
+    ELSE ''' resolved to master group(s) [' || array_to_string(makes[1:5], ', ') || '], but no remaining candidate rate row lists that group in its vehicle-make cluster.' END END,
+  CASE WHEN NOT bit3 THEN 'Policy: rto no — ' || CASE WHEN f_rto = '' THEN 'RTO is blank on this policy, and no remaining candidate rate row allows a blank RTO cluster.'
+    ELSE 'RTO ''' || rto || ''' (normalized to ''' || upper(f_rto) || ''')' || CASE WHEN len(rtos) = 0 THEN ' was not found in any RTOMaster cluster — add it to RTOMaster or check the MIS value.'
+      ELSE ' resolved to master group(s) [' || array_to_string(rtos[1:5], ', ') || '], but no remaining candidate rate row lists that group in its RTO cluster.' END END END,
+  CASE WHEN NOT bit2 THEN 'Policy: no claim bonus — NCB value ' || coalesce(CAST(f_ncb AS STRING), 'nan') || ' doesn''t satisfy the YES/NO/NA requirement on any remaining candidate rate row.' END,
+  CASE WHEN NOT bit1 THEN 'Policy: cpa — CPA value ' || coalesce(CAST(f_cpa AS STRING), 'nan') || ' doesn''t satisfy the YES/NO/NA requirement on any remaining candidate rate row.' END,
+  CASE WHEN NOT bit0 THEN 'Policy: nil dep — Nil Dep value ''' || f_zd || ''' doesn''t satisfy the YES/NO/NA requirement on any remaining candidate rate row.' END]"""
+_BITS = ", ".join(f"(best.mask >> {i}) & 1 = 1 AS bit{i}" for i in range(14))
+_MAPPED = _DECIDED + f""", {_VALIDATION.replace('{source}', 'cell')}, judged AS (
+  SELECT f.*, best.mask, {_BITS}, found.groups, found.row_total, found.payouts, found.low_key, validated.problem,
+    CASE WHEN sub_product IN ('1+3', '1+5') THEN 'Policy: inception date' ELSE 'Policy: date of registration' END AS age_label
+  FROM feature f LEFT JOIN best USING (row_id) LEFT JOIN found USING (row_id) LEFT JOIN validated USING (row_id)
+), spoken AS (
+  SELECT *, CASE WHEN mask IS NULL THEN ['Policy: insurance company — Insurer ''' || coalesce(insurer, '(blank)') || ''' did not fuzzy-match any active Rate Master insurer (threshold=55). '
+      || 'Either no active rate is configured for this insurer, or the name on file differs too much to match.']
+    ELSE list_filter({_DETAILS}, lambda x: x IS NOT NULL) END AS failed,
+    list_filter([CASE WHEN f_combined THEN 'Policy: cc cubic capacity value ''' || cc || ''' looks like a combined CC/GVW figure (two numbers separated by ''/''). Not auto-parsed — correct the source MIS data and re-run mapping for this row.' END,
+      problem], lambda x: x IS NOT NULL) AS errors
+  FROM judged
+), keys AS (
+  SELECT row_id, array_to_string(list_sort(list(DISTINCT group_key))[1:10], ', ') AS ids FROM hit GROUP BY 1
+), result AS (
+  SELECT row_id, CASE WHEN len(errors) > 0 THEN 'FAILED - BAD DATA' WHEN groups = 1 OR payouts = 1 THEN '✅ MATCH' WHEN groups > 1 THEN '⚠️ MULTIPLE MATCHES' ELSE '❌ NO MATCH' END AS mapping_status,
+    CASE WHEN len(errors) > 0 THEN array_to_string(list_concat(errors, list_transform(failed, lambda x: 'Also failed on: ' || x)), ' | ')
+      WHEN groups = 1 THEN 'Matched Successfully'
+      WHEN payouts = 1 THEN 'Matched Successfully — ' || CAST(groups AS STRING) || ' Rate Master groups matched with identical payout and payin rates; used Group ' || CAST(low_key AS STRING) || ' (lowest Group ID).'
+      WHEN groups > 1 THEN 'Multiple Rate Master groups matched (' || CAST(groups AS STRING) || ' groups, ' || CAST(row_total AS STRING) || ' rows total). Please refine Rate Master so only one group applies. Matching Group IDs: '
+        || ids || CASE WHEN groups > 10 THEN ' … (+' || CAST(groups - 10 AS STRING) || ' more)' ELSE '' END
+      ELSE 'Failed on: ' || array_to_string(failed, ' | Also failed on: ') END AS failure_reason,
+    CASE WHEN len(errors) = 0 AND (groups = 1 OR payouts = 1) THEN low_key END AS display_group_id, groups, f_combined
+  FROM spoken LEFT JOIN keys USING (row_id)
+)
+"""
+
+
+@query("motor_mapping", _MAPPED + f"""
+SELECT result.row_id, mapping_status, failure_reason, display_group_id, CASE WHEN display_group_id IS NOT NULL THEN {_SIDE.format(s='po')} END AS po_rate,
+  CASE WHEN display_group_id IS NOT NULL THEN {_SIDE.format(s='pi')} END AS pi_rate, CASE WHEN display_group_id IS NOT NULL THEN po_type END AS po_type
+FROM result LEFT JOIN used USING (row_id)""")
+def motor_mapping(s: Source) -> DataFrame:
+    return motor_results(s).select("row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate", "pi_rate", "po_type")
+
+
+def mapped_policies(s: Source) -> DataFrame:
+    """The whole mapped file of the ``mis`` view: motor, health and unroutable policies, with amounts."""
+    return M.map_policies(s.mis, S.motor_rate_rows(s.rate_card), S.health_rate_rows(s.health_card), rto_master(s), make_master(s), pin_master(s), RUN_YEAR)
+
+
+_ROUTED = "CASE lower(trim(coalesce(product, ''))) WHEN 'motor' THEN 'motor' WHEN 'health' THEN 'health' ELSE 'none' END"
+
+
+@query("product_routing", f"SELECT row_id, {_ROUTED} AS route FROM mis")
+def product_routing(s: Source) -> DataFrame:
+    return s.mis.select("row_id", M.route().alias("route"))
+
+
+@query("unroutable_results", """SELECT row_id, '❌ NO MATCH' AS mapping_status, 'Failed on: Product — Product ''' || coalesce(product, '(blank)') || ''' is neither ''motor'' nor ''health'', so no '
+  || 'Rate Master applies and the row was not matched. Correct the Product column and re-run mapping for this row.' AS failure_reason
+FROM mis WHERE lower(trim(coalesce(product, ''))) NOT IN ('motor', 'health')""")
+def unroutable_results(s: Source) -> DataFrame:
+    return M.unroutable(s.mis.where(M.route() == "none")).select("row_id", "mapping_status", "failure_reason")
+
+
+_BASE = f"""CASE WHEN policy_category = 'Private Car' AND lower(sub_product) IN ('1+1', '1+3', 'saod') THEN {_amount('total_od')}
+  ELSE {_amount('gwp_net')} END"""
+
+
+@query("base_premium", f"""
+SELECT row_id, {_BASE} AS general, CASE WHEN policy_category = 'Private Car' AND lower(sub_product) IN ('1+1', '1+3', 'saod') THEN {_amount('total_od')}
+  ELSE {_amount('gwp_net')} - {_amount('tp_terrorism')} END AS non_motor FROM mis""")
+def base_premium(s: Source) -> DataFrame:
+    from ratecraft.operators.amounts import base_premium as premium
+
+    cells = [F.col(c) for c in ("policy_category", "sub_product", "total_od", "gwp_net", "tp_terrorism")]
+    return s.mis.select("row_id", premium(F.lit("motor"), *cells).alias("general"), premium(F.lit("Non_Motor"), *cells).alias("non_motor"))
+
+
+_CP = f"""CASE WHEN display_group_id IS NOT NULL AND pi_type = 'On OD' THEN {_amount('total_od')} WHEN display_group_id IS NOT NULL AND pi_type = 'On TP' THEN {_amount('tp_premium')}
+  WHEN display_group_id IS NOT NULL AND pi_type = 'On Net' THEN {_amount('gwp_net')} ELSE {_BASE} END"""
+
+
+def _pay(side: str) -> str:
+    return (f"CASE WHEN display_group_id IS NULL THEN NULL WHEN {side}_type = 'On OD and TP' THEN {_amount('total_od')} * (coalesce({side}_od_rate, 0) / 100) + "
+            f"{_amount('tp_premium')} * (coalesce({side}_tp_rate, 0) / 100) ELSE ({_SIDE.format(s=side)}) / 100 * ({_CP}) END")
+
+
+@query("payout_amounts", _MAPPED + f"""
+SELECT cell.row_id, floor(({_CP}) * 1000 + 0.5) / 1000 AS cp_premium, floor(({_pay('pi')}) * 1000 + 0.5) / 1000 AS pay_in, floor(({_pay('po')}) * 1000 + 0.5) / 1000 AS pay_out,
+  floor((({_pay('pi')}) - ({_pay('po')})) * 1000 + 0.5) / 1000 AS margin,
+  CASE WHEN display_group_id IS NOT NULL THEN CASE WHEN po_type = 'On OD and TP' THEN regexp_replace(CAST(po_od_rate AS STRING), '\\.0$', '') || '+' || regexp_replace(CAST(po_tp_rate AS STRING), '\\.0$', '')
+    ELSE CAST({_SIDE.format(s='po')} AS STRING) END END AS po_rate_text
+FROM result JOIN cell USING (row_id) LEFT JOIN used USING (row_id)""")
+def payout_amounts(s: Source) -> DataFrame:
+    from ratecraft.operators.amounts import with_amounts
+
+    mapped = with_amounts(s.mis.join(motor_results(s), "row_id"))
+    shown = {"cp_premium": "cp_premium", "pay_in_amount": "pay_in", "pay_out_amount": "pay_out", "margin_amount": "margin"}
+    return mapped.select("row_id", *[(F.floor(F.col(a) * 1000 + 0.5) / 1000).alias(b) for a, b in shown.items()], "po_rate_text")
+
+
+@query("run_summary", _MAPPED + """
+SELECT count(*) AS processed, count_if(mapping_status = '✅ MATCH') AS matched, count_if(mapping_status = '✅ MATCH' AND groups > 1) AS collapsed,
+  count_if(mapping_status = '⚠️ MULTIPLE MATCHES') AS multiple, count_if(mapping_status = 'FAILED - BAD DATA') AS bad_data FROM result""")
+def run_summary(s: Source) -> DataFrame:
+    return M.run_summary(motor_results(s))
+
+
+@query("multiple_match_message", _MAPPED + "SELECT row_id, failure_reason FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'")
+def multiple_match_message(s: Source) -> DataFrame:
+    return motor_results(s).where("mapping_status = '⚠️ MULTIPLE MATCHES'").select("row_id", "failure_reason")
+
+
+@query("failed_rows_by_status", _MAPPED + """
+SELECT CASE mapping_status WHEN '⚠️ MULTIPLE MATCHES' THEN 'MULTIPLE_MATCHES' WHEN '❌ NO MATCH' THEN 'NO_MATCH' ELSE 'BAD_DATA' END AS status_key, count(*) AS n
+FROM result WHERE mapping_status <> '✅ MATCH' GROUP BY 1""")
+def failed_rows_by_status(s: Source) -> DataFrame:
+    from ratecraft.operators import gaps as G
+
+    mapped = s.mis.join(motor_results(s), "row_id")
+    return G.status_totals(G.failed_rows(mapped, F.col("file_id")))
+
+
+@query("coverage_gaps", _MAPPED + """, gap AS (
+  SELECT 'no_match' AS kind, trim(split_part(x, ' — ', 1)) AS rule, trim(substring(x, strpos(x, ' — ') + 3)) AS detail
+  FROM (SELECT unnest(failed) AS x FROM spoken JOIN result USING (row_id) WHERE mapping_status = '❌ NO MATCH') named
+), keyed AS (
+  SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(substring(detail, 1, 60))) AS value FROM gap
+  UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)) FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
+), counted AS (SELECT kind, rule, value, count(*) AS n FROM keyed GROUP BY 1, 2, 3)
+SELECT kind, rule, value, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, rule, value) AS place FROM counted) ranked WHERE place <= 25""")
+def coverage_gaps(s: Source) -> DataFrame:
+    from ratecraft.operators import gaps as G
+
+    return G.coverage_gaps(motor_results(s))
+
+
+@query("mapped_policies")
+def mapped_policies_query(s: Source) -> DataFrame:
+    return mapped_policies(s).select("row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate_text", "pi_rate_text", "cp_premium",
+                                     "pay_in_amount", "pay_out_amount", "margin_amount")
+
+
+@query("health_mapping")
+def health_mapping(s: Source) -> DataFrame:
+    from ratecraft.operators.healthjoin import map_health
+
+    health = s.mis.where(M.route() == "health")
+    return map_health(health, S.health_rate_rows(s.health_card), pin_master(s)).select(
+        "row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate", "pi_rate")
+
+
+# ---- resolvers ------------------------------------------------------------------------------------
+@query("insurer_token_jaccard", """
+WITH stop AS (SELECT unnest(['general', 'insurance', 'company', 'limited', 'ltd', 'co', 'the', 'of', 'and', 'an', 'a', 'in']) AS w),
+src AS (SELECT source, unnest(string_split(regexp_replace(source, '[^a-z0-9 ]', ' ', 'g'), ' ')) AS w FROM (SELECT DISTINCT lower(insurer) AS source FROM mis WHERE insurer IS NOT NULL) s),
+tgt AS (SELECT target, unnest(string_split(target, ' ')) AS w FROM (SELECT DISTINCT lower(insurance_company) AS target FROM rate_card) t),
+s AS (SELECT DISTINCT source, w FROM src WHERE w <> '' AND w NOT IN (SELECT w FROM stop)), t AS (SELECT DISTINCT target, w FROM tgt WHERE w NOT IN (SELECT w FROM stop)),
+sn AS (SELECT source, count(*) AS n FROM s GROUP BY 1), tn AS (SELECT target, count(*) AS n FROM t GROUP BY 1),
+pairs AS (SELECT source, target, count(*) AS c FROM s JOIN t USING (w) GROUP BY 1, 2)
+SELECT source, target, c / (sn.n + tn.n - c) AS jaccard FROM pairs JOIN sn USING (source) JOIN tn USING (target)""")
+def insurer_token_jaccard(s: Source) -> DataFrame:
+    return R.insurer_pairs(s.mis.select(F.col("insurer").alias("name")), s.rate_card.select(F.col("insurance_company").alias("name")))
+
+
+@query("insurer_fuzzy_join", """SELECT DISTINCT lower(insurer) AS source, 'supplier ' || lpad(CAST(insurer_no AS STRING), 2, '0') || ' general insurance co ltd' AS insurer
+FROM mis WHERE insurer IS NOT NULL AND insurer_no < 10""")
+def insurer_fuzzy_join(s: Source) -> DataFrame:
+    names = R.resolve_insurers(s.mis.select(F.col("insurer").alias("name")), s.rate_card.select(F.col("insurance_company").alias("name")))
+    return names.select("source", "insurer")
+
+
+@query("rto_cluster_resolve", "SELECT DISTINCT upper(clean_rto) AS term, name FROM mis JOIN rto_items ON item = upper(clean_rto) WHERE rto IS NOT NULL")
+def rto_cluster_resolve(s: Source) -> DataFrame:
+    return R.resolve_codes(s.mis.select(T.normalize_rto_code("rto").alias("term")), rto_master(s))
+
+
+@query("model_word_overlap", _FEATURES + "SELECT upper(f_make) AS term, unnest(makes) AS name FROM make_name")
+def model_word_overlap(s: Source) -> DataFrame:
+    motor = s.mis.where(M.route() == "motor")
+    return R.resolve_models(P.motor_features(motor, RUN_YEAR).select(F.col("make_model").alias("term")), make_master(s))
+
+
+@query("pincode_zone_resolve", "SELECT DISTINCT regexp_replace(pin_code, '\\.0$', '') AS term, name FROM mis JOIN pin_items ON item = regexp_replace(pin_code, '\\.0$', '')")
+def pincode_zone_resolve(s: Source) -> DataFrame:
+    return R.resolve_codes(s.mis.select(T.normalize_pincode("pin_code").alias("term")), pin_master(s))
+
+
+@query("resolved_name_membership", """
+WITH t AS (SELECT DISTINCT name FROM make_items WHERE item LIKE '%ring%')
+SELECT id FROM rate_card WHERE list_has_any(string_split(new_vehicle_makes, ', '), (SELECT list(name) FROM t))""")
+def resolved_name_membership(s: Source) -> DataFrame:
+    from ratecraft.operators.search import listed_by
+
+    terms = s.part.where("p_name LIKE '% ring'").select(F.col("p_name").alias("term"))
+    return listed_by(s.rate_card, "new_vehicle_makes", "ring", R.resolve_models(terms, make_master(s)).select("name"), "none").select("id")
+
+
+@query("spelling_expansion_lookup", """
+WITH own AS (SELECT DISTINCT value AS term, mapping_id FROM spelling), linked AS (SELECT DISTINCT o.term, s.value FROM own o JOIN spelling s USING (mapping_id))
+SELECT DISTINCT term, name FROM linked JOIN make_items ON upper(item) = value OR upper(item) LIKE value || ' %'""")
+def spelling_expansion_lookup(s: Source) -> DataFrame:
+    return R.resolve_search_terms(s.part.select(F.col("p_name").alias("term")), s.spelling, make_master(s))
+
+
+@query("plan_name_fuzzy_join")
+def plan_name_fuzzy_join(s: Source) -> DataFrame:
+    one = F.lit("all").alias("block")
+    plans = s.mis.select(one, F.col("plan_name").alias("a")).where("a <> ''").distinct()
+    lists = s.health_card.select(one, F.col("plan_names").alias("b")).where("b <> ''").distinct()
+    return R.fuzzy_plan_pairs(plans, lists, "block").select("a", "b")
+
+
+@query("fuzzy_category_pairs")
+def fuzzy_category_pairs(s: Source) -> DataFrame:
+    one = F.lit("all").alias("block")
+    left = s.mis.select(one, F.lower("product_name").alias("a")).where("a <> ''").distinct()
+    right = s.health_card.select(one, F.lower("product_name").alias("b")).where("b <> ''").distinct()
+    return R.fuzzy_category_pairs(left, right, "block").select("a", "b")
+
+
+@query("spelling_suggestions")
+def spelling_suggestions(s: Source) -> DataFrame:
+    return R.suggest_spellings(s.part.select(F.upper("p_name").alias("value")).distinct(), make_master(s))
+
+
+@query("cluster_item_index", "SELECT upper(item) AS item, string_agg(name, ',' ORDER BY name) AS groups FROM make_items GROUP BY 1")
+def cluster_item_index(s: Source) -> DataFrame:
+    return R.item_index(make_master(s)).select("item", F.array_join("groups", ",").alias("groups"))
+
+
+@query("mapped_to_lookup", "SELECT DISTINCT upper(p_name) AS value, mapping_id, mapping_name FROM {part} LEFT JOIN spelling ON value = upper(p_name)")
+def mapped_to_lookup(s: Source) -> DataFrame:
+    return R.with_mapping(s.part.select(F.col("p_name").alias("value")), s.spelling)
+
+
+@query("configured_rule_join", """
+WITH p AS (SELECT row_id, insurer_no, lower(trim(coalesce(vehproduct, ''))) AS product, TRY_CAST(regexp_replace(cc, '[^0-9.]', '', 'g') AS DOUBLE) AS cc_value,
+  CASE WHEN inception <> '' THEN inception_date END AS day, CAST(seating AS DOUBLE) AS seats FROM mis WHERE insurer IS NOT NULL AND insurer_no < 10),
+r AS (SELECT *, g % 10 AS no FROM rate_card WHERE status = 'ACTIVE' AND is_deleted = 'NO'),
+t AS (SELECT row_id, max(8 * CAST(r.product = '' OR lower(r.product) = p.product AS INTEGER)
+  + 4 * CAST(CASE WHEN cc_value IS NULL THEN cc_min IS NULL AND cc_max IS NULL ELSE coalesce(cc_min <= cc_value, true) AND coalesce(cc_max >= cc_value, true) END AS INTEGER)
+  + 2 * CAST(CASE WHEN day IS NULL THEN from_date IS NULL AND to_date IS NULL ELSE coalesce(from_date <= day, true) AND coalesce(to_date >= day, true) END AS INTEGER)
+  + CAST(coalesce(sc_min <= seats, true) AND coalesce(sc_max >= seats, true) AS INTEGER)) AS mask FROM p JOIN r ON r.no = p.insurer_no GROUP BY 1)
+SELECT row_id, CAST(mask AS BIGINT) AS mask, CAST(4 - bit_count(mask) AS INTEGER) AS failed FROM t""")
+def configured_rule_join(s: Source) -> DataFrame:
+    specs = [
+        {"source": "vehproduct", "operator": "EXACT", "target": "product", "order": 1, "active": True},
+        {"source": "fuel", "operator": "EXACT", "target": "fuel_type", "order": 2, "active": False},
+        {"source": "cc_value", "operator": "RANGE_CC", "target": "cc", "order": 3, "active": True},
+        {"source": "day", "operator": "RANGE_DATE", "target": "validity", "order": 4, "active": True},
+        {"source": "seats", "operator": "RANGE_SC", "target": "sc", "order": 5, "active": True},
+    ]
+    from ratecraft.functions import dates as D, numbers as N
+
+    policies = s.mis.where("insurer IS NOT NULL AND insurer_no < 10").select(
+        "row_id", F.col("insurer_no").alias("insurer"), "vehproduct", N.digits_number("cc").alias("cc_value"), D.policy_date("inception").alias("day"),
+        N.digits_number("seating").alias("seats"))
+    rates = S.active_rates(s.rate_card)
+    number = F.substring("insurance_company", 10, 2).cast("bigint")
+    rates = rates.select(number.alias("r_insurer"), *[F.col(c).alias(f"r_{c}") for c in ("product", "cc_min", "cc_max", "from_date", "to_date", "sc_min", "sc_max")])
+    joined = J.configured_join(policies, rates, J.configured_rules(specs), "insurer", "row_id", lead=1, lead_policy=["vehproduct"], lead_rate=["r_product"],
+                               tail_policy=["cc_value", "day", "seats"], tail_rate=["r_cc_min", "r_cc_max", "r_from_date", "r_to_date", "r_sc_min", "r_sc_max"])
+    return joined.select("row_id", "mask", F.size("failed").alias("failed"))
+
+
+@query("result_join_defaults", """SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '✅ MATCH' ELSE '❌ NO MATCH' END AS mapping_status, CASE WHEN row_id % 3 = 0 THEN ncb END AS po_rate FROM policy""")
+def result_join_defaults(s: Source) -> DataFrame:
+    """Policies without a result row are NO MATCH, with no payout."""
+    results = s.policy.where("row_id % 3 = 0").select("row_id", F.lit("✅ MATCH").alias("mapping_status"), F.col("ncb").alias("po_rate"))
+    joined = s.policy.select("row_id").join(results, "row_id", "left")
+    return joined.withColumn("mapping_status", F.coalesce("mapping_status", F.lit("❌ NO MATCH")))

@@ -79,14 +79,14 @@ def normalized_payload(payload: Column | str) -> Column:
 def payload_summary(payload: Column | str) -> Column:
     """(summary, rest): up to three identifying entries by key fragment, else the first three, then the others."""
     entries = F.filter(F.map_entries(col(payload)), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+
+    def naming(fragment: str, taken: Column) -> Column:
+        return F.filter(entries, lambda e: F.contains(F.lower(strip(e["key"])), F.lit(fragment)) & ~F.array_contains(taken, e))
+
     picked = F.array().cast("array<struct<key:string,value:string>>")
     for fragment in K.SUMMARY_KEYS:
-        taken = picked
-        hits = F.filter(
-            entries,
-            lambda e, f=fragment, t=taken: F.contains(F.lower(strip(e["key"])), F.lit(f)) & ~F.array_contains(t, e),
-        )
-        room = F.size(taken) < K.SUMMARY_LIMIT
-        picked = F.when(room & (F.size(hits) > 0), F.concat(taken, F.slice(hits, 1, 1))).otherwise(taken)
+        hits = naming(fragment, picked)
+        take = (F.size(picked) < K.SUMMARY_LIMIT) & (F.size(hits) > 0)
+        picked = F.when(take, F.concat(picked, F.slice(hits, 1, 1))).otherwise(picked)
     summary = F.when(F.size(picked) > 0, picked).otherwise(F.slice(entries, 1, K.SUMMARY_LIMIT))
     return F.struct(summary.alias("summary"), F.array_except(entries, summary).alias("rest"))

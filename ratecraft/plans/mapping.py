@@ -11,7 +11,7 @@ from ratecraft.operators.amounts import premium_validation, with_amounts
 from ratecraft.operators.healthjoin import map_health
 from ratecraft.operators.resolve import resolve_codes, resolve_models
 from ratecraft.session import stage
-from ratecraft.sources.policies import motor_features, with_insurer, with_names
+from ratecraft.sources.policies import insurer_names, motor_features, with_insurer, with_names
 
 RESULT_COLUMNS = [
     "row_id", "mapping_status", "failure_reason", "display_group_id", "po_type", "po_rate", "po_flat_amount", "pi_type",
@@ -26,17 +26,21 @@ def route() -> Column:
 
 
 def resolve_motor(features: DataFrame, rates: DataFrame, rto_master: DataFrame, make_master: DataFrame) -> DataFrame:
-    """Motor features with insurer, RTO groups and make groups resolved; each on its distinct values."""
-    rtos = resolve_codes(features.select(F.col("rto").alias("term")), rto_master)
-    makes = resolve_models(features.select(F.col("make_model").alias("term")), make_master)
-    named = with_names(with_names(features, "rto", "rto_names", rtos), "make_model", "make_names", makes)
-    return with_insurer(named, rates)
+    """Motor features with insurer, RTO groups and make groups resolved, each on its distinct values.
+
+    The typed features are staged first: the source is read once, and the resolvers scan one column each.
+    """
+    typed = stage(features)
+    rtos = resolve_codes(typed.select(F.col("rto").alias("term")), rto_master)
+    makes = resolve_models(typed.select(F.col("make_model").alias("term")), make_master)
+    named = with_names(with_names(typed, "rto", "rto_names", rtos), "make_model", "make_names", makes)
+    return with_insurer(named, insurer_names(typed, rates))
 
 
 def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     """Results of resolved motor features against normalised motor rates.
 
-    Features are staged once, since three branches read them. Then two passes. The first joins on selective keys and finds the matches; the second works out masks only for policies
+    Resolved features are staged, since three branches read them. Then two passes. The first joins on selective keys and finds the matches; the second works out masks only for policies
     without a match, and for those with bad data, whose text lists the failed rules too.
     """
     chain = J.motor_chain()

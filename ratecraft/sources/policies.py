@@ -115,12 +115,18 @@ def health_features(policies: DataFrame) -> DataFrame:
     return policies.select("row_id", *[v.alias(k) for k, v in typed.items()])
 
 
-def with_insurer(features: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds ``insurer``, the resolved rate-card insurer, NULL where none is close enough."""
-    names = R.resolve_insurers(
+def with_insurer(features: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``insurer``, the resolved rate-card insurer, NULL where none is close enough.
+
+    ``names`` comes from :func:`insurer_names` over the same features.
+    """
+    return features.join(names.select(F.col("source").alias("insurer_key"), "insurer"), "insurer_key", "left")
+
+
+def insurer_names(features: DataFrame, rates: DataFrame) -> DataFrame:
+    return R.resolve_insurers(
         features.select(F.col("insurer_key").alias("name")), rates.select(F.col("r_insurer").alias("name"))
     )
-    return features.join(names.select(F.col("source").alias("insurer_key"), "insurer"), "insurer_key", "left")
 
 
 def with_names(features: DataFrame, value: str, out: str, resolved: DataFrame) -> DataFrame:
