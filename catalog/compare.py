@@ -82,6 +82,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     names = args.names or list(load()[0])
+    if names[0].startswith("@"):
+        modules = [n[1:] for n in names]
+        names = [n for n in load()[0] if any(load()[0][n].__closure__[0].cell_contents.__module__.endswith(m) for m in modules)]
     bad = 0
     for name in names:
         start = time.time()
