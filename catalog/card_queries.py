@@ -11,6 +11,7 @@ from ratecraft import constants as K
 from ratecraft.functions import clusters as C, dates as D, predicates as P, text as T
 from ratecraft.functions.numbers import in_range
 from ratecraft.operators import analytics as A, maintain as M, quality as Q, rulejoin as J, search as S
+from ratecraft.session import stage
 from ratecraft.sources import rates as R, reports
 
 
@@ -314,23 +315,29 @@ def extraction_audit(s: Source) -> DataFrame:
 _CONTENT = ", ".join(K.CONTENT_FIELDS)
 
 
+def uploaded(s: Source) -> DataFrame:
+    """The doubled card as a stored table, as a rate table is one."""
+    return stage(s.uploaded_card)
+
+
 @query("duplicates_within_group", f"""SELECT min(id) AS keep_id, count(*) - 1 AS extra_rows, CAST(1 AS BIGINT) AS group_count FROM uploaded_card WHERE is_deleted = 'NO' AND group_id IS NOT NULL
 GROUP BY group_id, {_CONTENT} HAVING count(*) > 1""")
 def duplicates_within_group(s: Source) -> DataFrame:
-    return M.duplicate_clusters(s.uploaded_card).select("keep_id", "extra_rows", "group_count")
+    return M.duplicate_clusters(uploaded(s)).select("keep_id", "extra_rows", "group_count")
 
 
 @query("duplicates_across_groups", f"""SELECT min(id) AS keep_id, count(*) - 1 AS extra_rows, count(DISTINCT group_id) AS group_count FROM uploaded_card WHERE is_deleted = 'NO' AND group_id IS NOT NULL
 AND status = 'ACTIVE' GROUP BY {_CONTENT} HAVING count(*) > 1""")
 def duplicates_across_groups(s: Source) -> DataFrame:
-    return M.duplicate_clusters(s.uploaded_card, cross_group=True).select("keep_id", "extra_rows", "group_count")
+    return M.duplicate_clusters(uploaded(s), cross_group=True).select("keep_id", "extra_rows", "group_count")
 
 
 @query("keep_lowest_id_dedupe", f"""
-WITH live AS (SELECT id, row_number() OVER (PARTITION BY {_CONTENT} ORDER BY id) AS p FROM uploaded_card WHERE is_deleted = 'NO' AND group_id IS NOT NULL AND status = 'ACTIVE')
-SELECT u.id, CASE WHEN p > 1 THEN 'YES' ELSE is_deleted END AS is_deleted FROM uploaded_card u LEFT JOIN live USING (id)""")
+WITH same AS (SELECT min(id) AS keep_id, list(id) AS ids FROM uploaded_card WHERE is_deleted = 'NO' AND group_id IS NOT NULL AND status = 'ACTIVE' GROUP BY {_CONTENT} HAVING count(*) > 1),
+extra AS (SELECT id FROM (SELECT keep_id, unnest(ids) AS id FROM same) x WHERE id > keep_id)
+SELECT id, CASE WHEN id IN (SELECT id FROM extra) THEN 'YES' ELSE is_deleted END AS is_deleted FROM uploaded_card""")
 def keep_lowest_id_dedupe(s: Source) -> DataFrame:
-    return M.soft_delete_duplicates(s.uploaded_card, cross_group=True).select("id", "is_deleted")
+    return M.soft_delete_duplicates(uploaded(s), cross_group=True).select("id", "is_deleted")
 
 
 def _hash_cell(c: str) -> str:
@@ -345,13 +352,13 @@ owners AS (SELECT h, group_id AS owner FROM (SELECT *, row_number() OVER (PARTIT
 
 @query("regroup_owners", _HASHED + "SELECT h AS new_hash, owner, n AS hash_rows FROM sizes LEFT JOIN owners USING (h)")
 def regroup_owners(s: Source) -> DataFrame:
-    return M.regroup_plan(s.uploaded_card)
+    return M.regroup_plan(uploaded(s))
 
 
 @query("regroup", _HASHED + """, created AS (SELECT h, (SELECT max(group_id) FROM h) + row_number() OVER (ORDER BY h) AS g FROM sizes LEFT JOIN owners USING (h) WHERE owner IS NULL)
 SELECT h.id, h.group_id AS old_group_id, coalesce(owner, g) AS new_group_id FROM h LEFT JOIN owners USING (h) LEFT JOIN created USING (h)""")
 def regroup(s: Source) -> DataFrame:
-    return M.regroup(s.uploaded_card)
+    return M.regroup(uploaded(s))
 
 
 @query("regroup_report", _HASHED + """, pieces AS (SELECT group_id, count(DISTINCT h) AS p FROM h WHERE group_id IS NOT NULL GROUP BY 1)
@@ -359,7 +366,7 @@ SELECT (SELECT count(*) FROM h) AS scanned_rows, (SELECT count(*) FROM h WHERE g
   (SELECT count(*) FROM pieces WHERE p > 1) AS splitting_groups, (SELECT count(*) FROM owners) AS groups_kept, (SELECT count(*) FROM sizes LEFT JOIN owners USING (h) WHERE owner IS NULL) AS groups_created,
   (SELECT CAST(sum(n) AS BIGINT) FROM sizes LEFT JOIN owners USING (h) WHERE owner IS NULL) AS rows_reassigned, (SELECT count(*) FROM pieces) - (SELECT count(*) FROM owners) AS groups_retired""")
 def regroup_report(s: Source) -> DataFrame:
-    return M.regroup_report(s.uploaded_card)
+    return M.regroup_report(uploaded(s))
 
 
 @query("dedupe_within_file", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY insurance_company, product_name, policy_category, plan_names, business_type, min_deductible, max_deductible, min_sum_insured, max_sum_insured, min_age, max_age, pincode_zone, from_date, to_date ORDER BY id) AS p FROM health_card) x WHERE p = 1")
