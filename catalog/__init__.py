@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalar_queries", "mapping_queries", "overlap_queries", "card_queries"]
+MODULES = ["scalar_queries", "mapping_queries", "overlap_queries", "card_queries", "flow_queries"]
 
 
 def load() -> tuple[dict, dict]:

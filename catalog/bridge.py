@@ -269,7 +269,7 @@ SELECT o_orderkey AS id, 'INSURER ' || {_text('o_custkey % 9')} AS insurer_name,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS work_effected_date,
   CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'grid_documents/' || {_text('o_orderkey % 3000')} || '_insurer_' || {_text('o_custkey % 9')}
        || '.csv' END AS file_key,
-  CAST(o_totalprice AS BIGINT) AS file_size
+  CAST(floor(o_totalprice) AS BIGINT) AS file_size
 FROM {{orders}}
 """
 
