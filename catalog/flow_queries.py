@@ -79,7 +79,7 @@ def life_grid_load(s: Source) -> DataFrame:
     """Rows written as one grid file per insurer and read back."""
     path = scratch(s)
     row = F.struct(F.col("row_id").alias("Row_ID"), F.col("insurer").alias("InsurerDisplay"), F.coalesce(F.col("base_rate").cast("string"), "base_text").alias("Base_Payout_Yr1"))
-    s.life.groupBy("insurer").agg(F.collect_list(row).alias("rows")).select("rows").write.json(path)
+    s.life.groupBy("insurer").agg(F.collect_list(row).alias("rows")).write.partitionBy("insurer").json(path)
     return LS.read_life_grid(s.spark, path).select(F.col("Row_ID").alias("row_id"), F.col("InsurerDisplay").alias("insurer"), F.col("Base_Payout_Yr1").alias("base_rate"),
                                                   F.col("Base_Payout_Yr1_text").alias("base_text"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ratecraft import constants as K
-from ratecraft.functions.text import col, lowered, none_if_empty, squash_whitespace, strip
+from ratecraft.functions.text import col, let, lowered, none_if_empty, squash_whitespace, strip
 
 
 def canonical_type(category: Column | str) -> Column:
@@ -26,36 +26,50 @@ def renewal_years(label: Column | str) -> Column:
 
     ``years`` is NULL where the label names no renewal year and is not open ended either.
     """
-    text = F.lower(squash_whitespace(label))
-    named = F.array_distinct(F.concat(*[_years(text, p) for p in K.RENEWAL_YEAR_PATTERNS]))
-    low = none_if_empty(F.regexp_extract(text, K.RENEWAL_RANGE_PATTERN, 1)).try_cast("int")
-    high = none_if_empty(F.regexp_extract(text, K.RENEWAL_RANGE_PATTERN, 2)).try_cast("int")
     no_years = F.array().cast("array<int>")
-    between = F.when((low <= high) & (high - low <= 20), F.sequence(low, F.greatest(low, high))).otherwise(no_years)
-    named = F.array_union(named, between)
-    named = F.when(F.size(named) > 0, F.array_union(named, _years(text, K.RENEWAL_ALSO_PATTERN))).otherwise(named)
-    open_ended = text.rlike(K.RENEWAL_OPEN_PATTERN)
-    only_first = (F.size(named) == 1) & F.array_contains(named, F.lit(1)) & ~open_ended
-    later = F.array_sort(F.filter(named, lambda y: y != 1))
-    unknown = only_first | ((F.size(later) == 0) & ~open_ended)
-    return F.struct(
-        F.coalesce(only_first, F.lit(False)).alias("year_one_only"),
-        F.when(~unknown, later).alias("years"),
-        (open_ended & ~only_first).alias("open_ended"),
-    )
+
+    def between(text: Column) -> Column:
+        bounds = F.struct(*[
+            none_if_empty(F.regexp_extract(text, K.RENEWAL_RANGE_PATTERN, i)).try_cast("int").alias(n)
+            for i, n in ((1, "low"), (2, "high"))
+        ])
+        return let(bounds, lambda b: F.when(
+            (b["low"] <= b["high"]) & (b["high"] - b["low"] <= 20),
+            F.sequence(b["low"], F.greatest(b["low"], b["high"]))).otherwise(no_years))
+
+    def named(text: Column) -> Column:
+        direct = F.array_distinct(F.concat(*[_years(text, p) for p in K.RENEWAL_YEAR_PATTERNS]))
+        also = _years(text, K.RENEWAL_ALSO_PATTERN)
+        return let(F.array_union(direct, between(text)), lambda y: F.when(F.size(y) > 0, F.array_union(y, also)).otherwise(y))
+
+    def judged(found: Column) -> Column:
+        years, open_ended = found["years"], found["open_ended"]
+        only_first = (F.size(years) == 1) & F.array_contains(years, F.lit(1)) & ~open_ended
+        later = F.array_sort(F.filter(years, lambda y: y != 1))
+        unknown = only_first | ((F.size(later) == 0) & ~open_ended)
+        return F.struct(
+            F.coalesce(only_first, F.lit(False)).alias("year_one_only"),
+            F.when(~unknown, later).alias("years"),
+            (open_ended & ~only_first).alias("open_ended"),
+        )
+
+    def parsed(text: Column) -> Column:
+        found = F.struct(named(text).alias("years"), text.rlike(K.RENEWAL_OPEN_PATTERN).alias("open_ended"))
+        return let(found, judged)
+
+    return let(F.lower(squash_whitespace(label)), parsed)
 
 
 def renewal_slots(parsed: Column) -> Column:
     """Slots 0 (year 2) to 4 (year 6 and later) that the parsed years fill, sorted."""
-    years = F.coalesce(parsed["years"], F.array().cast("array<int>"))
-    named = F.transform(F.filter(years, lambda y: y > 1), lambda y: F.least(y - 2, F.lit(4)))
-    first = F.array_min(years)
-    onwards = F.sequence(F.greatest(F.least(first - 2, F.lit(4)), F.lit(0)), F.lit(4))
-    slots = F.when(
-        parsed["open_ended"],
-        F.when(F.size(years) == 0, F.array(F.lit(4))).otherwise(F.concat(named, onwards)),
-    ).otherwise(named)
-    return F.array_sort(F.array_distinct(slots))
+    def slots(p: Column) -> Column:
+        years = F.coalesce(p["years"], F.array().cast("array<int>"))
+        named = F.transform(F.filter(years, lambda y: y > 1), lambda y: F.least(y - 2, F.lit(4)))
+        onwards = F.sequence(F.greatest(F.least(F.array_min(years) - 2, F.lit(4)), F.lit(0)), F.lit(4))
+        every = F.when(F.size(years) == 0, F.array(F.lit(4))).otherwise(F.concat(named, onwards))
+        return F.array_sort(F.array_distinct(F.when(p["open_ended"], every).otherwise(named)))
+
+    return let(parsed, slots)
 
 
 def ppt_from_name(name: Column | str) -> Column:

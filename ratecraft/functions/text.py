@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ratecraft import constants as K
@@ -23,6 +25,11 @@ def literal_lookup(values: dict[str, str], key: Column, default: Column | None =
     return F.coalesce(F.create_map(*pairs)[key], key if default is None else default)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value it uses several times, without writing the value's expression out each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(_BLANKS))
 
