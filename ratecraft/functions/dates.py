@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ratecraft.functions.text import col, is_missing, present
@@ -14,12 +16,20 @@ GRID_FORMATS = ["d/M/yyyy", "yyyy-M-d"]
 DOCUMENT_FORMATS = ["d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d/M/yy", "d-M-yy", "d MMM yyyy", "d MMMM yyyy"]
 
 
+_SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}"}
+
+
+def _shape(pattern: str) -> str:
+    """What text of a format looks like. A cheap test: a parser that fails costs an exception per row and format."""
+    return "^" + re.sub(r"y+|M+|[dHms]", lambda m: _SHAPES.get(m.group(), r"\d{1,2}"), pattern) + "$"
+
+
 def parse_date(c: Column | str, formats: list[str]) -> Column:
     """The first format that reads the cell wins; NULL where none does. Two-digit years pivot at 69."""
     text = present(c)
     parsed = []
     for pattern in formats:
-        day = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+        day = F.when(text.rlike(_shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
         if pattern.endswith("/yy") or pattern.endswith("-yy"):
             day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
         parsed.append(day)
