@@ -43,6 +43,7 @@ class RuleChain:
     tail_rate: list[str]
     block: str = "insurer"
     key: str = "row_id"
+    union_list: str | None = None  # a list column of which a group's rows each hold a part
 
     @property
     def rules(self) -> list[Rule]:
@@ -100,12 +101,25 @@ def best_masks(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> DataF
         .select(*lead_keys, "lead_mask", *chain.tail_rate)
         .distinct()
     )
+    if chain.union_list:
+        survivors = _with_union(survivors, chain.union_list)
     asked = policies.select(chain.key, *lead_keys, *chain.tail_policy)
     candidates = same_values(asked, survivors, lead_keys, "_s_")
     mask = F.shiftleft("lead_mask", len(chain.tail)) + mask_of(chain.tail)
     return candidates.groupBy(chain.key).agg(F.max(mask).alias("mask"))
 
 
+def _with_union(rows: DataFrame, column: str) -> DataFrame:
+    """Rows that agree on everything but one list become one row with the union of their lists.
+
+    Only the test on that list can differ between them, and it passes for the union exactly where it passes for one of
+    them, so the greatest mask stays the same. Empty lists, which match blank values only, are kept apart.
+    """
+    others = [F.col(c) for c in rows.columns if c != column]
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))).alias(column)
+    return rows.groupBy(*others, (F.size(column) == 0).alias("_empty")).agg(merged).drop("_empty")
+
+
 # ---- motor chain ----------------------------------------------------------------------------------
 def exact_or_wildcard(rate: Column, policy: Column) -> Column:
     """Blank rate matches anything; otherwise equal. Both are normalised text with '' for blank."""
@@ -244,6 +258,7 @@ def motor_chain() -> RuleChain:
             "r_tariff_max", "r_from_date", "r_to_date", "r_make_items", "r_rto_items", "r_is_ncb", "r_is_cpa",
             "r_is_zd",
         ],
+        union_list="r_rto_items",
     )
 
 
