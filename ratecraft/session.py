@@ -1,13 +1,16 @@
-"""Session defaults and staged tables."""
+"""Session defaults, staged tables, and shipping the package to executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str | None = None, app_name: str = "ratecraft", **conf: str) -> SparkSession:
@@ -23,15 +26,39 @@ def build_session(master: str | None = None, app_name: str = "ratecraft", **conf
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once per application.
+
+    Workers import the modules of pandas UDFs by name; without this they would need the package on their own path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ratecraft-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "ratecraft"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session gets a folder of its own; a cluster gets an error, because its executors
+    would each write to their own disk.
+    """
     global _LOCAL_FOLDER
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _LOCAL_FOLDER is None:
         _LOCAL_FOLDER = tempfile.mkdtemp(prefix="ratecraft-stage-")
     return _LOCAL_FOLDER
