@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratecraft.llm.chat import digests, windows
 from ratecraft.llm.common import table
+from ratecraft.llm.decontam import leaks
 from ratecraft.llm.exact import exact_groups
 from ratecraft.llm.packing import pack
+from ratecraft.llm.quality import quality
 from ratecraft.llm.simhash import near_duplicates
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +31,16 @@ def query(oracle: str | None = None):
     return keep
 
 
+@query()
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
