@@ -27,11 +27,9 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, modulus: int,
     Rows without a label do not teach. Repeated rows count as often as they occur. The bound is a fitting parameter only:
     scoring covers every row.
     """
-    from pyspark.sql import Window
-
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & (remainder("doc_id", modulus) != 0))
-    chosen = known.withColumn("order", F.xxhash64("doc_id")).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("order", "doc_id")))
-    chosen = chosen.where(F.col("rank") <= limit).select("doc_id", "y")
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(remainder("doc_id", modulus) != 0)
+    parts = [known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for value in (0, 1)]
+    chosen = parts[0].union(parts[1])
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "y")
 
 

@@ -11,9 +11,13 @@ from ratecraft.llm.chat import digests, windows
 from ratecraft.llm.common import table
 from ratecraft.llm.decontam import leaks
 from ratecraft.llm.exact import exact_groups
+from ratecraft.llm.language import languages
+from ratecraft.llm.licenses import licenses
 from ratecraft.llm.packing import pack
+from ratecraft.llm.pitman_yor import scores
 from ratecraft.llm.quality import quality
 from ratecraft.llm.simhash import near_duplicates
+from ratecraft.llm.toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +35,11 @@ def query(oracle: str | None = None):
     return keep
 
 
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,11 +50,26 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given conversations and one more, which quotes the template's own control strings."""
