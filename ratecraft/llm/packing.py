@@ -6,6 +6,7 @@ reaches the driver, however large the corpus. Pieces then take planned slots by
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,40 +19,59 @@ from ratecraft.llm.common import map_rows
 from ratecraft.session import stage
 
 CAPACITY = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 RANK_ROWS = 50_000
 
 
+# letters that keep their case rules and stay as they are under composition; other characters take the tokenizer's own way
+_OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įıĲ-ɏ]|<\|")
+# the tokenizer's own splitting pattern for such lower-case text, in UTF-8
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+
+
 class _Words(dict):
-    """Ids of a word as bytes, by the word. Bounded: it starts anew when full."""
+    """Ids as bytes, by the piece or word. Bounded: it starts anew when full."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes the words not known yet, all at once."""
-        if len(self) + len(words) > CACHE_WORDS:
+    def learn(self, pieces: set[bytes]) -> None:
+        """Encodes the pieces not known yet together; each one's last id is an end of word."""
+        if len(self) + len(pieces) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(x.ids, dtype="<u4").tobytes() for x in coded)))
+        new = [p for p in pieces if p not in self]
+        for low in range(0, len(new), 20_000):
+            part = new[low : low + 20_000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer does not end every piece with an end-of-word id")
+            raw = ids.tobytes()
+            starts = np.concatenate([[0], stops[:-1]])
+            self.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, starts.tolist(), stops.tolist()))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _READY: dict[str, _Words] = {}
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of whole texts under a tokenizer that drops white space and never joins across it.
-
-    The words between ASCII white space are encoded once and looked up afterwards.
+    """Little-endian 32-bit ids of whole texts under the word tokenizer, which lower-cases, drops white space and splits into
+    pieces that are encoded alone. Texts of plain Latin letters are split here and their pieces looked up; others, and such as
+    hold the start of a special token, are encoded whole.
     """
     words = _READY.get(path) or _READY.setdefault(path, _Words(path))
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    words.learn(set().union(*split) if split else set())
-    return [b"".join(map(words.__getitem__, s)) for s in split]
+    plain = [None if _OTHER.search(t or "") else _PIECES.findall((t or "").lower().encode()) for t in texts]
+    words.learn(set().union(*(p for p in plain if p)))
+    return [words.whole(t) if p is None else b"".join(map(words.__getitem__, p)) for t, p in zip(texts, plain)]
 
 
 def pieces(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
