@@ -102,8 +102,8 @@ def fit(bags: list[np.ndarray], labels: list[int], epochs: int = 25, seed: int =
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad * grad
                 model[k] = (model[k] - 0.004 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    if len(set(labels)) == 1:
-        model["d"] = np.float32(8 if labels[0] else -8)
+    if len(set(labels)) < 2:  # nothing to tell apart
+        model["c"], model["d"] = np.zeros(HIDDEN, dtype=np.float32), np.float32(0 if not labels else 8 if labels[0] else -8)
     return model
 
 

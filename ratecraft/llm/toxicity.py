@@ -97,7 +97,7 @@ def kernel(words: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def landmarks(bags: list[set[bytes]], labels: list[int]) -> list[bytes]:
+def landmarks(bags: list[set[bytes]], labels: list[int]) -> tuple[list[bytes], list[bytes]]:
     """Grams that cover the toxic bags, each bag a few times over, and few clean ones; then the commonest clean words."""
     holders: dict[bytes, set[int]] = defaultdict(set)
     for k, bag in enumerate(bags):
@@ -120,7 +120,7 @@ def landmarks(bags: list[set[bytes]], labels: list[int]) -> list[bytes]:
             break
         chosen.append(best)
         covered.update(holders[best])
-    return chosen + [b"^" + w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
+    return chosen, [b"^" + w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
 
 
 def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -143,17 +143,20 @@ def fit(bags: list[set[bytes]], labels: list[int], rounds: int = 600) -> dict:
     subsequences.
     """
     none = {"table": np.zeros((R**3, 1), dtype=np.float32), "offset": 0.0, "scale": 0.0, "shift": -4.0 if 0 in labels or not labels else 4.0}
-    chosen = landmarks(bags, labels) if len(set(labels)) > 1 else []
-    if not chosen:
+    marked, common = landmarks(bags, labels) if len(set(labels)) > 1 else ([], [])
+    if not marked:
         return none
+    chosen = marked + common
     bags = [bag or {b""} for bag in bags]
     words = sorted(set().union(*bags))
     # the words of a bag that are nearest to a landmark stand for it
-    near = dict(zip(words, kernel(words, features(chosen[:-COMMON]).max(axis=0)[:, None])[:, 0].tolist()))
+    near = dict(zip(words, kernel(words, features(marked).max(axis=0)[:, None])[:, 0].tolist()))
     bags = [sorted(bag, key=lambda u: (-near[u], u))[:WORST] for bag in bags]
     toxic, clean = (Counter(u for bag, label in zip(bags, labels) if label == k for u in bag) for k in (1, 0))
     # to blame are words that come again in toxic texts and never in clean ones
     blamed = sorted(u for u, n in toxic.items() if n > 2 and u not in clean)
+    if not blamed:
+        return none
     words = blamed + sorted(clean)
     y = np.where(np.arange(len(words)) < len(blamed), 1.0, -1.0)
     weight = np.sqrt([toxic[u] for u in blamed] + [clean[u] for u in words[len(blamed) :]])
