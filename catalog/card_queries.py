@@ -182,9 +182,9 @@ def near_duplicate_collapse(s: Source) -> DataFrame:
     return S.lowest_per_offer(s.rate_card.where("is_deleted <> 'YES'")).select("id", "effective_rate")
 
 
-@query("lock_checker_search", f"""{_ALL}, {_FIRST.replace('{r}', _LOCK_RANK)}, top AS (SELECT * FROM first ORDER BY {_LOCK_RANK} LIMIT 2000),
+@query("lock_checker_search", f"""{_ALL}, {_FIRST.replace('{r}', _LOCK_RANK)},
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insurance_company, tariff_min, tariff_max, po_type, po_flat_amount, add_tnc ORDER BY eff, {_LOCK_RANK}) AS q
-  FROM (SELECT *, {_LOCK_EFF} AS eff FROM top) e) x WHERE q = 1), shown AS (SELECT * FROM one ORDER BY eff DESC, {_LOCK_RANK} LIMIT 300),
+  FROM (SELECT *, {_LOCK_EFF} AS eff FROM first) e) x WHERE q = 1), shown AS (SELECT * FROM one),
 mine AS (SELECT rate_id, max_by(status, id) AS st FROM locks WHERE lower(vehicle_no) = 'mh03ab3' AND lower(policy_holder_name) = 'holder 3' GROUP BY 1)
 SELECT id, eff AS effective_rate, coalesce(st, 'UNLOCKED') AS lock_status FROM shown LEFT JOIN mine ON rate_id = id""")
 def lock_checker_search(s: Source) -> DataFrame:
@@ -202,14 +202,14 @@ _HEALTH = """WITH ok AS (SELECT * FROM health_card WHERE status = 'ACTIVE' AND c
 _HSEARCH = S.HealthSearch(target_date="1998-01-01", age="30", pincode="400007")
 
 
-@query("health_payout_search", _HEALTH + "SELECT id, coalesce(one_year_rate, payin_rate) AS applicable_rate FROM ok ORDER BY one_year_rate DESC NULLS LAST, payin_rate DESC NULLS LAST, id DESC LIMIT 200")
+@query("health_payout_search", _HEALTH + "SELECT id, coalesce(one_year_rate, payin_rate) AS applicable_rate FROM ok ORDER BY one_year_rate DESC NULLS LAST, payin_rate DESC NULLS LAST, id DESC")
 def health_payout_search(s: Source) -> DataFrame:
     return S.health_search(S.health_eligible(s.health_card, _HSEARCH, pin_master(s)))[0].select("id", "applicable_rate")
 
 
 @query("health_search_total", _HEALTH + "SELECT count(*) AS total_found, count(*) > 200 AS has_more FROM ok")
 def health_search_total(s: Source) -> DataFrame:
-    return S.health_search(S.health_eligible(s.health_card, _HSEARCH, pin_master(s)))[1]
+    return S.health_search(S.health_eligible(s.health_card, _HSEARCH, pin_master(s)), limit=200)[1]
 
 
 @query("zone_search_fallback", "SELECT id FROM health_card WHERE status = 'ACTIVE' AND coalesce(is_deleted, 'NO') <> 'YES' AND pincode_zone LIKE '%z\\_4%' ESCAPE '\\'")

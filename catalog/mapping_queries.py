@@ -320,10 +320,10 @@ def failed_rows_by_status(s: Source) -> DataFrame:
   SELECT 'no_match' AS kind, trim(split_part(x, ' — ', 1)) AS rule, trim(substring(x, strpos(x, ' — ') + 3)) AS detail
   FROM (SELECT unnest(failed) AS x FROM spoken JOIN result USING (row_id) WHERE mapping_status = '❌ NO MATCH') named
 ), keyed AS (
-  SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(substring(detail, 1, 60))) AS value FROM gap
+  SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(detail)) AS value FROM gap
   UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)) FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
 ), counted AS (SELECT kind, rule, value, count(*) AS n FROM keyed GROUP BY 1, 2, 3)
-SELECT kind, rule, value, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, rule, value) AS place FROM counted) ranked WHERE place <= 25""")
+SELECT kind, rule, value, n FROM counted""")
 def coverage_gaps(s: Source) -> DataFrame:
     from ratecraft.operators import gaps as G
 

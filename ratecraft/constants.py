@@ -14,16 +14,10 @@ INSURER_SCORE_MIN = 55
 CATEGORY_RATIO_ABOVE = 75
 PLAN_RATIO_MIN = 80
 SPELLING_RATIO_MIN = 90
-SPELLING_LIMIT = 50
 MODEL_SHARED_WORDS = 2
 PI_PO_MARGIN = 7
 STP_TARIFF_MAX = 100.01
 ABOVE_25_LAKH = 2_500_000
-MOTOR_SEARCH_MAX = 300
-LOCK_SEARCH_GROUPS = 2000
-LOCK_SEARCH_MAX = 300
-HEALTH_SEARCH_MAX = 200
-GAP_ENTRIES = 25
 CLUSTER_PREVIEW_ITEMS = 8
 CLUSTER_PREVIEW_CHARS = 80
 LOG_RETENTION_DAYS = 7

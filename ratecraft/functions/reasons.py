@@ -46,10 +46,10 @@ def split_failed_on(reason: Column | str) -> Column:
 
 
 def gap_key(detail: Column | str) -> Column:
-    """What has to be added to close a gap: the first quoted value, else the start of the sentence."""
+    """What has to be added to close a gap: the first quoted value, else the whole sentence."""
     d = col(detail)
     quoted = none_if_empty(strip(F.regexp_extract(d, r"'([^']*)'", 1)))
-    return F.coalesce(quoted, strip(F.substring(d, 1, 60)))
+    return F.coalesce(quoted, strip(d))
 
 
 def group_id_text(reason: Column | str) -> Column:

@@ -230,7 +230,7 @@ def default_process(c: Column) -> Column:
     return strip(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", " "))
 
 
-def suggest_spellings(values: DataFrame, master: DataFrame, limit: int = K.SPELLING_LIMIT) -> DataFrame:
+def suggest_spellings(values: DataFrame, master: DataFrame, limit: int | None = None) -> DataFrame:
     """(value, item, score, tie, place): cluster items that look like another spelling of a value, best first.
 
     A pair scores 90 by its token sets only if it shares a word, or if the texts as a whole are that close.
@@ -267,7 +267,7 @@ def suggest_spellings(values: DataFrame, master: DataFrame, limit: int = K.SPELL
         .select("value", "item", "score", "tie")
     )
     order = [F.desc("score"), F.desc("tie"), F.asc("item")]
-    return first_per_group(named, ["value"], order, limit)
+    return first_per_group(named, ["value"], order, 2**31 - 1 if limit is None else limit)
 
 
 def item_index(master: DataFrame) -> DataFrame:

@@ -107,13 +107,9 @@ def with_display(rates: DataFrame) -> DataFrame:
 
 def motor_page(eligible_rates: DataFrame, skip: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """One page of groups, best first, and a one-row frame saying whether another group follows."""
-    size = min(limit, K.MOTOR_SEARCH_MAX - skip)
-    groups = best_of_group(eligible_rates, MOTOR_ORDER)
-    if size <= 0:
-        return with_display(groups.limit(0)), groups.limit(0).agg(F.lit(False).alias("has_more"))
-    ordered = groups.orderBy(*_ranking(MOTOR_ORDER))
-    page = with_display(ordered.offset(skip).limit(size))
-    more = ordered.offset(skip).limit(size + 1).agg((F.count("*") > size).alias("has_more"))
+    ordered = best_of_group(eligible_rates, MOTOR_ORDER).orderBy(*_ranking(MOTOR_ORDER))
+    page = with_display(ordered.offset(skip).limit(limit))
+    more = ordered.offset(skip).limit(limit + 1).agg((F.count("*") > limit).alias("has_more"))
     return page, more
 
 
@@ -144,11 +140,11 @@ def lock_status(results: DataFrame, locks: DataFrame, vehicle_no: str, holder: s
     ).drop("_status")
 
 
-def lock_search(eligible_rates: DataFrame, locks: DataFrame, vehicle_no: str, holder: str) -> DataFrame:
-    """Lock-checker result: first row per group, the first 2,000 groups, near-duplicates collapsed, 300 best shown."""
-    groups = best_of_group(eligible_rates, LOCK_ORDER).orderBy(*_ranking(LOCK_ORDER)).limit(K.LOCK_SEARCH_GROUPS)
-    offers = lowest_per_offer(groups)
-    shown = offers.orderBy(F.desc("effective_rate"), *_ranking(LOCK_ORDER)).limit(K.LOCK_SEARCH_MAX)
+def lock_search(eligible_rates: DataFrame, locks: DataFrame, vehicle_no: str, holder: str, limit: int | None = None) -> DataFrame:
+    """Lock-checker result: first row per group, near-duplicates collapsed, best first; ``limit`` asks for the top only."""
+    offers = lowest_per_offer(best_of_group(eligible_rates, LOCK_ORDER))
+    shown = offers.orderBy(F.desc("effective_rate"), *_ranking(LOCK_ORDER))
+    shown = shown if limit is None else shown.limit(limit)
     return with_display(lock_status(shown, locks, vehicle_no, holder))
 
 
@@ -187,16 +183,16 @@ def health_eligible(rates: DataFrame, search: HealthSearch, pincode_master: Data
     return listed_by(found, "pincode_zone", search.pincode, zones, "none" if strict else "contains")
 
 
-def health_search(eligible_rates: DataFrame, term: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The best 200 rows by tenure rate, and (total, has_more)."""
+def health_search(eligible_rates: DataFrame, term: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows by tenure rate, best first, at most ``limit`` of them if given, and (total, has_more)."""
     rate = K.TENURE_RATES[term - 1]
     shown = (
         eligible_rates.withColumn("applicable_rate", F.coalesce(rate, "payin_rate"))
         .orderBy(F.desc_nulls_last(rate), F.desc_nulls_last("payin_rate"), F.desc("id"))
-        .limit(K.HEALTH_SEARCH_MAX)
     )
+    shown = shown if limit is None else shown.limit(limit)
     total = eligible_rates.agg(F.count("*").alias("total_found")).withColumn(
-        "has_more", F.col("total_found") > K.HEALTH_SEARCH_MAX
+        "has_more", F.lit(False) if limit is None else F.col("total_found") > limit
     )
     return shown, total
 
