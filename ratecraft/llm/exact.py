@@ -56,7 +56,8 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         same = recipes["doc_id"].eqNullSafe(numbers["doc_id"]) & (recipes["text_sha256"] == numbers["text_sha256"])
         recipes = recipes.join(numbers, same, "left").select(recipes["*"], F.coalesce(numbers["numbers"], empty).alias("numbers"))
     recipes = stage(recipes)
-    groups = recipes.groupBy("recipe", "numbers").agg(F.max("doc_id").alias("largest"), F.count("*").alias("size")).where("size > 1")
+    # written first, so that the join has two plain exchanges and a very large group can be split
+    groups = stage(recipes.groupBy("recipe", "numbers").agg(F.max("doc_id").alias("largest"), F.count("*").alias("size")).where("size > 1"))
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("largest"))
     return recipes.join(groups, ["recipe", "numbers"], "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
