@@ -168,5 +168,6 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     hung = stage(components(links(nodes)).withColumnRenamed("node", "fp"))
     least = hung.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component"))
     moved = hung.join(least, "root").select("fp", "component")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # written first, so that the join has two plain exchanges and a very common fingerprint can be split
+    named = stage(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
