@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratecraft.llm.common import map_rows
+from ratecraft.session import stage
 
 SEGMENT = 48  # words of an item that are indexed together
 PASSAGE, STEP = 96, 48  # words; any segment lies whole in some passage
@@ -176,7 +177,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, shard: int = SHARD) -> Dat
     postings = parts.select("item", "segment", "length", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("item", "segment", "length", "p.terms", "p.counts")
     frequency = postings.groupBy("terms").agg(F.count("*").alias("frequency"))
     full = postings.join(frequency, "terms").groupBy("item", "segment", "length").agg(F.sort_array(F.collect_list(F.struct("terms", "counts", "frequency"))).alias("p"))
-    full = full.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).join(items.withColumnRenamed("item_id", "item"), "item")
+    # written once, as every shard reads its part of it
+    full = stage(full.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).join(items.withColumnRenamed("item_id", "item"), "item"))
     out = None
     for k in range(shards):
         rows = full.where(F.col("shard") == k).select("item", "segment", "length", F.col("p.terms").alias("terms"), F.col("p.counts").alias("counts"), F.col("p.frequency").alias("frequencies"), "text").orderBy("item", "segment").collect()
