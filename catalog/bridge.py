@@ -38,9 +38,12 @@ def _text(x: str) -> str:
 
 VIEWS: dict[str, str] = {}
 
+# Every line is a policy; lines that share order and number get ids of their own.
 VIEWS["policy"] = f"""
-SELECT * FROM (
-  SELECT l.l_orderkey * 8 + l.l_linenumber AS row_id,
+SELECT line_id + (rn - 1) * 10000000000 AS row_id, file_id, insurer_no, insurer_raw, product, fuel, vehicle_class, cc, ncb, inception, make_model, nationkey, rto,
+  total_od, tp_premium, discount, orderkey, linenumber, partkey, suppkey, custkey, segment
+FROM (
+  SELECT l.l_orderkey * 8 + l.l_linenumber AS line_id,
          1 + l.l_orderkey % 5 AS file_id,
          l.l_suppkey % 12 AS insurer_no,
          'supplier ' || {_two('l.l_suppkey % 12')} || ' gen. insurance' AS insurer_raw,
@@ -60,7 +63,7 @@ SELECT * FROM (
   JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey
   JOIN {{part}} p ON p.p_partkey = l.l_partkey
   JOIN {{customer}} c ON c.c_custkey = o.o_custkey
-) numbered WHERE rn = 1
+) numbered
 """
 
 _DAY, _MONTH, _YEAR = _two("day(inception)"), _two("month(inception)"), _text("year(inception)")

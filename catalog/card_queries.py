@@ -137,14 +137,15 @@ def dimension_star_join(s: Source) -> DataFrame:
 # ---- searches -------------------------------------------------------------------------------------
 _RANK = "pi_net_rate DESC NULLS LAST, pi_od_rate DESC NULLS LAST, pi_flat_amount DESC NULLS LAST, id DESC"
 _LOCK_RANK = "po_net_rate DESC NULLS LAST, po_od_rate DESC NULLS LAST, po_flat_amount DESC NULLS LAST, id DESC"
-_ELIGIBLE = """WITH ok AS (SELECT *, coalesce(group_id, id) AS k FROM rate_card WHERE is_deleted <> 'YES' AND lower(product) = 'small' AND coalesce(from_date <= DATE '1998-12-31', true)
+_ELIGIBLE = """WITH meant AS (SELECT DISTINCT name FROM spelling asked JOIN spelling same USING (mapping_id) JOIN make_items ON upper(item) = same.value OR upper(item) LIKE same.value || ' %' WHERE asked.value = 'RED RING'),
+ok AS (SELECT *, coalesce(group_id, id) AS k FROM rate_card WHERE is_deleted <> 'YES' AND lower(product) = 'small' AND coalesce(from_date <= DATE '1998-12-31', true)
   AND coalesce(to_date >= DATE '1998-12-31', true) AND coalesce(cc_min <= 22, true) AND coalesce(cc_max >= 22, true) AND is_ncb IN ('YES', 'NA') AND new_rto_list IN ('zone_2')
-  AND list_has_any(string_split(new_vehicle_makes, ', '), ['mk_ring', 'mk_all']))"""
+  AND list_has_any(string_split(new_vehicle_makes, ', '), (SELECT list(name) FROM meant)))"""
 _SEARCH = S.MotorSearch(target_date="1998-12-31", product="small", cc="22", rto_code="NA07", make_name="red ring", codes={"is_ncb": "yes"})
 
 
 def eligible(s: Source) -> DataFrame:
-    return S.eligible(s.rate_card, _SEARCH, rto_master(s), make_master(s), s.spelling.where("value = 'none'"))
+    return S.eligible(s.rate_card, _SEARCH, rto_master(s), make_master(s), s.spelling)
 
 
 @query("eligible_motor_rates", _ELIGIBLE + "SELECT id, k AS group_key FROM ok")
@@ -548,6 +549,11 @@ def zone_sync(s: Source) -> DataFrame:
     return M.missing_zones(s.health_card, pin_master(s).where("name <> 'pz_4'")).select("name")
 
 
+@query("zone_sync_master", "SELECT name FROM (SELECT DISTINCT name FROM pin_items WHERE name <> 'pz_4') p UNION SELECT DISTINCT pincode_zone FROM health_card WHERE coalesce(is_deleted, 'NO') <> 'YES' AND coalesce(pincode_zone, '') <> ''")
+def zone_sync_master(s: Source) -> DataFrame:
+    return M.sync_zones(s.health_card, pin_master(s).where("name <> 'pz_4'")).select("name")
+
+
 @query("shared_list_items", "SELECT id, array_to_string(list_sort(list_intersect(string_split(new_vehicle_makes, ', '), ['mk_ring', 'mk_rod', 'mk_all'])), ',') AS shared FROM rate_card")
 def shared_list_items(s: Source) -> DataFrame:
     names = T.literal_array(["mk_ring", "mk_rod", "mk_all"])

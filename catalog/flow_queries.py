@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.card_queries import life_rows
-from catalog.mapping_queries import make_master, pin_master, rto_master
-from catalog.registry import Source, query
+from catalog.mapping_queries import make_master, motor_results, pin_master, rto_master
+from catalog.registry import ORACLES, Source, query
 from ratecraft import constants as K
 from ratecraft.functions import documents as J, life as LF
 from ratecraft.operators import documents as DOC, gaps as G, life as L, logs as LOG, maintain as M
@@ -198,13 +198,20 @@ def orphan_detection(s: Source) -> DataFrame:
     return M.orphans(files, s.grids.where("id % 2 = 0"), F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1999-12-31"))).select("id")
 
 
-@query("spelling_map_problems", """SELECT upper(p_name) AS value, count(DISTINCT p_brand) AS n FROM {part} GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
+@query("spelling_map_problems", """WITH batch AS (SELECT upper(p_brand) || CASE WHEN p_partkey % 50 = 0 THEN ' ' || CAST(p_partkey AS STRING) ELSE '' END AS name,
+  CASE WHEN p_partkey % 50 = 0 THEN upper(p_brand) || ' ' || CAST(p_partkey AS STRING) WHEN p_partkey % 7 = 0 THEN upper(p_name) || ', OLD' ELSE upper(p_name) END AS value FROM {part}),
+r AS (SELECT DISTINCT name, value FROM (SELECT name, value FROM batch UNION ALL SELECT name, name FROM batch) b)
+SELECT name, value, 'contains a comma' AS problem FROM r WHERE contains(value, ',')
+UNION ALL SELECT name, name, 'needs another spelling' FROM r GROUP BY name HAVING count(DISTINCT value) < 2
+UNION ALL SELECT min(name), value, 'is in several mappings of the batch' FROM r GROUP BY value HAVING count(DISTINCT name) > 1
+UNION ALL SELECT DISTINCT name, value, 'is already mapped under "' || mapping_name || '"' FROM r JOIN spelling USING (value)""")
 def spelling_map_problems(s: Source) -> DataFrame:
-    """Spellings that several mappings of one batch (one per brand) claim."""
-    batch = s.part.select(F.lit(None).cast("bigint").alias("mapping_id"), F.col("p_brand").alias("name"), F.col("p_name").alias("value"))
-    problems = M.mapping_problems(batch, s.spelling.where("mapping_id < 0")).where("problem LIKE 'is in several%'")
-    counts = M.mapping_rows(batch).groupBy("value").agg(F.count_distinct("name").alias("n"))
-    return problems.join(counts, "value").select("value", "n")
+    """One new mapping per brand, and one of its own name alone for each fiftieth part, checked against the known spellings."""
+    alone, number = F.col("p_partkey") % 50 == 0, F.concat(F.lit(" "), F.col("p_partkey").cast("string"))
+    name = F.concat(F.col("p_brand"), F.when(alone, number).otherwise(F.lit("")))
+    value = F.when(alone, name).when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(", old"))).otherwise(F.col("p_name"))
+    batch = s.part.select(F.lit(None).cast("bigint").alias("mapping_id"), name.alias("name"), value.alias("value"))
+    return M.mapping_problems(batch, s.spelling)
 
 
 @query("spelling_map_changes", "SELECT mapping_id, 'removed' AS change, count(*) AS n FROM spelling WHERE value LIKE 'RED%' GROUP BY 1 UNION ALL SELECT mapping_id, 'added', 1 FROM (SELECT DISTINCT mapping_id FROM spelling) x")
@@ -259,14 +266,12 @@ def failed_row_filter(s: Source) -> DataFrame:
     return G.filter_failed(failed_texts(s), files(s), status_key="NO_MATCH", insurer="supplier 04 gen. insurance", date_to="1995-01-31").select("id")
 
 
-@query("duplicate_name_guard", "SELECT upper(item) AS value, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM make_items GROUP BY 1")
+@query("duplicate_name_guard", """WITH w AS (SELECT DISTINCT upper(item) AS item, name, unnest(string_split(upper(item), ' ')) AS word FROM make_items),
+v AS (SELECT DISTINCT item AS value, word FROM w), hit AS (SELECT DISTINCT value, name FROM (SELECT value, name, item FROM v JOIN w USING (word) GROUP BY 1, 2, 3 HAVING count(*) > 1) pairs)
+SELECT value, string_agg(name, ',' ORDER BY name) AS names FROM hit GROUP BY 1""")
 def duplicate_name_guard(s: Source) -> DataFrame:
     values = make_master(s).select(F.explode(F.split("cluster", ",")).alias("value"))
-    listed = G.already_listed(values, make_master(s))
-    # An item of two words plus 'lx' also matches items that share 'lx' and one word, so the guard reports at least the listing groups.
-    own = make_master(s).select("name", F.explode(F.split(F.upper("cluster"), ",")).alias("value"))
-    hits = listed.select("value", F.explode("names").alias("name")).join(own, ["value", "name"])
-    return hits.groupBy("value").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    return G.already_listed(values, make_master(s)).select("value", F.array_join("names", ",").alias("names"))
 
 
 @query("bulk_cluster_append", "SELECT name, CAST(count(*) AS BIGINT) + CASE WHEN name = 'mk_all' THEN (SELECT count(DISTINCT s_nationkey) FROM {supplier}) ELSE 0 END AS items FROM make_items GROUP BY 1")
@@ -328,23 +333,33 @@ def populated_renewal_years(s: Source) -> DataFrame:
 
 
 def columns_of(s: Source) -> DataFrame:
-    return s.life_label.select(F.col("line").alias("table_id"), "position", "label").where("position < 9")
+    return s.life_label.select(F.col("line").alias("table_id"), "position", "label")
 
 
-@query("renewal_slot_assignment", """SELECT DISTINCT table_id, slot, position FROM (SELECT line AS table_id, count(*) AS n FROM life_label WHERE position < 9 GROUP BY 1 HAVING count(*) = 9) t,
-  (SELECT unnest([0, 1, 2, 3, 4]) AS slot, unnest([3, 1, 3, 3, 8]) AS position) a""")
+# The slots each label names, and whether it is a total; 'Renewal' takes what is free, and 'Reward Yr-1' names none.
+_SLOTS = """WITH claim AS (SELECT * FROM (VALUES ('Year 2', 0, false), ('Yr-3 Total', 1, true), ('Year 4 & 5 Onwards', 2, false), ('Year 4 & 5 Onwards', 3, false), ('Year 4 & 5 Onwards', 4, false),
+  ('Year 2 TO 5', 0, false), ('Year 2 TO 5', 1, false), ('Year 2 TO 5', 2, false), ('Year 2 TO 5', 3, false), ('Renewal at 6th year', 4, false), ('3rd year', 1, false),
+  ('Year 2 and 3', 0, false), ('Year 2 and 3', 1, false), ('Yr. 10', 4, false), ('Comm. Yr-1 + Bonus', 4, false), ('Beyond', 4, false)) c(label, slot, total)),
+named AS (SELECT line AS table_id, position, slot, total FROM life_label JOIN claim USING (label)),
+rest AS (SELECT line AS table_id, position, row_number() OVER (PARTITION BY line ORDER BY position) AS n FROM life_label WHERE label = 'Renewal'),
+free AS (SELECT table_id, slot, row_number() OVER (PARTITION BY table_id ORDER BY slot) AS n FROM (SELECT DISTINCT line AS table_id, slot FROM life_label, (SELECT unnest([0, 1, 2, 3, 4]) AS slot) e) t
+  WHERE NOT EXISTS (SELECT 1 FROM named WHERE named.table_id = t.table_id AND named.slot = t.slot)),
+every AS (SELECT table_id, slot, position, total FROM named UNION ALL SELECT rest.table_id, coalesce(free.slot, 4), position, false FROM rest LEFT JOIN free ON free.table_id = rest.table_id AND free.n = rest.n),
+chosen AS (SELECT table_id, slot, arg_max(position, CAST(total AS INTEGER) * 100 + position) AS position FROM every GROUP BY 1, 2)
+"""
+
+
+@query("renewal_slot_assignment", _SLOTS + "SELECT table_id, slot, position FROM chosen")
 def renewal_slot_assignment(s: Source) -> DataFrame:
-    whole = columns_of(s).groupBy("table_id").agg(F.count("*").alias("n")).where("n = 9").select("table_id")
-    return L.slot_columns(columns_of(s)).join(whole, "table_id").select("table_id", "slot", F.col("position").cast("int").alias("position"))
+    return L.slot_columns(columns_of(s)).select("table_id", "slot", F.col("position").cast("int").alias("position"))
 
 
-@query("wide_payout_records", """SELECT line AS table_id, max(CASE WHEN position = 3 THEN value END) AS yr2, max(CASE WHEN position = 1 THEN value END) AS yr3, max(CASE WHEN position = 8 THEN value END) AS yr6
-FROM life_label WHERE position < 9 GROUP BY 1 HAVING count(*) = 9""")
+@query("wide_payout_records", _SLOTS + ", ".join(["SELECT c.table_id", *(f"max(CASE WHEN slot = {i} THEN value END) AS {y}" for i, y in enumerate(("yr2", "yr3", "yr4", "yr5", "yr6")))]) + """
+FROM chosen c JOIN life_label l ON l.line = c.table_id AND l.position = c.position GROUP BY 1""")
 def wide_payout_records(s: Source) -> DataFrame:
-    cells = s.life_label.select(F.col("line").alias("table_id"), F.lit(0).alias("line"), "position", "value").where("position < 9")
-    whole = columns_of(s).groupBy("table_id").agg(F.count("*").alias("n")).where("n = 9").select("table_id")
-    wide = L.wide_records(cells, columns_of(s)).join(whole, "table_id")
-    return wide.select("table_id", F.col("Renewal_Yr2").alias("yr2"), F.col("Renewal_Yr3").alias("yr3"), F.col("Renewal_Yr6_Plus").alias("yr6"))
+    cells = s.life_label.select(F.col("line").alias("table_id"), F.lit(0).alias("line"), "position", "value")
+    wide = L.wide_records(cells, columns_of(s))
+    return wide.select("table_id", *[F.col(c).alias(y) for c, y in zip(K.RENEWAL_SLOTS, ("yr2", "yr3", "yr4", "yr5", "yr6"))])
 
 
 @query("context_fill_down", """WITH c AS (SELECT p_brand AS sheet, p_partkey % 4 AS block, p_partkey AS line, CASE WHEN p_size % 3 = 0 THEN p_name END AS product, CASE WHEN p_size % 5 = 0 THEN p_type END AS category FROM {part})
@@ -395,7 +410,7 @@ def streamed(s: Source, frame: DataFrame) -> DataFrame:
 
 @query("stream_policy_mapping", "SELECT row_id, CASE lower(trim(coalesce(product, ''))) WHEN 'motor' THEN 'motor' WHEN 'health' THEN 'health' ELSE 'none' END AS route FROM mis")
 def stream_policy_mapping(s: Source) -> DataFrame:
-    """The routing step of the mapping as the batch function of a continuous job."""
+    """The routing step alone as the batch function of a continuous job."""
     from ratecraft.plans.mapping import route
 
     out, checkpoint = scratch(s), scratch(s)
@@ -404,6 +419,20 @@ def stream_policy_mapping(s: Source) -> DataFrame:
     return s.spark.read.parquet(out).select("row_id", "route")
 
 
+@query("stream_motor_mapping")
+def stream_motor_mapping(s: Source) -> DataFrame:
+    """The whole motor chain over policy files that arrive as CSV: the same rows as the batch run."""
+    arrived, out, checkpoint = scratch(s), scratch(s), scratch(s)
+    s.mis.repartition(2).write.csv(arrived, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.mis.schema.fields)
+    policies = ST.policy_stream(s.spark, arrived, kinds, files_per_batch=1).drop("file_name")
+    ST.map_stream(policies, lambda batch: motor_results(s, batch), out, checkpoint, available_now=True).awaitTermination()
+    return s.spark.read.parquet(out).select("row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate", "pi_rate", "po_type")
+
+
+ORACLES["stream_motor_mapping"] = ORACLES["motor_mapping"]
+
+
 @query("stream_rate_ingest", _INGEST + """SELECT new_rto_list, count(*) AS n FROM (SELECT DISTINCT insurance_company, new_rto_list, new_vehicle_makes, nullif(product, ''), nullif(fuel_type, ''), is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max FROM typed) d GROUP BY 1""")
 def stream_rate_ingest(s: Source) -> DataFrame:
     table, checkpoint = scratch(s), scratch(s)
@@ -421,10 +450,10 @@ def stream_failure_counts(s: Source) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    rows = s.spark.read.parquet(out)
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(last, "batch").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status_key", "n")
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    # a batch writes only the counts it changed; the last one of a window holds
+    rows = s.spark.read.parquet(out).groupBy("day", "status_key").agg(F.max_by("n", "batch").alias("n"))
+    return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status_key", "n")
 
 
 __all__ = ["LF", "pin_master"]

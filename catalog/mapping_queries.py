@@ -24,14 +24,14 @@ def pin_master(s: Source) -> DataFrame:
     return master(s.spark, s.sf_dir, "pin_items")
 
 
-def motor_features(s: Source) -> DataFrame:
-    motor = s.mis.where(M.route() == "motor")
+def motor_features(s: Source, policies: DataFrame | None = None) -> DataFrame:
+    motor = (s.mis if policies is None else policies).where(M.route() == "motor")
     features = P.motor_features(motor, RUN_YEAR)
     return M.resolve_motor(features, S.motor_rate_rows(s.rate_card), rto_master(s), make_master(s))
 
 
-def motor_results(s: Source) -> DataFrame:
-    return M.map_motor(motor_features(s), S.motor_rate_rows(s.rate_card))
+def motor_results(s: Source, policies: DataFrame | None = None) -> DataFrame:
+    return M.map_motor(motor_features(s, policies), S.motor_rate_rows(s.rate_card))
 
 
 # The motor chain in SQL: every policy against every active rate of its insurer, a bit per rule, the greatest mask.
@@ -463,5 +463,4 @@ def configured_rule_join(s: Source) -> DataFrame:
 def result_join_defaults(s: Source) -> DataFrame:
     """Policies without a result row are NO MATCH, with no payout."""
     results = s.policy.where("row_id % 3 = 0").select("row_id", F.lit("✅ MATCH").alias("mapping_status"), F.col("ncb").alias("po_rate"))
-    joined = s.policy.select("row_id").join(results, "row_id", "left")
-    return joined.withColumn("mapping_status", F.coalesce("mapping_status", F.lit("❌ NO MATCH")))
+    return M.with_results(s.policy.select("row_id"), results)

@@ -152,10 +152,13 @@ def map_policies(policies: DataFrame, motor_rates: DataFrame, health_rates: Data
     motor_results = map_motor(resolve_motor(motor, motor_rates, rto_master, make_master), motor_rates)
     health_results = map_health(routed.where("route = 'health'"), health_rates, pincode_master)
     results = motor_results.unionByName(health_results).unionByName(unroutable(routed.where("route = 'none'")))
-    joined = policies.join(results, "row_id", "left").withColumn(
-        "mapping_status", F.coalesce("mapping_status", F.lit(K.NO_MATCH))
-    )
-    return with_amounts(joined)
+    return with_amounts(with_results(policies, results))
+
+
+def with_results(policies: DataFrame, results: DataFrame) -> DataFrame:
+    """Policies with their results; a policy without any is no match."""
+    joined = policies.join(results, "row_id", "left")
+    return joined.withColumn("mapping_status", F.coalesce("mapping_status", F.lit(K.NO_MATCH)))
 
 
 def mapped_file(policies_raw: DataFrame, mapped: DataFrame, key: str = "Original_Row_ID") -> DataFrame:

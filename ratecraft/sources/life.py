@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROW = """Row_ID bigint, Insurer string, InsurerDisplay string, InsurerCode string, Category string, Product_Name string, Variant string,
@@ -10,13 +11,16 @@ Renewal_Yr6_Plus string, Row_Specific_Remarks string, Sheet_Level_Notes_And_Cond
 PAYOUTS = ["Base_Payout_Yr1", "Renewal_Yr2", "Renewal_Yr3", "Renewal_Yr4", "Renewal_Yr5", "Renewal_Yr6_Plus"]
 
 
-def read_life_grid(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``{meta, rows: [...]}`` files; a missing path gives no rows. A payout is a number, a text, or NULL."""
+def read_life_grid(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """Rows of ``{meta, rows: [...]}`` files; a payout is a number, a text, or NULL. A missing path is an
+    error, or no rows where the caller allows for it."""
     schema = f"rows array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in ROW.replace(chr(10), ' ').split(',')))}>>"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        files = spark.read.schema(schema).json(path, multiLine=True)
+    except AnalysisException as error:
+        if not missing_ok or error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return typed_payouts(spark.createDataFrame([], ROW))
-    files = spark.read.schema(schema).json(path, multiLine=True)
     return typed_payouts(files.select(F.explode("rows").alias("row")).select("row.*"))
 
 
