@@ -55,6 +55,7 @@ def failed_row_sink(s: Source) -> DataFrame:
     """Failed rows written per file, one file written again: each file's rows are there once."""
     path = scratch(s)
     rows = s.mis.withColumn("mapping_status", F.when(F.col("row_id") % 2 == 0, F.lit(K.MATCH)).otherwise(F.lit(K.NO_MATCH))).withColumn("failure_reason", F.lit("No rates found for criteria"))
+    rows = rows.withColumn("match_ids", F.array().cast("array<bigint>"))
     failed = stage(G.failed_rows(rows, F.col("file_id")))
     G.write_failed_rows(failed, path)
     G.write_failed_rows(failed.where("mis_file_id = 2"), path)

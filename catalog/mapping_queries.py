@@ -120,8 +120,8 @@ SELECT found.row_id, groups AS group_count, CAST(row_total AS BIGINT) AS row_cou
 FROM found JOIN used USING (row_id)""")
 def motor_rule_join(s: Source) -> DataFrame:
     chain = J.motor_chain()
-    hits = J.motor_matches(motor_features(s), S.motor_rate_rows(s.rate_card), chain)
-    found = J.resolve_groups(hits, J.motor_payload())
+    rates = J.with_group_places(S.motor_rate_rows(s.rate_card))
+    found = J.resolve_groups(J.motor_matches(motor_features(s), rates, chain), rates, J.motor_payload())
     return found.select(
         "row_id", "group_count", "row_count", "same_payout", "group_key", J.chosen_rate("po").alias("po_rate"),
         J.chosen_rate("pi").alias("pi_rate"),
@@ -316,6 +316,16 @@ def failed_rows_by_status(s: Source) -> DataFrame:
     return G.status_totals(G.failed_rows(mapped, F.col("file_id")))
 
 
+@query("ambiguous_group_ids", _MAPPED + """
+SELECT row_id, array_to_string(list_sort(list(DISTINCT group_key)), ',') AS group_ids FROM hit JOIN result USING (row_id) WHERE mapping_status = '⚠️ MULTIPLE MATCHES' GROUP BY 1""")
+def ambiguous_group_ids(s: Source) -> DataFrame:
+    """Every group id of an ambiguous policy as its failed row keeps them, those beyond the ten of the text too."""
+    from ratecraft.operators import gaps as G
+
+    failed = G.failed_rows(s.mis.join(motor_results(s), "row_id"), F.col("file_id")).where("status_key = 'MULTIPLE_MATCHES'")
+    return failed.select("row_id", F.array_join("group_ids", ",").alias("group_ids"))
+
+
 @query("coverage_gaps", _MAPPED + """, gap AS (
   SELECT 'no_match' AS kind, trim(split_part(x, ' — ', 1)) AS rule, trim(substring(x, strpos(x, ' — ') + 3)) AS detail
   FROM (SELECT unnest(failed) AS x FROM spoken JOIN result USING (row_id) WHERE mapping_status = '❌ NO MATCH') named

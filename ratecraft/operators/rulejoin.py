@@ -284,52 +284,61 @@ def motor_matches(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> Da
     return left.join(right, [chain.block, "_rto", "_product"]).where(all_pass(chain.rules) & once)
 
 
-def resolve_groups(matches: DataFrame, payload: list[str], key: str = "row_id") -> DataFrame:
+def with_group_places(rates: DataFrame) -> DataFrame:
+    """Rate rows with what a match has to carry, as numbers: their group, their place in it (lowest effective rate, then
+    lowest id), and one id that rows of equal payout share.
+
+    Worked out on the card, which is far smaller than its matches.
+    """
+    rate = effective_rate(*[F.col(f"r_po_{f}") for f in ("type", "od_rate", "tp_rate", "net_rate")])
+    keyed = rates.withColumn("r_group", F.coalesce("r_group_id", "r_id"))
+    place = F.row_number().over(Window.partitionBy("r_group").orderBy(rate.asc_nulls_first(), "r_id"))
+    payout = F.min("r_id").over(Window.partitionBy(payout_signature("r_")))
+    return keyed.withColumns({"r_place": place, "r_payout": payout})
+
+
+def resolve_groups(matches: DataFrame, rates: DataFrame, payload: list[str], key: str = "row_id") -> DataFrame:
     """One row per matched policy: how many groups and rows matched, whether they all pay the same, and the row used.
 
     Ambiguity is judged on distinct group keys. Inside a group the row with the lowest effective rate is used (then the
-    lowest id); several groups with one payout signature count as one, the lowest.
+    lowest id); several groups with one payout signature count as one, the lowest. Matches and ``rates`` come from
+    ``with_group_places``: numbers are aggregated, and the used row is joined back at the end.
     """
-    rate = effective_rate(*[F.col(f"r_po_{f}") for f in ("type", "od_rate", "tp_rate", "net_rate")])
-    rows = matches.select(
-        key,
-        F.coalesce("r_group_id", "r_id").alias("group_key"),
-        payout_signature("r_").alias("signature"),
-        F.struct(rate.alias("rate"), F.col("r_id").alias("id")).alias("preference"),
-        F.struct(*[F.col(p) for p in payload]).alias("rate_row"),
-    ).repartition(key)
-    groups = rows.groupBy(key, "group_key").agg(
+    groups = matches.groupBy(key, F.col("r_group").alias("group_key")).agg(
         F.count("*").alias("rows"),
-        F.min("signature").alias("low_signature"),
-        F.max("signature").alias("high_signature"),
-        F.min_by("rate_row", "preference").alias("rate_row"),
+        F.min("r_payout").alias("low_payout"),
+        F.max("r_payout").alias("high_payout"),
+        F.min("r_place").alias("used"),
     )
-    return collapse_groups(groups, key)
+    row = F.struct(*[F.col(p) for p in payload]).alias("rate_row")
+    used = rates.select(F.col("r_group").alias("group_key"), F.col("r_place").alias("used"), row)
+    return collapse_groups(groups, key).join(used, ["group_key", "used"]).drop("used")
 
 
 def collapse_groups(groups: DataFrame, key: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(key).orderBy("group_key"))
-    return (
-        groups.withColumn("_place", place)
-        .groupBy(key)
-        .agg(
-            F.count("*").alias("group_count"),
-            F.sum("rows").alias("row_count"),
-            (F.min("low_signature") == F.max("high_signature")).alias("same_payout"),
-            F.min("group_key").alias("group_key"),
-            F.min_by("rate_row", "group_key").alias("rate_row"),
-            F.array_sort(F.collect_list(F.when(F.col("_place") <= 10, F.col("group_key")))).alias("first_keys"),
-        )
+    """One row per policy over its matched groups; ``used`` is that of the lowest group."""
+    return groups.groupBy(key).agg(
+        F.count("*").alias("group_count"),
+        F.sum("rows").alias("row_count"),
+        (F.min("low_payout") == F.max("high_payout")).alias("same_payout"),
+        F.min("group_key").alias("group_key"),
+        F.min_by("used", "group_key").alias("used"),
+        F.array_sort(F.collect_list("group_key")).alias("group_keys"),
     )
 
 
 def id_list_text() -> Column:
-    """First ten ids, and how many more."""
-    shown = F.array_join(F.transform("first_keys", lambda k: k.cast("string")), ", ")
+    """First ten ids, and how many more; the column ``group_keys`` keeps them all."""
+    shown = F.array_join(F.transform(F.slice("group_keys", 1, 10), lambda k: k.cast("string")), ", ")
     more = F.concat(F.lit(" … (+"), (F.col("group_count") - 10).cast("string"), F.lit(" more)"))
     return F.concat(shown, F.when(F.col("group_count") > 10, more).otherwise(F.lit("")))
 
 
+def ambiguous_ids() -> Column:
+    """All ids of a policy that several groups match, without a limit; none for every other policy."""
+    return F.when(F.col("mapping_status") == K.MULTIPLE, F.col("group_keys")).otherwise(F.array().cast("array<bigint>"))
+
+
 def motor_payload() -> list[str]:
     sides = [f"r_{side}_{f}" for side in ("po", "pi") for f in ("type", "od_rate", "tp_rate", "net_rate", "flat_amount")]
     return [*sides, "r_add_tnc"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratecraft import constants as K
 from ratecraft.functions import clusters as C, dates as D, predicates as P, text as T
@@ -38,21 +38,14 @@ def listed_by(rates: DataFrame, column: str, term: str | None, names: DataFrame
     """Rates whose list column holds a name the term resolves to.
 
     A term that resolves to nothing falls back to ``contains`` (substring of the list text) or ``none``. ``names`` has
-    one column ``name`` and at most one row per master; the test is a semi-join on the exploded list.
+    one column ``name`` and at most one row per master; they are a scalar of the one filter, so the rates are read once.
     """
     if not term or names is None:
         return rates
-    wanted = names.select(F.lower("name").alias("_name")).distinct()
-    known = wanted.agg((F.count("*") > 0).alias("_known"))
-    items = rates.select("id", F.explode(C.cluster_items(column)).alias("_name"))
-    hits = items.join(wanted, "_name", "left_semi").select("id").distinct()
-    exact = rates.join(hits, "id", "left_semi")
-    if fallback == "none":
-        return exact
-    # One-row flag: TRUE as soon as the term resolves; it decides which of the two sets is the answer.
-    loose = rates.where(C.contains_text(column, term.strip()))
-    loose = loose.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one").where("NOT _known")
-    return exact.unionByName(loose.drop("_one", "_known"))
+    wanted = names.agg(F.collect_set(F.lower("name")).alias("names")).scalar()
+    exact = F.arrays_overlap(C.cluster_items(column), wanted)
+    loose = F.lit(False) if fallback == "none" else C.contains_text(column, term.strip())
+    return rates.where(F.when(F.size(wanted) > 0, exact).otherwise(loose))
 
 
 def eligible(rates: DataFrame, search: MotorSearch, rto_master: DataFrame, make_master: DataFrame,
@@ -89,12 +82,10 @@ def _ranking(columns: list[str]) -> list[Column]:
 
 
 def best_of_group(rates: DataFrame, columns: list[str]) -> DataFrame:
-    """The first row of every group in the given order: an aggregate, so a huge group is reduced map-side."""
-    rank = F.struct(*[F.coalesce(c, F.lit(float("-inf"))).alias(c) for c in columns], F.col("id").alias("_id"))
-    row = F.struct(*[F.col(c) for c in rates.columns])
-    return rates.groupBy(group_key().alias("display_group_id")).agg(F.max_by(row, rank).alias("_row")).select(
-        "display_group_id", "_row.*"
-    )
+    """The first row of every group in the given order; a huge group is cut to its first row before the shuffle."""
+    ranked = Window.partitionBy("display_group_id").orderBy(*[F.desc_nulls_last(c) for c in columns], F.desc("id"))
+    keyed = rates.select(group_key().alias("display_group_id"), "*")
+    return keyed.withColumn("_place", F.row_number().over(ranked)).where("_place = 1").drop("_place")
 
 
 def with_display(rates: DataFrame) -> DataFrame:
@@ -123,10 +114,8 @@ def lowest_per_offer(rates: DataFrame) -> DataFrame:
                   effective_rate(*[F.col(f"po_{f}") for f in ("type", "od_rate", "tp_rate", "net_rate")])).otherwise(
         first_positive(F.col("po_net_rate"), F.col("po_od_rate"), F.col("po_tp_rate")))
     ranked = rates.withColumn("effective_rate", rate)
-    earlier = [-F.coalesce(c, F.lit(float("-inf"))) for c in LOCK_ORDER]
-    order = F.struct(F.col("effective_rate").alias("r"), *[e.alias(f"e{i}") for i, e in enumerate(earlier)], (-F.col("id")).alias("id"))
-    row = F.struct(*[F.col(c) for c in ranked.columns])
-    return ranked.groupBy(*key).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    first = Window.partitionBy(*key).orderBy(F.asc_nulls_first("effective_rate"), *_ranking(LOCK_ORDER))
+    return ranked.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
 
 
 def lock_status(results: DataFrame, locks: DataFrame, vehicle_no: str, holder: str) -> DataFrame:

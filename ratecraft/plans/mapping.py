@@ -15,7 +15,7 @@ from ratecraft.sources.policies import insurer_names, motor_features, with_insur
 
 RESULT_COLUMNS = [
     "row_id", "mapping_status", "failure_reason", "display_group_id", "po_type", "po_rate", "po_flat_amount", "pi_type",
-    "pi_rate", "pi_flat_amount", "add_tnc", "po_od_rate", "po_tp_rate", "pi_od_rate", "pi_tp_rate", "tied_groups",
+    "pi_rate", "pi_flat_amount", "add_tnc", "po_od_rate", "po_tp_rate", "pi_od_rate", "pi_tp_rate", "tied_groups", "match_ids",
 ]
 
 
@@ -55,7 +55,8 @@ def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     )
     checked = stage(features.withColumn("data_errors", F.array_compact(F.array(combined, validation))))
     clean = checked.where(F.size("data_errors") == 0)
-    matched = J.resolve_groups(J.motor_matches(clean, rates, chain), J.motor_payload())
+    placed = J.with_group_places(rates)
+    matched = J.resolve_groups(J.motor_matches(clean, placed, chain), placed, J.motor_payload())
     unexplained = checked.join(matched.select("row_id"), "row_id", "left_anti")
     masks = J.best_masks(unexplained, rates, chain)
 
@@ -115,6 +116,7 @@ def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
             F.when(ok, row["r_add_tnc"]).alias("add_tnc"),
             *[F.when(ok, row[f"r_{leg}"]).alias(leg) for leg in ("po_od_rate", "po_tp_rate", "pi_od_rate", "pi_tp_rate")],
             F.when(ok & (F.col("group_count") > 1), F.col("group_count")).otherwise(F.lit(0)).alias("tied_groups"),
+            J.ambiguous_ids().alias("match_ids"),
         )
     )
 
@@ -133,10 +135,10 @@ def unroutable(policies: DataFrame) -> DataFrame:
 def empty_result(rows: DataFrame, status: Column, reason: Column) -> DataFrame:
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     blanks = {"display_group_id": F.lit(None).cast("bigint"), "po_type": text, "pi_type": text, "add_tnc": text}
-    columns = [blanks.get(c, number).alias(c) for c in RESULT_COLUMNS[3:-1]]
+    columns = [blanks.get(c, number).alias(c) for c in RESULT_COLUMNS[3:-2]]
     return rows.select(
         "row_id", status.alias("mapping_status"), reason.alias("failure_reason"), *columns,
-        F.lit(0).cast("bigint").alias("tied_groups"),
+        F.lit(0).cast("bigint").alias("tied_groups"), F.array().cast("array<bigint>").alias("match_ids"),
     )
 
 
