@@ -265,23 +265,22 @@ def motor_chain() -> RuleChain:
 def motor_matches(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> DataFrame:
     """(policy columns, rate columns) for every rate row that passes the whole chain.
 
-    The join keys are the insurer, the product (the policy's own, and blank for wildcard rates) and one RTO group the
-    policy resolves to and the rate lists. A pair that shares several groups is kept on the smallest only.
+    The insurer and the lead rules are settled on distinct lead values, so the join keys are all of them and one RTO
+    group the policy resolves to and the rate lists; the tail rules are left to test. A pair that shares several RTO
+    groups is kept on the smallest only.
     """
     blank = F.array(F.lit(""))
-    left = (
-        policies.select(chain.key, chain.block, *chain.lead_policy, *chain.tail_policy)
-        .where(F.col(chain.block).isNotNull())
-        .withColumn("_rto", F.explode(F.when(F.col("rto") == "", blank).otherwise(F.col("rto_names"))))
-        .withColumn("_product", F.explode(F.array_distinct(F.array(F.col("vehproduct"), F.lit("")))))
-    )
-    right = (
-        rates.withColumn(chain.block, F.col(f"r_{chain.block}"))
-        .withColumn("_rto", F.explode(F.when(F.size("r_rto_items") == 0, blank).otherwise(F.col("r_rto_items"))))
-        .withColumn("_product", F.col("r_product"))
-    )
+    lead_keys = [chain.block, *chain.lead_policy]
+    asked = policies.where(F.col(chain.block).isNotNull())
+    rate_block = F.col(f"r_{chain.block}").alias(chain.block)
+    tuples = asked.select(*lead_keys).distinct()
+    passing = tuples.join(rates.select(rate_block, *chain.lead_rate).distinct(), chain.block).where(all_pass(chain.lead))
+    right = same_values(passing, rates.select("*", rate_block), [chain.block, *chain.lead_rate], "_l_").withColumn(
+        "_rto", F.explode(F.when(F.size("r_rto_items") == 0, blank).otherwise(F.col("r_rto_items"))))
+    left = asked.select(chain.key, *lead_keys, *chain.tail_policy).withColumn(
+        "_rto", F.explode(F.when(F.col("rto") == "", blank).otherwise(F.col("rto_names"))))
     once = (F.col("rto") == "") | (F.col("_rto") == F.array_min(F.array_intersect("rto_names", "r_rto_items")))
-    return left.join(right, [chain.block, "_rto", "_product"]).where(all_pass(chain.rules) & once)
+    return left.join(right, [*lead_keys, "_rto"]).where(all_pass(chain.tail) & once)
 
 
 def with_group_places(rates: DataFrame) -> DataFrame:
