@@ -123,6 +123,36 @@ def rate_ingest(s: Source) -> DataFrame:
     return M.new_rates(typed, empty).select("line", "new_rto_list")
 
 
+_KEY = "insurance_company, new_vehicle_makes, nullif(product, ''), nullif(fuel_type, ''), is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max"
+
+
+@query("rate_ingest_job", _INGEST + f""", counts AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT new_rto_list, {_KEY} FROM typed) a) AS all_rows, (SELECT count(*) FROM (SELECT DISTINCT {_KEY} FROM typed) b) AS all_groups,
+  (SELECT count(*) FROM (SELECT DISTINCT new_rto_list, {_KEY} FROM typed WHERE line % 3 = 0) c) AS third_rows, (SELECT count(*) FROM (SELECT DISTINCT {_KEY} FROM typed WHERE line % 3 = 0) d) AS third_groups)
+SELECT 'first' AS upload, true AS success, all_rows AS "rows", all_groups AS new_groups, CAST(NULL AS STRING) AS problem FROM counts UNION ALL SELECT 'again, products by id', true, 0, 0, NULL FROM counts
+UNION ALL SELECT 'a third with another rate', true, third_rows, third_groups, NULL FROM counts UNION ALL SELECT 'an unknown RTO', false, 0, 0, 'RTO ''nowhere'' does not exist in RTOMaster. Please add it first.' FROM counts""")
+def rate_ingest_job(s: Source) -> DataFrame:
+    """Four uploads into one table: the card twice over, again with product ids, a third with changed rates, and one to reject."""
+    from ratecraft.plans.ingest import DIMENSIONS, ingest_rates
+
+    card = upload(s)
+    masters = {d: stage(card.select(F.lower(d).alias("_k"), F.col(d).alias("name")).where("name <> ''").groupBy("_k").agg(F.min("name").alias("name")).select(F.xxhash64("_k").alias("id"), "name")) for d in DIMENSIONS}
+    masters["product"] = masters["product"].withColumn("id", F.abs("id"))
+    ids = masters["product"].select(F.lower("name").alias("_k"), F.col("id").cast("string").alias("_id"))
+    by_id = card.withColumn("_k", F.lower(F.trim("product"))).join(ids, "_k", "left").withColumn("product", F.coalesce("_id", "product")).drop("_k", "_id")
+    changed = card.where("line % 3 = 0 AND line < 10000000").withColumn("pi_net_rate", (F.coalesce(F.col("pi_net_rate").cast("double"), F.lit(0.0)) + 0.25).cast("string"))
+    unknown = card.withColumn("new_rto_list", F.when(F.col("line") == F.lit(card.agg(F.max("line").alias("m")).scalar()), F.lit("nowhere")).otherwise(F.col("new_rto_list")))
+    uploads = {"first": card, "again, products by id": by_id, "a third with another rate": changed, "an unknown RTO": unknown}
+    table, groups, out = None, s.spark.createDataFrame([], "group_id bigint, key_hash string"), None
+    for name, rows in uploads.items():
+        existing = M.typed_upload(rows.limit(0)) if table is None else table.drop("group_id")
+        done = ingest_rates(rows, existing, groups, masters, rto_master(s), make_master(s))
+        fresh = stage(done.inserted.select("group_id", "key_hash").distinct().join(groups, ["group_id", "key_hash"], "left_anti"))
+        line = done.outcome.select(F.lit(name).alias("upload"), "success", "rows", fresh.agg(F.count("*").alias("n")).scalar().alias("new_groups"), "problem")
+        table = done.inserted if table is None else table.unionByName(done.inserted)
+        groups, out = groups.unionByName(fresh), line if out is None else out.unionByName(line)
+    return out
+
+
 @query("cross_upload_anti_join", _INGEST + """SELECT DISTINCT line FROM (SELECT min(line) AS line FROM typed GROUP BY insurance_company, new_rto_list, new_vehicle_makes, nullif(product, ''), nullif(fuel_type, ''), is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max) u
 WHERE line NOT IN (SELECT t.line FROM typed t JOIN typed v ON v.line % 3 = 0 AND t.insurance_company = v.insurance_company AND t.new_rto_list = v.new_rto_list AND t.new_vehicle_makes = v.new_vehicle_makes AND t.product = v.product
   AND t.fuel_type = v.fuel_type AND t.is_ncb = v.is_ncb AND t.from_date IS NOT DISTINCT FROM v.from_date AND t.to_date IS NOT DISTINCT FROM v.to_date AND t.pi_net_rate = v.pi_net_rate AND t.cc_min = v.cc_min AND t.cc_max = v.cc_max)""")

@@ -264,9 +264,9 @@ def new_rates(typed: DataFrame, existing: DataFrame) -> DataFrame:
     fresh = fresh.withColumn("_rto", rto)
     present = existing.select("key_hash", rto.alias("_rto")).distinct()
     fresh = fresh.join(present, ["key_hash", "_rto"], "left_anti").drop("_content")
-    row = F.struct(*[F.col(c) for c in fresh.columns if c not in ("key_hash", "_rto")])
     order = F.col("line") if "line" in fresh.columns else F.lit(0)
-    return fresh.groupBy("key_hash", "_rto").agg(F.min_by(row, order).alias("_row")).select("key_hash", "_row.*")
+    first = F.row_number().over(Window.partitionBy("key_hash", "_rto").orderBy(order))
+    return fresh.withColumn("_place", first).where("_place = 1").drop("_place", "_rto")
 
 
 def assign_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
