@@ -14,7 +14,7 @@ from ratecraft.session import build_session  # noqa: E402
 
 HEADLINE = [
     "motor_mapping", "motor_rule_join", "keep_on_fail_masks", "coverage_gaps", "health_mapping", "conflict_true_counts", "double_rate_risk", "rate_heatmap", "rule_dashboard", "duplicates_across_groups", "regroup",
-    "rate_ingest", "missing_make_model_groups", "first_row_per_group", "lock_checker_search", "grid_summary_pivot", "premium_split_validation", "model_word_overlap",
+    "rate_ingest", "rate_ingest_job", "overlap_scan_summary", "missing_make_model_groups", "first_row_per_group", "lock_checker_search", "grid_summary_pivot", "premium_split_validation", "model_word_overlap",
 ]
 
 
