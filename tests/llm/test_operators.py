@@ -217,6 +217,25 @@ def test_patience_and_scan(spark, docs, none):
     assert licenses.licenses(docs).count() == 0 == licenses.licenses(none).count()
 
 
+def test_every_notice_kind_has_a_row(spark):
+    kinds = {"MIT": "Released under the MIT License.", "GPL-3.0": "under the GNU General Public License", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License", "All-rights-reserved": "All rights reserved."}
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = collections.defaultdict(set)
+    for r in licenses.licenses(documents).collect():
+        got[r.license].add(r.doc_id)
+    for name, notice in kinds.items():
+        want = {r.doc_id for r in documents.collect() if notice in (r.text or "")}
+        assert want and want <= got[name]
+
+
+def test_each_license_text_is_told_from_its_like():
+    split = {name: licenses.words(text) for name, text in licenses.TEMPLATES.items()}
+    for name, own in split.items():
+        hits = licenses.scan(["x"] * 30 + own + ["y"] * 30, split)
+        assert (name, 1.0, 30, 30 + len(own)) in hits
+        assert all(b - a < 0.8 * len(own) for other, _, a, b in hits if other != name)
+
+
 def test_pitman_yor(docs, none):
     rows = docs.collect()
     token = {k: (r.text or "").encode().lower().split() + [b"\n"] for k, r in enumerate(rows)}
