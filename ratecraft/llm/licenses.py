@@ -1,15 +1,18 @@
 """License scans by patience alignment.
 
 Words that occur once in a stretch of text and once in a template are anchors; the longest increasing run of them is aligned,
-and the gaps between are aligned the same way. The share of the template's words that align is its coverage.
+and the gaps between are aligned the same way. The share of the template's words that align is its coverage. Where words of the
+template repeat, as in a notice that stands twice, all alignments are compared instead.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ratecraft.llm.common import map_rows
@@ -101,6 +104,35 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _first_copy(own: list[str], template: list[str], least: int, reach: int) -> tuple[int, int, int] | None:
+    """(aligned words, first, one past the last) of the first stretch of at most ``reach`` words that aligns ``least`` words.
+
+    For windows in which words of the template come too often to be anchors, as where a notice stands twice: all alignments
+    are kept, each by its number of words and, among equal ones, its latest start.
+    """
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        at.setdefault(w, []).append(j)
+    base = len(own) + 1
+    best = np.full(len(template), -1, dtype=np.int64)  # by the last template word aligned or passed
+    found = None
+    for i, w in enumerate(own):
+        if w not in at:
+            continue
+        places = np.array(at[w])
+        before = np.where(places > 0, best[places - 1], -1)
+        best[places] = np.maximum(best[places], np.where(before < 0, i, before) + base)
+        best = np.maximum.accumulate(best)
+        count, start = divmod(int(best[-1]), base)
+        if found and (count <= found[0] or start != found[1]):
+            if start >= found[2]:
+                break
+            continue
+        if count >= least and i + 1 - start <= reach:
+            found = count, start, i + 1
+    return found
+
+
 def _nearest(found: list[tuple[str, float, int, int]], sizes: dict[str, int]) -> list[tuple[str, float, int, int]]:
     """Without hits on a stretch of which another template aligns more words, or as many and a greater share of its own.
 
@@ -130,10 +162,11 @@ def scan(own: list[str], templates: dict[str, list[str]], coverage: float = COVE
     found = []
     places: dict[str, list[int]] = {}
     for name, template in templates.items():
-        if not template or sum(w in counts for w in template) < coverage * len(template):
+        least = math.ceil(coverage * len(template) - 1e-9)  # the fewest words that cover the share
+        if not template or sum(w in counts for w in template) < least:
             continue
         # enough rarest words that a stretch can't cover the share without one of them
-        need, rare = int((1 - coverage) * len(template)) + 1, []
+        need, rare = len(template) - least + 1, []
         for w in sorted(set(template), key=lambda w: (counts.get(w, 0), w)):
             rare.append(w)
             need -= template.count(w)
@@ -143,16 +176,23 @@ def scan(own: list[str], templates: dict[str, list[str]], coverage: float = COVE
             for k, w in enumerate(own):
                 places.setdefault(w, []).append(k)
         reach = int(len(template) * SLACK) + 8
+        usual = Counter(template)
         best: list[tuple[float, int, int]] = []
         low = 0
         for at in sorted({k for w in rare for k in places.get(w, [])}):
             if at < low:
                 continue
             start = max(low, at - reach)
-            pairs = patience(own[start : at + reach], template)
-            share = len(pairs) / len(template)
-            if share >= coverage:
-                best.append((share, start + pairs[0][0], start + pairs[-1][0] + 1))
+            window = own[start : at + reach]
+            here = Counter(w for w in window if w in usual)
+            if sum((here & usual).values()) < least:
+                continue
+            copy = _first_copy(window, template, least, reach) if any(n > usual[w] for w, n in here.items()) else None
+            if not copy:
+                pairs = patience(window, template)
+                copy = (len(pairs), pairs[0][0], pairs[-1][0] + 1) if len(pairs) >= least else None
+            if copy:
+                best.append((copy[0] / len(template), start + copy[1], start + copy[2]))
                 low = best[-1][2]
         found += [(name, *b) for b in best]
     return _nearest(found, {name: len(template) for name, template in templates.items()})

@@ -236,6 +236,25 @@ def test_each_license_text_is_told_from_its_like():
         assert all(b - a < 0.8 * len(own) for other, _, a, b in hits if other != name)
 
 
+def test_repeated_and_barely_covered_notices():
+    split = {"MIT": licenses.words(licenses.TEMPLATES["MIT"])}
+    mit, far = split["MIT"], [f"w{k}" for k in range(40)]
+    for n in (1, 2, 3, 7):
+        for before, after in ((far, far), ([], far), (far, []), ([], [])):
+            want = [("MIT", 1.0, len(before) + 5 * k, len(before) + 5 * k + 5) for k in range(n)]
+            assert licenses.scan(before + mit * n + after, split) == want
+    new = licenses.words("Released under the new MIT License.")
+    assert licenses.scan(far + new * 2 + far, split) == [("MIT", 1.0, 40, 46), ("MIT", 1.0, 46, 52)]
+    near = licenses.words("Released under the MIT licence")
+    assert licenses.scan(far + near + far, split) == [("MIT", 0.8, 40, 44)]
+    assert licenses.scan(far + near + mit + far, split) == [("MIT", 0.8, 40, 44), ("MIT", 1.0, 45, 50)]
+    for size in range(1, 60):  # any one word in five may be missing
+        template = [f"t{k}" for k in range(size)]
+        held = [w for k, w in enumerate(template) if k % 5 != 2 or size < 5]
+        if len(held) / size >= 0.8:
+            assert len(licenses.scan(far + held + far, {"t": template})) == 1
+
+
 def test_pitman_yor(docs, none):
     rows = docs.collect()
     token = {k: (r.text or "").encode().lower().split() + [b"\n"] for k, r in enumerate(rows)}
