@@ -8,6 +8,7 @@ items found are then verified by their word shingles and by the words of questio
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from functools import partial
@@ -48,16 +49,16 @@ def question_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
-def _segments(ids, texts):
-    """(item, segment, length, terms, counts) of items; texts without words have none."""
-    out = [[] for _ in range(5)]
-    for one, text in zip(ids, texts):
+def _segments(ids, variants, texts):
+    """(item, variant, segment, length, terms, counts) of items' texts; texts without words have none."""
+    out = [[] for _ in range(6)]
+    for one, variant, text in zip(ids, variants, texts):
         own = words(text)
         for k, low in enumerate(range(0, len(own), SEGMENT)):
             # the last segment reaches back to full length
             part = own[max(0, min(low, len(own) - SEGMENT)) : low + SEGMENT]
             terms = sorted(set(part))
-            for column, value in zip(out, (one, k, len(part), terms, [part.count(t) for t in terms])):
+            for column, value in zip(out, (one, variant, k, len(part), terms, [part.count(t) for t in terms])):
                 column.append(value)
     return out
 
@@ -125,17 +126,18 @@ def _share(part: list[bytes], of: set) -> float:
     return len(distinct & of) / len(distinct) if distinct else 1.0
 
 
-def _match(index: Index, texts: dict, ids, documents):
-    """Verified items of a slice of documents."""
-    out = [[] for _ in range(6)]
+def _match(index: Index, keys: list, texts: dict, number: int, ids, documents):
+    """Verified items of a slice of documents, each with its best text; keys names the item and text of each segment."""
+    out = [[] for _ in range(8)]
     for one, text in zip(ids, documents):
         own = words(text)
         found: dict = {}
         for passage, segment, share in index.search(own):
-            item = index.items[segment]
+            item = keys[segment]
             best, places = found.setdefault(item, (0.0, set()))
             places.add(passage)
             found[item] = (max(best, share), places)
+        held: dict = {}
         for item, (best, places) in found.items():
             item_words, question, answer = texts[item]
             reach = -(-len(item_words) // STEP) + 1  # an item longer than a passage goes on in the next ones
@@ -150,8 +152,11 @@ def _match(index: Index, texts: dict, ids, documents):
             contained = len(wanted & shingles) / len(wanted) if len(item_words) >= SHINGLE else _share(item_words, near)
             asked, answered = _share(question, near), _share(answer, near)
             if contained >= CONTAINED and asked >= OVERLAP and answered >= OVERLAP:
-                for column, value in zip(out, (one, item, best, contained, asked, answered)):
-                    column.append(value)
+                held[item[0]] = max(held.get(item[0], (0.0,)), (contained, best, asked, answered))
+        digest = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest() if held else b""
+        for item, (contained, best, asked, answered) in held.items():
+            for column, value in zip(out, (one, item, best, contained, asked, answered, digest, number)):
+                column.append(value)
     return out
 
 
@@ -162,27 +167,36 @@ def leaks(documents: DataFrame, benchmark: DataFrame, shard: int = SHARD) -> Dat
     read once for each shard, so what is sent to tasks is bounded however many items there are; document frequencies are those
     of all segments. An item counts as held if 0.8 of its five-word shingles and of the words of its question and of its answer
     are near the passages found; items of fewer than five words are compared by words. Null, empty or wordless texts hold
-    nothing and are held by nothing. Repeated document rows give repeated rows, repeated items of one id are one item with the
-    texts of all their rows indexed and the longest verified. Rows without an item_id are left out. Extra columns are not
+    nothing and are held by nothing. Repeated document rows give repeated rows. Rows of one item_id are one item, held if any of
+    their texts is: all texts are indexed and verified, and the one most contained gives the row. Rows without an item_id are left out. Extra columns are not
     looked at. An empty table gives no rows.
     """
     doc_kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    parts = map_rows(items, _segments, f"item {item_kind}, segment int, length int, terms array<binary>, counts array<int>", rows=256)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("item"), F.sha2("text", 256).alias("variant"), "text").distinct()
+    parts = map_rows(items, _segments, f"item {item_kind}, variant string, segment int, length int, terms array<binary>, counts array<int>", rows=256)
     whole = parts.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, bm25 double, contained double, question_overlap double, answer_overlap double"
     shards = -(-whole["n"] // shard)
     if not shards:
         return documents.sparkSession.createDataFrame([], schema)
-    postings = parts.select("item", "segment", "length", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("item", "segment", "length", "p.terms", "p.counts")
+    key = ["item", "variant"]
+    postings = parts.select(*key, "segment", "length", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select(*key, "segment", "length", "p.terms", "p.counts")
     frequency = postings.groupBy("terms").agg(F.count("*").alias("frequency"))
-    full = postings.join(frequency, "terms").groupBy("item", "segment", "length").agg(F.sort_array(F.collect_list(F.struct("terms", "counts", "frequency"))).alias("p"))
-    # written once, as every shard reads its part of it
-    full = stage(full.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).join(items.withColumnRenamed("item_id", "item"), "item"))
+    full = postings.join(frequency, "terms").groupBy(*key, "segment", "length").agg(F.sort_array(F.collect_list(F.struct("terms", "counts", "frequency"))).alias("p"))
+    # written once, as every shard reads its part of it; an item of very many texts is in many shards
+    full = stage(full.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards))).join(items, key))
     out = None
     for k in range(shards):
-        rows = full.where(F.col("shard") == k).select("item", "segment", "length", F.col("p.terms").alias("terms"), F.col("p.counts").alias("counts"), F.col("p.frequency").alias("frequencies"), "text").orderBy("item", "segment").collect()
-        texts = {r["item"]: (words(r["text"]), *question_answer(r["text"])) for r in rows}
-        found = map_rows(documents.select("doc_id", "text"), partial(_match, Index(rows, whole["n"], whole["mean"]), texts), schema, rows=128)
+        rows = full.where(F.col("shard") == k).select(*key, "segment", "length", F.col("p.terms").alias("terms"), F.col("p.counts").alias("counts"), F.col("p.frequency").alias("frequencies"), "text").orderBy(*key, "segment").collect()
+        keys = [(r["item"], r["variant"]) for r in rows]
+        texts = {one: (words(r["text"]), *question_answer(r["text"])) for one, r in zip(keys, rows)}
+        match = partial(_match, Index(rows, whole["n"], whole["mean"]), keys, texts, k)
+        found = map_rows(documents.select("doc_id", "text"), match, f"{schema}, digest binary, number int", rows=128)
         out = found if out is None else out.union(found)
-    return out
+    columns = ["bm25", "question_overlap", "answer_overlap"]
+    if shards > 1:
+        # one row a document and item, though several shards hold texts of the item; equal document rows stay as many as they are
+        best = out.groupBy("doc_id", "item_id", "digest", "number").agg(F.count("*").alias("n"), F.max(F.struct("contained", *columns)).alias("best"))
+        best = best.groupBy("doc_id", "item_id", "digest").agg(F.max("n").alias("n"), F.max("best").alias("best"))
+        out = best.select("doc_id", "item_id", "best.*", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return out.select("doc_id", "item_id", "bm25", "contained", "question_overlap", "answer_overlap")

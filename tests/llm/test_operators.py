@@ -183,6 +183,18 @@ def test_leaks(spark, none):
     assert decontam.leaks(documents, benchmark.limit(0)).count() == 0
 
 
+def test_all_texts_of_an_item_are_looked_for(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(n)) for n in (30, 60, 12, 200, 40)]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2]), (1, None), (2, texts[3]), (2, texts[0]), (None, texts[4])]
+    documents = [(k, f"{'filler word ' * 70}{t}{' more of it' * 50}") for k, t in enumerate(texts)]
+    documents += [documents[0], (None, texts[2]), (None, texts[3]), (0, "nothing here"), (9, texts[0] + " " + texts[1])]
+    want = sorted(map(str, [(0, 1), (0, 2), (0, 1), (0, 2), (1, 1), (2, 1), (3, 2), (None, 1), (None, 2), (9, 1), (9, 2)]))
+    tables = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shard in (2048, 2):
+        assert sorted(str((r.doc_id, r.item_id)) for r in decontam.leaks(*tables, shard=shard).collect()) == want
+
+
 def test_block_maxima_lose_nothing():
     rng = random.Random(6)
     vocabulary = [f"w{k}".encode() for k in range(60)]
