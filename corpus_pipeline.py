@@ -11,36 +11,60 @@ from ratecraft.llm.common import table
 from ratecraft.llm.decontam import leaks
 from ratecraft.llm.exact import exact_groups
 from ratecraft.llm.packing import pack
-from ratecraft.llm.quality import quality
+from ratecraft.llm.quality import quality, train
 from ratecraft.llm.queries import TOKENIZER
 from ratecraft.llm.simhash import near_duplicates
 from ratecraft.session import shared_folder
 
 
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a row key: id, null ids last, and the digest of the text. Decisions of stages are made for keys, so rows
+    that share only an id, or the lack of one, don't share a fate. A null text counts as empty."""
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), digest.alias("digest")))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for an operator, with row keys as ids."""
+    return _keyed(docs).select(F.col(ROW).alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not among the dropped ones; a null id is dropped only with another null id."""
-    gone = dropped.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """The documents whose row key is not among the ids of ``dropped``."""
+    gone = dropped.select(F.col("doc_id").alias(ROW)).distinct()
+    return _keyed(docs).join(gone, ROW, "left_anti").select(docs.columns)
+
+
+def _one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One document for each row key among the ids of ``kept``: rows that repeat id and text are copies of each other."""
+    stays = kept.select(F.col("doc_id").alias(ROW)).distinct()
+    return _keyed(docs).dropDuplicates([ROW]).join(stays, ROW, "left_semi").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return _without(docs, quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    labels = table(spark, sf_dir, "labels")
+    return _without(docs, quality(_by_row(docs), labels, model=train(docs, labels)).where("predicted = 0"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest id."""
-    return _without(docs, exact_groups(docs).where("NOT kept"))
+    """Of documents with equal texts, one with the largest id; one without an id if none has any."""
+    groups = exact_groups(docs).where("kept")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.unhex("text_sha256").alias("digest"))
+    return _one_each(docs, groups.select(row.alias("doc_id")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest id."""
-    return _without(docs, near_duplicates(docs).where("NOT (doc_id <=> component_id)"))
+    """Of each group of linked fingerprints, one document with the smallest id; one without an id if none has any."""
+    return _one_each(docs, near_duplicates(_by_row(docs)).where("doc_id = component_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, leaks(_by_row(docs), table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,15 +127,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     return fit([np.frombuffer(b, dtype=np.float16).astype(np.float32).reshape(-1, DIM) for _, b in rows], [y for y, _ in rows])
 
 
-def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, threshold: float = THRESHOLD, model: dict | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of label 1), predicted.
 
     Labels of the fold crc32(doc_id) mod ``folds`` = 0 are never learned from, nor are null labels. Text alone is scored; null
     and empty texts count as one empty passage and get its score. Without labels every score is one half; with labels of one
     value only, all scores lean to it. Repeated rows get equal scores. Columns other than doc_id, text and quality are not looked
-    at. An empty table gives no rows.
+    at. An empty table gives no rows. With a ``model``, as where ids are other ones than those of the labels, nothing is fitted.
     """
-    model = train(documents, labels, sample, folds)
+    model = model or train(documents, labels, sample, folds)
     kind = dict(documents.dtypes)["doc_id"]
     held = documents.select("doc_id", "text", (remainder("doc_id", folds) == 0).alias("held_out"))
 

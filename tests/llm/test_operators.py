@@ -386,3 +386,31 @@ def test_pipeline(spark):
     left = {i: t for i, t in left.items() if not any(len(g & grams(decontam.words(t))) >= 0.8 * len(g) for g in items)}
     assert {r.doc_id for r in pipeline.run(spark, SF).collect()} == set(left)
     assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    text = lambda n=40: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n))
+    a, b, c, d, e, f, g, leak = (text() for _ in range(8))
+    rows = lambda made: spark.createDataFrame(made, "doc_id long, text string, lang string")
+    left = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    same = lambda *pairs: sorted(pairs, key=str)
+    docs = rows([(i, t, "en") for i, t in [(None, a), (7, a), (None, b), (8, c), (8, c), (9, d), (9, e), (5, e), (11, e), (None, f), (None, f), (12, None), (3, "")]])
+    want = same((7, a), (None, b), (8, c), (9, d), (11, e), (None, f), (12, None))
+    assert left(pipeline.drop_exact_copies(spark, docs, "")) == want
+    near = rows([(i, t, "en") for i, t in [(None, a), (7, a.upper()), (None, b), (8, c), (8, c), (9, d), (9, e), (5, e.upper()), (None, f), (None, f.upper()), (None, g), (9, g.upper())]])
+    got = left(pipeline.drop_near_copies(spark, near, ""))
+    assert [x for x in got if (x[1] or "").lower() != f] == same((7, a.upper()), (None, b), (8, c), (9, d), (5, e.upper()), (9, g.upper()))
+    assert len([x for x in got if x[1].lower() == f]) == 1
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = rows([(i, t, "en") for i, t in [(None, leak), (None, b), (8, leak), (8, c), (9, d), (9, d)]])
+    assert left(pipeline.drop_leaks(spark, held, str(tmp_path))) == same((None, b), (8, c), (9, d), (9, d))
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    verdict = {r.doc_id: r.predicted for r in quality.quality(known, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    texts = {r.doc_id: r.text for r in known.collect()}
+    bad, good = ([texts[i] for i, p in sorted(verdict.items()) if p == k and texts[i]][:2] for k in (0, 1))
+    mixed = known.union(rows([(i, t, "en") for i, t in [(None, bad[0]), (None, good[0]), (-8, bad[1]), (-8, good[1])]]))
+    out = left(pipeline.keep_quality(spark, mixed, "/root/testdata/sf0.01").where("doc_id IS NULL OR doc_id < 0"))
+    assert out == same((None, good[0]), (-8, good[1]))
