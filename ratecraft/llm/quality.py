@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages. Every passage is encoded; gated attention, learned from document labels alone, weighs the
-passages; the weighted sum is scored. Fitting takes a bounded sample of labelled documents; scoring takes every passage of
+passages; the weighted sum is scored. Fitting takes every passage of a bounded sample of labelled documents; scoring takes every passage of
 every document.
 """
 
@@ -15,7 +15,6 @@ from ratecraft.llm.common import labelled, map_rows, remainder
 
 PASSAGE = 512  # bytes
 SAMPLE = 1500  # fitting: documents of each label value
-SAMPLE_PASSAGES = 48  # fitting: passages of a document
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN, GATES = 24, 12
@@ -118,10 +117,13 @@ def score(model: dict, texts: list[str | None]) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> dict:
-    """A model from at most ``sample`` documents of each label value outside the held-out fold."""
+    """A model from all passages of at most ``sample`` documents of each label value outside the held-out fold.
+
+    A passage takes about a byte of driver memory for each byte of text.
+    """
     rows = map_rows(
         labelled(documents, labels, "quality", folds, sample),
-        lambda texts, y: [[passages(t)[:SAMPLE_PASSAGES].astype(np.float16).tobytes() for t in texts], y], "bag binary, y int", rows=64,
+        lambda texts, y: [[passages(t).astype(np.float16).tobytes() for t in texts], y], "bag binary, y int", rows=64,
     ).collect()
     rows = sorted(((r["y"], bytes(r["bag"])) for r in rows))
     return fit([np.frombuffer(b, dtype=np.float16).astype(np.float32).reshape(-1, DIM) for _, b in rows], [y for y, _ in rows])

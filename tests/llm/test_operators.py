@@ -314,6 +314,16 @@ def test_classifiers_on_held_out_rows(spark, name, column, least):
     assert _held_out(made, column) >= least and all(0 <= r.score <= 1 for r in made)
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: kept.extend(zip(bags, y)))
+    made = [(1, "a" * 512 * 60 + "z" * 512 * 40), (2, "short")]
+    quality.train(spark.createDataFrame(made, "doc_id long, text string"), labels(spark, [(1, 1, 0, ""), (2, 0, 0, "")]))
+    assert sorted((len(bag), y) for bag, y in kept) == [(1, 0), (100, 1)]
+    long = next(bag for bag, y in kept if y)
+    assert (long[:60, ord("a")] == 1).all() and (long[60:, ord("z")] == 1).all()
+
+
 def test_language_on_held_out_rows(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     made = queries.QUERIES["op5_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out").collect()
