@@ -43,13 +43,13 @@ tested("range_text_filter", "rate_card", lambda: {"exact": P.range_text("cc_min"
        _flag("cc_min = 20 AND cc_max = 45", "exact") + ", " + _flag("cc_min = 20", "low") + ", " + _flag("cc_min <= 30 AND cc_max >= 30", "bare") + ", true AS junk")
 tested("above_25_lakh", "health_card", lambda: {"above": P.sum_insured("above_25L"), "point": P.sum_insured("700000")},
        _flag("max_sum_insured > 2500000 OR max_sum_insured IS NULL", "above") + ", " + _flag("coalesce(min_sum_insured <= 700000, true) AND coalesce(max_sum_insured >= 700000, true)", "point"))
-tested("exact_or_wildcard", "rate_card", lambda: {"small": J.exact_or_wildcard(T.norm_text("product"), F.lit("small")), "blank": J.exact_or_wildcard(T.norm_text("product"), F.lit(""))},
+tested("exact_or_wildcard", "rate_card", lambda: {"small": J.exact_or_wildcard(T.norm_text("product"), F.lit("small")).holds(), "blank": J.exact_or_wildcard(T.norm_text("product"), F.lit("")).holds()},
        _flag("product = '' OR lower(product) = 'small'", "small") + ", " + _flag("product = ''", "blank"))
-tested("class_with_na_wildcard", "rate_card", lambda: {"f": J.class_or_wildcard(T.norm_text("make_model_class"), F.lit("f")), "blank": J.class_or_wildcard(T.norm_text("make_model_class"), F.lit(""))},
+tested("class_with_na_wildcard", "rate_card", lambda: {"f": J.class_or_wildcard(T.norm_text("make_model_class"), F.lit("f")).holds(), "blank": J.class_or_wildcard(T.norm_text("make_model_class"), F.lit("")).holds()},
        _flag("make_model_class IN ('NA', 'F')", "f") + ", " + _flag("make_model_class = 'NA'", "blank"))
 tested("tri_state_code_match", "rate_card", lambda: {
-    "ncb20": J.coded(T.norm_code("is_ncb"), F.lit(20).between(1, 99), F.lit(20) == 0), "ncb0": J.coded(T.norm_code("is_ncb"), F.lit(0).between(1, 99), F.lit(0) == 0),
-    "cpa750": J.coded(T.norm_code("is_cpa"), F.lit(750).between(1, 1000), F.lit(750) == 0), "zd": J.coded(T.norm_code("is_zd"), T.nil_dep_class(F.lit("y")) == "YES", T.nil_dep_class(F.lit("y")) == "NO")},
+    "ncb20": J.coded(T.norm_code("is_ncb"), F.lit(20).between(1, 99), F.lit(20) == 0).holds(), "ncb0": J.coded(T.norm_code("is_ncb"), F.lit(0).between(1, 99), F.lit(0) == 0).holds(),
+    "cpa750": J.coded(T.norm_code("is_cpa"), F.lit(750).between(1, 1000), F.lit(750) == 0).holds(), "zd": J.coded(T.norm_code("is_zd"), T.nil_dep_class(F.lit("y")) == "YES", T.nil_dep_class(F.lit("y")) == "NO").holds()},
     _flag("is_ncb IN ('NA', 'YES')", "ncb20") + ", " + _flag("is_ncb IN ('NA', 'NO')", "ncb0") + ", " + _flag("coalesce(is_cpa, 'NA') IN ('NA', 'YES')", "cpa750") + ", " + _flag("is_zd IN ('NA', 'YES')", "zd"))
 tested("code_or_na_filter", "rate_card", lambda: {"ncb": P.code_or_na("is_ncb", "yes"), "cpa": P.code_or_na("is_cpa", "NO"), "any": P.code_or_na("is_zd", "")},
        _flag("is_ncb IN ('YES', 'NA')", "ncb") + ", " + _flag("coalesce(is_cpa, 'NA') IN ('NO', 'NA')", "cpa") + ", true AS \"any\"")
@@ -535,7 +535,7 @@ def latest_prior_upload(s: Source) -> DataFrame:
 
 @query("most_recent_rows", "SELECT id FROM attempts ORDER BY created_at DESC, id DESC LIMIT 20")
 def most_recent_rows(s: Source) -> DataFrame:
-    return A.most_recent(s.attempts, "created_at").select("id")
+    return A.most_recent(s.attempts, "created_at", 20).select("id")
 
 
 # ---- set operations -------------------------------------------------------------------------------

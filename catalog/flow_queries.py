@@ -329,7 +329,7 @@ def life_product_count(s: Source) -> DataFrame:
     return L.product_count(life_rows(s))
 
 
-@query("life_best_payouts", "SELECT row_id, base_rate FROM life WHERE category IN ('Non Par', 'Non- PAR') AND base_rate IS NOT NULL AND ppt = '10' ORDER BY base_rate DESC, row_id LIMIT 50")
+@query("life_best_payouts", "SELECT row_id, base_rate FROM life WHERE category IN ('Non Par', 'Non- PAR') AND base_rate IS NOT NULL AND ppt = '10'")
 def life_best_payouts(s: Source) -> DataFrame:
     best = L.best_payouts(life_rows(s), plan_type="Non-Par", ppt="10")
     return best.select(F.col("Row_ID").alias("row_id"), F.col("Base_Payout_Yr1").alias("base_rate"))

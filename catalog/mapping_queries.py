@@ -119,9 +119,8 @@ SELECT found.row_id, groups AS group_count, CAST(row_total AS BIGINT) AS row_cou
   low_key AS group_key, {_SIDE.format(s='po')} AS po_rate, {_SIDE.format(s='pi')} AS pi_rate
 FROM found JOIN used USING (row_id)""")
 def motor_rule_join(s: Source) -> DataFrame:
-    chain = J.motor_chain()
     rates = J.with_group_places(S.motor_rate_rows(s.rate_card))
-    found = J.resolve_groups(J.motor_matches(motor_features(s), rates, chain), rates, J.motor_payload())
+    found = J.matched_groups(motor_features(s), rates, J.motor_chain(), J.motor_payload()).where("group_count > 0")
     return found.select(
         "row_id", "group_count", "row_count", "same_payout", "group_key", J.chosen_rate("po").alias("po_rate"),
         J.chosen_rate("pi").alias("pi_rate"),
@@ -130,7 +129,7 @@ def motor_rule_join(s: Source) -> DataFrame:
 
 @query("keep_on_fail_masks", _DECIDED + "SELECT row_id, CAST(mask AS BIGINT) AS mask FROM best")
 def keep_on_fail_masks(s: Source) -> DataFrame:
-    return J.best_masks(motor_features(s), S.motor_rate_rows(s.rate_card), J.motor_chain())
+    return J.indexed_masks(motor_features(s), S.motor_rate_rows(s.rate_card), J.motor_chain())
 
 
 # ---- whole motor results --------------------------------------------------------------------------
@@ -330,14 +329,15 @@ def ambiguous_group_ids(s: Source) -> DataFrame:
   SELECT 'no_match' AS kind, trim(split_part(x, ' — ', 1)) AS rule, trim(substring(x, strpos(x, ' — ') + 3)) AS detail
   FROM (SELECT unnest(failed) AS x FROM spoken JOIN result USING (row_id) WHERE mapping_status = '❌ NO MATCH') named
 ), keyed AS (
-  SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(detail)) AS value FROM gap
-  UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)) FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
-), counted AS (SELECT kind, rule, value, count(*) AS n FROM keyed GROUP BY 1, 2, 3)
-SELECT kind, rule, value, n FROM counted""")
+  SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(detail)) AS value, '' AS group_ids FROM gap
+  UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)),
+    (SELECT array_to_string(list_sort(list(DISTINCT group_key)), ',') FROM hit WHERE hit.row_id = result.row_id) FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
+), counted AS (SELECT kind, rule, value, group_ids, count(*) AS n FROM keyed GROUP BY 1, 2, 3, 4)
+SELECT kind, rule, value, group_ids, n FROM counted""")
 def coverage_gaps(s: Source) -> DataFrame:
     from ratecraft.operators import gaps as G
 
-    return G.coverage_gaps(motor_results(s))
+    return G.coverage_gaps(motor_results(s)).withColumn("group_ids", F.array_join("group_ids", ","))
 
 
 @query("mapped_policies")

@@ -191,8 +191,9 @@ def failure_text_compose(s: Source) -> DataFrame:
     return s.reason.where(F.size(pairs) > 0).select("id", again.alias("reason"))
 
 
-project("gap_key", "reason", lambda: {"gap": E.gap_key("reason")},
-        "coalesce(nullif(trim(regexp_extract(reason, '''([^'']*)''', 1)), ''), trim(substring(reason, 1, 60))) AS gap", key="id")
+_QUOTED = "nullif(trim(regexp_extract(reason, '''([^'']*)''', 1)), '')"
+project("gap_key", "reason", lambda: {"gap": E.gap_key("reason"), "shown": E.shown_gap("reason")},
+        f"coalesce({_QUOTED}, trim(reason)) AS gap, coalesce({_QUOTED}, trim(substring(reason, 1, {K.GAP_SHOWN_CHARS}))) AS shown", key="id")
 project("group_ids_in_reason", "reason", lambda: {"ids": F.array_join(E.group_ids("reason").cast("array<string>"), "|")},
         """CASE WHEN reason LIKE '%Matching Group IDs:%' THEN array_to_string(regexp_extract_all(split_part(split_part(reason, 'Group IDs:', 2), '…', 1),
            '[0-9]+'), '|') ELSE '' END AS ids""", key="id")

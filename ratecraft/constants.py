@@ -126,6 +126,7 @@ PREMIUM_FILE_COLUMNS = {
     "tp_terrorism": "Policy: tp terrorism premium",
 }
 SUMMARY_KEYS = ["vehicle make", "model", "policy type", "sub product"]
+GAP_SHOWN_CHARS = 60
 SUMMARY_LIMIT = 3
 
 # ---- conflict types, most actionable first, and how many pairs of each a scan stores --------------

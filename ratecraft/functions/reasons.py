@@ -52,6 +52,13 @@ def gap_key(detail: Column | str) -> Column:
     return F.coalesce(quoted, strip(d))
 
 
+def shown_gap(detail: Column | str) -> Column:
+    """A gap's key as a list shows it: whole sentences are cut, quoted values are not."""
+    d = col(detail)
+    quoted = none_if_empty(strip(F.regexp_extract(d, r"'([^']*)'", 1)))
+    return F.coalesce(quoted, strip(F.substring(d, 1, K.GAP_SHOWN_CHARS)))
+
+
 def group_id_text(reason: Column | str) -> Column:
     return none_if_empty(F.regexp_extract(col(reason), r"Matching Group IDs:\s*(.*)$", 1))
 

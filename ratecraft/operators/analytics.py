@@ -203,5 +203,7 @@ def latest(rows: DataFrame, by: list[str], at: str, columns: list[str]) -> DataF
     return rows.groupBy(*by).agg(*[F.max_by(c, F.struct(at, "id")).alias(c) for c in columns])
 
 
-def most_recent(rows: DataFrame, at: str, n: int = 20) -> DataFrame:
-    return rows.orderBy(F.desc(at), F.desc("id")).limit(n)
+def most_recent(rows: DataFrame, at: str, n: int | None = None) -> DataFrame:
+    """Rows, newest first, all of them or the first ``n``."""
+    newest = rows.orderBy(F.desc(at), F.desc("id"))
+    return newest if n is None else newest.limit(n)

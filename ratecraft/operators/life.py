@@ -31,14 +31,15 @@ def product_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("InsurerDisplay", "Product_Name").alias("products"))
 
 
-def best_payouts(rows: DataFrame, plan_type: str = "", ppt: str = "", n: int = 50) -> DataFrame:
-    """Rows with a numeric first-year payout, best first."""
+def best_payouts(rows: DataFrame, plan_type: str = "", ppt: str = "", n: int | None = None) -> DataFrame:
+    """Rows with a numeric first-year payout, best first, all of them or the first ``n``."""
     found = rows.where("Base_Payout_Yr1 IS NOT NULL").withColumn("canonical_type", L.canonical_type("Category"))
     if plan_type:
         found = found.where(F.col("canonical_type") == plan_type)
     if ppt:
         found = found.where(F.col("PPT") == ppt)
-    return found.orderBy(F.desc("Base_Payout_Yr1"), F.asc("Row_ID")).limit(n)
+    found = found.orderBy(F.desc("Base_Payout_Yr1"), F.asc("Row_ID"))
+    return found if n is None else found.limit(n)
 
 
 def _values() -> list[Column]:

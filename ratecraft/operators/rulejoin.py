@@ -5,14 +5,15 @@ those with the lexicographically greatest pass/fail vector (first rule most sign
 zero bits of that vector. As an integer mask that is ``max(mask)`` per policy: one join and one aggregate that combines
 map-side, with no iteration over rules.
 
-The chain is split into *lead* rules (equality on a few low-cardinality fields) and *tail* rules. The lead part of the
-mask depends only on the distinct lead values, so it is worked out on those, and only the candidates that survive it
-meet the policies: the greatest vector has the greatest prefix.
+The motor and health chains are answered from a bitmap index of the card (``operators.bitmap``): no policy meets a rate row.
+Rules of a configuration may be any test, and are joined: the chain is split into *lead* rules (equality on a few
+low-cardinality fields) and *tail* rules. The lead part of the mask depends only on the distinct lead values, so it is worked
+out on those, and only the candidates that survive it meet the policies: the greatest vector has the greatest prefix.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,30 +21,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratecraft import constants as K
 from ratecraft.functions import numbers as N, reasons, text as T
 from ratecraft.functions.rates import consolidated_rate, effective_rate, payout_signature
+from ratecraft.operators.bitmap import Range, Tokens, days, list_or_empty, names_or_blank, narrowed, one_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One test of a rate row (columns ``r_*``) against a policy, with the text of its failure over policy columns."""
+    """One test of a rate row (columns ``r_*``) against a policy, with the text of its failure over policy columns.
+
+    ``test`` is a condition over both, or what a bitmap index of the card needs to answer it.
+    """
 
     label: Column
-    test: Column
+    test: Column | Tokens | Range
     detail: Column
 
+    def holds(self) -> Column:
+        return self.test if isinstance(self.test, Column) else self.test.holds()
+
 
 @dataclass(frozen=True)
 class RuleChain:
-    """An ordered chain. ``block`` is the resolved insurer, the one rule that is an equi-join."""
+    """An ordered chain. ``block`` is the resolved insurer, the one rule that is an equi-join. The columns that the rules read
+    are only named where the chain is joined."""
 
     lead: list[Rule]
     tail: list[Rule]
-    lead_policy: list[str]
-    lead_rate: list[str]
-    tail_policy: list[str]
-    tail_rate: list[str]
+    lead_policy: list[str] = field(default_factory=list)
+    lead_rate: list[str] = field(default_factory=list)
+    tail_policy: list[str] = field(default_factory=list)
+    tail_rate: list[str] = field(default_factory=list)
     block: str = "insurer"
     key: str = "row_id"
-    union_list: str | None = None  # a list column of which a group's rows each hold a part
 
     @property
     def rules(self) -> list[Rule]:
@@ -53,7 +61,7 @@ class RuleChain:
 def mask_of(rules: list[Rule]) -> Column:
     """Bit per rule, the first rule the most significant; a test that is NULL has failed."""
     bits = [
-        F.when(F.coalesce(rule.test, F.lit(False)), F.lit(1 << (len(rules) - 1 - i)).cast("bigint")).otherwise(
+        F.when(F.coalesce(rule.holds(), F.lit(False)), F.lit(1 << (len(rules) - 1 - i)).cast("bigint")).otherwise(
             F.lit(0).cast("bigint")
         )
         for i, rule in enumerate(rules)
@@ -61,10 +69,6 @@ def mask_of(rules: list[Rule]) -> Column:
     return reduce(lambda a, b: a + b, bits, F.lit(0).cast("bigint"))
 
 
-def all_pass(rules: list[Rule]) -> Column:
-    return reduce(lambda a, b: a & b, [F.coalesce(rule.test, F.lit(False)) for rule in rules])
-
-
 def failed_segments(rules: list[Rule], mask: Column) -> Column:
     """Array with the segment of every failed rule and NULL for the others."""
     size = len(rules)
@@ -101,42 +105,35 @@ def best_masks(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> DataF
         .select(*lead_keys, "lead_mask", *chain.tail_rate)
         .distinct()
     )
-    if chain.union_list:
-        survivors = _with_union(survivors, chain.union_list)
     asked = policies.select(chain.key, *lead_keys, *chain.tail_policy)
     candidates = same_values(asked, survivors, lead_keys, "_s_")
     mask = F.shiftleft("lead_mask", len(chain.tail)) + mask_of(chain.tail)
     return candidates.groupBy(chain.key).agg(F.max(mask).alias("mask"))
 
 
-def _with_union(rows: DataFrame, column: str) -> DataFrame:
-    """Rows that agree on everything but one list become one row with the union of their lists.
-
-    Only the test on that list can differ between them, and it passes for the union exactly where it passes for one of
-    them, so the greatest mask stays the same. Empty lists, which match blank values only, are kept apart.
-    """
-    others = [F.col(c) for c in rows.columns if c != column]
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))).alias(column)
-    return rows.groupBy(*others, (F.size(column) == 0).alias("_empty")).agg(merged).drop("_empty")
+def indexed_masks(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> DataFrame:
+    """(key, mask) of a chain whose tests are all indexable."""
+    found = narrowed(policies, rates, [rule.test for rule in chain.rules], chain.block, chain.key)
+    return found.groupBy(chain.key).agg(F.max("mask").alias("mask"))
 
 
 # ---- motor chain ----------------------------------------------------------------------------------
-def exact_or_wildcard(rate: Column, policy: Column) -> Column:
+def exact_or_wildcard(rate: Column, policy: Column) -> Tokens:
     """Blank rate matches anything; otherwise equal. Both are normalised text with '' for blank."""
-    return (rate == "") | (rate == policy)
+    return Tokens(one_of("", policy), F.array(rate))
 
 
-def class_or_wildcard(rate: Column, policy: Column) -> Column:
-    return rate.isin("", "na") | ((policy != "") & (rate == policy))
+def class_or_wildcard(rate: Column, policy: Column) -> Tokens:
+    return Tokens(one_of("", "na", policy), F.array(rate))
 
 
-def resolved_in_list(blank: Column, names: Column, items: Column) -> Column:
+def resolved_in_list(blank: Column, names: Column, items: Column) -> Tokens:
     """A blank policy value matches only an empty list; otherwise the list must hold a resolved name."""
-    return F.when(blank, F.size(items) == 0).otherwise(F.arrays_overlap(names, items))
+    return Tokens(names_or_blank(blank, names), list_or_empty(items))
 
 
-def coded(rate: Column, is_yes: Column, is_no: Column) -> Column:
-    return (rate == "NA") | ((rate == "YES") & is_yes) | ((rate == "NO") & is_no)
+def coded(rate: Column, is_yes: Column, is_no: Column) -> Tokens:
+    return Tokens(one_of("NA", F.when(is_yes, F.lit("YES")), F.when(is_no, F.lit("NO"))), F.array(rate))
 
 
 def _quoted_category(name: str, policy: str) -> Column:
@@ -224,15 +221,15 @@ def motor_chain() -> RuleChain:
                         F.lit(" doesn't satisfy the YES/NO/NA requirement on any remaining candidate rate row."))
 
     tail = [
-        Rule(c("cc_label"), c("cc_combined") | N.in_range(c("cc"), c("r_cc_min"), c("r_cc_max")),
+        Rule(c("cc_label"), Range(F.when(c("cc_combined"), F.lit(float("nan"))).otherwise(c("cc")), c("r_cc_min"), c("r_cc_max")),
              _range_detail(c("cc_label"), c("cc"))),
-        Rule(F.lit(K.POLICY_FILE_COLUMNS["seating"]), N.in_range(c("seating"), c("r_sc_min"), c("r_sc_max")),
+        Rule(F.lit(K.POLICY_FILE_COLUMNS["seating"]), Range(c("seating"), c("r_sc_min"), c("r_sc_max")),
              _range_detail(F.lit(K.POLICY_FILE_COLUMNS["seating"]), c("seating"))),
         Rule(c("age_label"),
-             N.in_range(c("vehicle_age"), c("r_vehicle_age_min"), c("r_vehicle_age_max"), low_open=True), age_detail),
-        Rule(F.lit(K.POLICY_FILE_COLUMNS["tariff"]), N.in_range(c("tariff"), c("r_tariff_min"), c("r_tariff_max")),
+             Range(c("vehicle_age"), c("r_vehicle_age_min"), c("r_vehicle_age_max"), low_open=True), age_detail),
+        Rule(F.lit(K.POLICY_FILE_COLUMNS["tariff"]), Range(c("tariff"), c("r_tariff_min"), c("r_tariff_max")),
              _range_detail(F.lit(K.POLICY_FILE_COLUMNS["tariff"]), c("tariff"))),
-        Rule(F.lit(K.INCEPTION_LABEL), N.in_range(c("inception"), c("r_from_date"), c("r_to_date")), date_detail),
+        Rule(F.lit(K.INCEPTION_LABEL), Range(days(c("inception")), days(c("r_from_date")), days(c("r_to_date"))), date_detail),
         Rule(F.lit(K.MAKE_MODEL_LABEL),
              resolved_in_list(c("make_model") == "", c("make_names"), c("r_make_items")), make_detail),
         Rule(F.lit(K.POLICY_FILE_COLUMNS["rto"]),
@@ -244,43 +241,7 @@ def motor_chain() -> RuleChain:
         Rule(F.lit(K.POLICY_FILE_COLUMNS["nil_dep"]), coded(c("r_is_zd"), c("zd") == "YES", c("zd") == "NO"),
              code_detail("Nil Dep", F.concat(F.lit("'"), F.coalesce(c("nil_dep"), F.lit("NAN")), F.lit("'")))),
     ]
-    return RuleChain(
-        lead=lead,
-        tail=tail,
-        lead_policy=["vehproduct", "sub_product", "fuel", "vehicle_class"],
-        lead_rate=["r_product", "r_sub_product", "r_fuel_type", "r_make_model_class"],
-        tail_policy=[
-            "cc", "cc_combined", "seating", "vehicle_age", "tariff", "inception", "make_model", "make_names", "rto",
-            "rto_names", "ncb", "cpa", "zd",
-        ],
-        tail_rate=[
-            "r_cc_min", "r_cc_max", "r_sc_min", "r_sc_max", "r_vehicle_age_min", "r_vehicle_age_max", "r_tariff_min",
-            "r_tariff_max", "r_from_date", "r_to_date", "r_make_items", "r_rto_items", "r_is_ncb", "r_is_cpa",
-            "r_is_zd",
-        ],
-        union_list="r_rto_items",
-    )
-
-
-def motor_matches(policies: DataFrame, rates: DataFrame, chain: RuleChain) -> DataFrame:
-    """(policy columns, rate columns) for every rate row that passes the whole chain.
-
-    The insurer and the lead rules are settled on distinct lead values, so the join keys are all of them and one RTO
-    group the policy resolves to and the rate lists; the tail rules are left to test. A pair that shares several RTO
-    groups is kept on the smallest only.
-    """
-    blank = F.array(F.lit(""))
-    lead_keys = [chain.block, *chain.lead_policy]
-    asked = policies.where(F.col(chain.block).isNotNull())
-    rate_block = F.col(f"r_{chain.block}").alias(chain.block)
-    tuples = asked.select(*lead_keys).distinct()
-    passing = tuples.join(rates.select(rate_block, *chain.lead_rate).distinct(), chain.block).where(all_pass(chain.lead))
-    right = same_values(passing, rates.select("*", rate_block), [chain.block, *chain.lead_rate], "_l_").withColumn(
-        "_rto", F.explode(F.when(F.size("r_rto_items") == 0, blank).otherwise(F.col("r_rto_items"))))
-    left = asked.select(chain.key, *lead_keys, *chain.tail_policy).withColumn(
-        "_rto", F.explode(F.when(F.col("rto") == "", blank).otherwise(F.col("rto_names"))))
-    once = (F.col("rto") == "") | (F.col("_rto") == F.array_min(F.array_intersect("rto_names", "r_rto_items")))
-    return left.join(right, [*lead_keys, "_rto"]).where(all_pass(chain.tail) & once)
+    return RuleChain(lead=lead, tail=tail)
 
 
 def with_group_places(rates: DataFrame) -> DataFrame:
@@ -296,28 +257,38 @@ def with_group_places(rates: DataFrame) -> DataFrame:
     return keyed.withColumns({"r_place": place, "r_payout": payout})
 
 
-def resolve_groups(matches: DataFrame, rates: DataFrame, payload: list[str], key: str = "row_id") -> DataFrame:
-    """One row per matched policy: how many groups and rows matched, whether they all pay the same, and the row used.
+def matched_groups(policies: DataFrame, rates: DataFrame, chain: RuleChain, payload: list[str]) -> DataFrame:
+    """One row per policy whose insurer has rates: its mask; how many groups and rows pass the whole chain, whether they all pay the
+    same, and the row used (all NULL where none passes).
 
     Ambiguity is judged on distinct group keys. Inside a group the row with the lowest effective rate is used (then the
-    lowest id); several groups with one payout signature count as one, the lowest. Matches and ``rates`` come from
-    ``with_group_places``: numbers are aggregated, and the used row is joined back at the end.
+    lowest id); several groups with one payout signature count as one, the lowest. ``rates`` come from
+    ``with_group_places``: the index carries numbers, and the used row is joined back at the end.
     """
-    groups = matches.groupBy(key, F.col("r_group").alias("group_key")).agg(
-        F.count("*").alias("rows"),
-        F.min("r_payout").alias("low_payout"),
-        F.max("r_payout").alias("high_payout"),
-        F.min("r_place").alias("used"),
+    key, carry = chain.key, ["r_group", "r_payout", "r_place"]
+    found = narrowed(policies, rates, [rule.test for rule in chain.rules], chain.block, key, carry)
+    # dealt once by policy, which serves both aggregates and the joins by policy after them
+    rows = found.repartition(key).select(key, "mask", F.explode_outer(F.arrays_zip(*carry)).alias("m"))
+    groups = rows.groupBy(key, F.col("m.r_group").alias("group_key")).agg(
+        F.max("mask").alias("mask"),
+        F.count("m").alias("rows"),
+        F.min("m.r_payout").alias("low_payout"),
+        F.max("m.r_payout").alias("high_payout"),
+        F.min("m.r_place").alias("used"),
     )
     row = F.struct(*[F.col(p) for p in payload]).alias("rate_row")
-    used = rates.select(F.col("r_group").alias("group_key"), F.col("r_place").alias("used"), row)
-    return collapse_groups(groups, key).join(used, ["group_key", "used"]).drop("used")
+    used = rates.select(F.col("r_group").alias("_group"), F.col("r_place").alias("_used"), row)
+    policies = collapse_groups(groups, key)
+    # policies without a match have keys of their own, so they don't meet on NULL
+    own = F.coalesce(F.col("group_key"), -1 - F.xxhash64(key))
+    return policies.join(used, (own == F.col("_group")) & (F.col("used") == F.col("_used")), "left").drop("used", "_used", "_group")
 
 
 def collapse_groups(groups: DataFrame, key: str) -> DataFrame:
-    """One row per policy over its matched groups; ``used`` is that of the lowest group."""
+    """One row per policy over its matched groups; ``used`` is that of the lowest group. A group without a key is no match."""
     return groups.groupBy(key).agg(
-        F.count("*").alias("group_count"),
+        F.max("mask").alias("mask"),
+        F.count("group_key").alias("group_count"),
         F.sum("rows").alias("row_count"),
         (F.min("low_payout") == F.max("high_payout")).alias("same_payout"),
         F.min("group_key").alias("group_key"),

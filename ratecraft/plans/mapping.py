@@ -40,8 +40,7 @@ def resolve_motor(features: DataFrame, rates: DataFrame, rto_master: DataFrame,
 def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     """Results of resolved motor features against normalised motor rates.
 
-    Resolved features are staged, since three branches read them. Then two passes. The first joins on selective keys and finds the matches; the second works out masks only for policies
-    without a match, and for those with bad data, whose text lists the failed rules too.
+    Each policy is looked up once in the bitmap index of the card, which tells its matches and the rules it fails.
     """
     chain = J.motor_chain()
     combined = F.when(
@@ -54,11 +53,8 @@ def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("sub_product"), F.col("vehproduct"), F.col("total_od_cell"), F.col("tp_premium_cell"), F.col("ncb_cell")
     )
     checked = stage(features.withColumn("data_errors", F.array_compact(F.array(combined, validation))))
-    clean = checked.where(F.size("data_errors") == 0)
     placed = J.with_group_places(rates)
-    matched = J.resolve_groups(J.motor_matches(clean, placed, chain), placed, J.motor_payload())
-    unexplained = checked.join(matched.select("row_id"), "row_id", "left_anti")
-    masks = J.best_masks(unexplained, rates, chain)
+    matched = J.matched_groups(checked, placed, chain, J.motor_payload())
 
     insurer_failure = reasons.segment(F.lit(K.POLICY_FILE_COLUMNS["insurer"]), F.when(
         F.col("insurer").isNull(),
@@ -71,7 +67,7 @@ def map_motor(features: DataFrame, rates: DataFrame) -> DataFrame:
     segments = F.when(F.col("mask").isNull(), F.array(insurer_failure)).otherwise(
         J.failed_segments(chain.rules, F.col("mask"))
     )
-    joined = checked.join(matched, "row_id", "left").join(masks, "row_id", "left").withColumn("segments", segments)
+    joined = checked.join(matched, "row_id", "left").withColumn("segments", segments)
 
     bad = F.size("data_errors") > 0
     single = (F.col("group_count") == 1) | F.coalesce(F.col("same_payout"), F.lit(False))
