@@ -24,6 +24,8 @@ SLICES = 2_048
 _JOIN = "\x1f"
 #: the token of an empty list, and of a blank value that only matches one
 EMPTY = "\x00"
+#: a token that every row may offer beside its own
+ANY = "\x01"
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,27 @@ class Range:
     policy_type, rate_type = "double", "array<double>"
 
 
+@dataclass(frozen=True)
+class Span:
+    """A row passes where its interval shares a value with the asked one, NULL bounds being open; with ``seams_apart`` bands that
+    only touch do not."""
+
+    low: Column
+    high: Column
+    r_low: Column
+    r_high: Column
+    seams_apart: bool = False
+
+    def policy(self) -> Column:
+        text = [F.coalesce(b.cast("double").cast("string"), F.lit("nan")) for b in (self.low, self.high)]
+        return F.concat_ws(_JOIN, *text)
+
+    def rate(self) -> Column:
+        return F.array(self.r_low.cast("double"), self.r_high.cast("double"))
+
+    policy_type, rate_type = "string", "array<double>"
+
+
 def one_of(*values: Column | str) -> Column:
     """An array of the values that are not NULL."""
     return F.array_compact(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]))
@@ -155,16 +178,36 @@ class _RangeIndex:
         return np.array([self._cell(int(c), values[k]) for c, k in zip(distinct, first)])[where]
 
 
+class _SpanIndex(_TokenIndex):
+    """Sets for asked intervals, worked out once for each that occurs."""
+
+    def __init__(self, column: pa.Array, sets: _Sets, seams_apart: bool):
+        ends = np.array([[np.nan if x is None else x for x in pair] for pair in column.to_pylist()], dtype=float).reshape(-1, 2)
+        self.sets, self.known, self.seams_apart = sets, {}, seams_apart
+        self.low, self.high = ends[:, 0], ends[:, 1]
+
+    def _asked(self, text: str) -> np.ndarray:
+        if text not in self.known:
+            low, high = map(float, text.split(_JOIN))
+            # comparisons with NaN are false, so an open bound is never beyond another
+            meets = ~((low > self.high) | (self.low > high))
+            if self.seams_apart:
+                above = (high == self.low) & (np.isnan(low) | (low < high)) & (np.isnan(self.high) | (self.high > self.low))
+                below = (self.high == low) & (np.isnan(self.low) | (self.low < self.high)) & (np.isnan(high) | (high > low))
+                meets &= ~(above | below)
+            self.known[text] = self.sets.pack(meets)
+        return self.known[text]
+
+
 class _Index:
-    def __init__(self, rates: pa.Table, kinds: list[tuple[str, bool]], carry: list[str]):
+    def __init__(self, rates: pa.Table, kinds: list[tuple[type, bool]], carry: list[str]):
         self.sets = _Sets(rates.num_rows)
         column = lambda name: rates.column(name).combine_chunks()
-        self.rules = [
-            _RangeIndex(column(f"o{i}"), self.sets, low_open) if kind == "double" else _TokenIndex(column(f"o{i}"), self.sets)
-            for i, (kind, low_open) in enumerate(kinds)
-        ]
+        made = {Tokens: lambda c, _: _TokenIndex(c, self.sets), Range: lambda c, flag: _RangeIndex(c, self.sets, flag), Span: lambda c, flag: _SpanIndex(c, self.sets, flag)}
+        self.rules = [made[kind](column(f"o{i}"), flag) for i, (kind, flag) in enumerate(kinds)]
         self.carried = [np.asarray(column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in carry]
-        self.step = max(64, min(8_192, 2**18 // self.sets.words))
+        # pairs of a step are 2**22 at most
+        self.step = max(64, min(8_192, 2**16 // self.sets.words))
 
     def narrow(self, part: pa.RecordBatch) -> list[pa.Array]:
         """The mask of each policy, and the carried numbers of the rate rows that pass every rule."""
@@ -181,7 +224,7 @@ class _Index:
         return [pa.array(mask), *[pa.ListArray.from_arrays(starts, pa.array(c[rate])) for c in self.carried]]
 
 
-def narrowed(policies: DataFrame, rates: DataFrame, rules: list[Tokens | Range], block: str, key: str, carry: list[str] | None = None,
+def narrowed(policies: DataFrame, rates: DataFrame, rules: list[Tokens | Range | Span], block: str, key: str, carry: list[str] | None = None,
              keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, mask, *carry): a row per policy and shard of its insurer's card.
 
@@ -212,7 +255,7 @@ def narrowed(policies: DataFrame, rates: DataFrame, rules: list[Tokens | Range],
 
     kinds = dict(policies.select(key, *keep).dtypes)
     none = lambda kind: F.lit(None).cast(kind)
-    types = [(r.policy_type, getattr(r, "low_open", False)) for r in rules]
+    types = [(type(r), getattr(r, "low_open", False) or getattr(r, "seams_apart", False)) for r in rules]
     left = policies.join(sizes, F.col(block) == F.col("_block")).select(
         "_block", spread(F.col(key), "_slices").alias("_slice"), each("_shards").alias("_shard"), F.lit(1).alias("_kind"),
         *[F.col(c) for c in (key, *keep)], *[r.policy().alias(f"a{i}") for i, r in enumerate(rules)],

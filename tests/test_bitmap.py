@@ -129,3 +129,31 @@ def test_gaps_tell_long_group_lists_apart(spark):
     mapped = spark.createDataFrame(rows, "row_id long, mapping_status string, failure_reason string, match_ids array<long>")
     got = sorted((r["kind"], r["group_ids"][-1:], r["n"]) for r in G.coverage_gaps(mapped).collect())
     assert got == [("multiple_matches", [77], 1), ("multiple_matches", [88], 2), ("no_match", [], 1)]
+
+
+def test_first_pairs_of_large_profiles(spark):
+    """Capped listings of few large profiles, which conflict in every way, form about as many pairs as they list."""
+    from ratecraft.operators import overlap as O
+
+    rnd = random.Random(9)
+    kinds = [("a", None), ("a", 3.0), ("a", 5.0), ("b", None)]
+    rows = []
+    for k in rnd.sample(range(1, 3000), 400):
+        tnc, low = kinds[0] if rnd.random() < .6 else rnd.choice(kinds)
+        rows.append((k, f"p{tnc}{low}", rnd.choice(["Acme"]), 1, tnc, low))
+    groups = spark.createDataFrame(rows, "grid_key long, profile string, insurer_display string, row_count long, tnc string, low double")
+    names = sorted({r[1] for r in rows})
+    pairs = [(x, y, rnd.choice(["PARTIAL", "CONTAINED", None])) for i, x in enumerate(names) for y in names[i + 1 :]]
+    pairs[0] = (*pairs[0][:2], "PARTIAL")
+    typed = spark.createDataFrame(pairs, "a_profile string, b_profile string, conflict_type string")
+    every = {}
+    for r in O.list_pairs(groups, typed).collect():
+        every.setdefault(r["conflict_type"], []).append((r["insurance_company"], r["group_key_a"], r["group_key_b"]))
+    for cap in (1, 7, 150):
+        caps = dict.fromkeys(O.K.CONFLICT_SEVERITY, cap)
+        got = {}
+        for r in O.list_pairs(groups, typed, caps).collect():
+            got.setdefault(r["conflict_type"], []).append((r["insurance_company"], r["group_key_a"], r["group_key_b"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:cap] for k, v in every.items()}
+        formed = {r["conflict_type"]: r["count"] for r in O._first_pairs(groups, typed.where("conflict_type IS NOT NULL"), caps).groupBy("conflict_type").count().collect()}
+        assert all(n <= 2 * cap + 400 for n in formed.values()) and max(map(len, every.values())) > 10_000
