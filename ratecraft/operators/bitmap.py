@@ -28,6 +28,16 @@ EMPTY = "\x00"
 ANY = "\x01"
 
 
+def _ends(low: Column, high: Column) -> Column:
+    """Two bounds as text, which is far cheaper to hand to Python than an array; doubles survive it unchanged."""
+    return F.concat_ws(_JOIN, *[F.coalesce(b.cast("double").cast("string"), F.lit("nan")) for b in (low, high)])
+
+
+def _read_ends(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.array([[float(x) for x in text.split(_JOIN)] for text in column.to_pylist()]).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
 @dataclass(frozen=True)
 class Tokens:
     """A rate row passes where it offers one of the strings the policy asks for."""
@@ -39,12 +49,12 @@ class Tokens:
         return F.when(F.size(self.asked) > 0, F.array_join(self.asked, _JOIN))
 
     def rate(self) -> Column:
-        return self.offered
+        return F.when(F.size(self.offered) > 0, F.array_join(self.offered, _JOIN))
 
     def holds(self) -> Column:
         return F.arrays_overlap(self.asked, self.offered)
 
-    policy_type, rate_type = "string", "array<string>"
+    policy_type = "string"
 
 
 @dataclass(frozen=True)
@@ -60,13 +70,13 @@ class Range:
         return self.value.cast("double")
 
     def rate(self) -> Column:
-        return F.array(self.low.cast("double"), self.high.cast("double"))
+        return _ends(self.low, self.high)
 
     def holds(self) -> Column:
         value = self.value.cast("double")
         return F.coalesce(F.isnan(value), F.lit(False)) | in_range(value, self.low, self.high, self.low_open)
 
-    policy_type, rate_type = "double", "array<double>"
+    policy_type = "double"
 
 
 @dataclass(frozen=True)
@@ -81,13 +91,12 @@ class Span:
     seams_apart: bool = False
 
     def policy(self) -> Column:
-        text = [F.coalesce(b.cast("double").cast("string"), F.lit("nan")) for b in (self.low, self.high)]
-        return F.concat_ws(_JOIN, *text)
+        return _ends(self.low, self.high)
 
     def rate(self) -> Column:
-        return F.array(self.r_low.cast("double"), self.r_high.cast("double"))
+        return _ends(self.r_low, self.r_high)
 
-    policy_type, rate_type = "string", "array<double>"
+    policy_type = "string"
 
 
 def one_of(*values: Column | str) -> Column:
@@ -125,8 +134,8 @@ class _Sets:
 class _TokenIndex:
     def __init__(self, column: pa.Array, sets: _Sets):
         self.sets, self.rows, self.known = sets, {}, {}
-        for row, tokens in enumerate(column.to_pylist()):
-            for token in tokens or ():
+        for row, text in enumerate(column.to_pylist()):
+            for token in () if text is None else text.split(_JOIN):
                 self.rows.setdefault(token, []).append(row)
 
     def _asked(self, text: str) -> np.ndarray:
@@ -147,9 +156,9 @@ class _TokenIndex:
 
 class _RangeIndex:
     def __init__(self, column: pa.Array, sets: _Sets, low_open: bool):
-        ends = np.array([[np.nan if x is None else x for x in pair] for pair in column.to_pylist()], dtype=float).reshape(-1, 2)
         self.sets, self.low_open = sets, low_open
-        self.low, self.high = ends[:, 0], ends[:, 1]
+        self.low, self.high = _read_ends(column)
+        ends = np.concatenate([self.low, self.high])
         self.ends = np.unique(ends[~np.isnan(ends)])
         self.known: dict[int, np.ndarray] = {}
 
@@ -182,9 +191,8 @@ class _SpanIndex(_TokenIndex):
     """Sets for asked intervals, worked out once for each that occurs."""
 
     def __init__(self, column: pa.Array, sets: _Sets, seams_apart: bool):
-        ends = np.array([[np.nan if x is None else x for x in pair] for pair in column.to_pylist()], dtype=float).reshape(-1, 2)
         self.sets, self.known, self.seams_apart = sets, {}, seams_apart
-        self.low, self.high = ends[:, 0], ends[:, 1]
+        self.low, self.high = _read_ends(column)
 
     def _asked(self, text: str) -> np.ndarray:
         if text not in self.known:
@@ -259,7 +267,7 @@ def narrowed(policies: DataFrame, rates: DataFrame, rules: list[Tokens | Range |
     left = policies.join(sizes, F.col(block) == F.col("_block")).select(
         "_block", spread(F.col(key), "_slices").alias("_slice"), each("_shards").alias("_shard"), F.lit(1).alias("_kind"),
         *[F.col(c) for c in (key, *keep)], *[r.policy().alias(f"a{i}") for i, r in enumerate(rules)],
-        *[none(r.rate_type).alias(f"o{i}") for i, r in enumerate(rules)], *[none("bigint").alias(c) for c in carry],
+        *[none("string").alias(f"o{i}") for i in range(len(rules))], *[none("bigint").alias(c) for c in carry],
     )
     own = [r.rate().alias(f"o{i}") for i, r in enumerate(rules)]
     card = rates.where(F.col(f"r_{block}").isNotNull()).select(F.col(f"r_{block}").alias("_r_block"), *own, *carry)
