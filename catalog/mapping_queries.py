@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.bridge import RUN_YEAR, master
+from catalog import fuzzy_sql as Z
 from catalog.registry import Source, query
 from ratecraft.functions import text as T
 from ratecraft.operators import rulejoin as J, resolve as R
@@ -346,7 +347,7 @@ def mapped_policies_query(s: Source) -> DataFrame:
                                      "pay_in_amount", "pay_out_amount", "margin_amount")
 
 
-@query("health_mapping")
+@query("health_mapping", f"WITH {Z.HEALTH} SELECT row_id, mapping_status, failure_reason, display_group_id, po_rate, pi_rate FROM health_result")
 def health_mapping(s: Source) -> DataFrame:
     from ratecraft.operators.healthjoin import map_health
 
@@ -408,7 +409,10 @@ def spelling_expansion_lookup(s: Source) -> DataFrame:
     return R.resolve_search_terms(s.part.select(F.col("p_name").alias("term")), s.spelling, make_master(s))
 
 
-@query("plan_name_fuzzy_join")
+@query("plan_name_fuzzy_join", f"""
+WITH plans AS (SELECT DISTINCT plan_name AS a FROM mis WHERE plan_name <> ''), lists AS (SELECT DISTINCT plan_names AS b FROM health_card WHERE plan_names <> ''),
+pairs AS (SELECT a, b, {Z.plan_key('a')} AS a_key, {Z.plan_key('item')} AS b_key FROM plans, (SELECT b, unnest(string_split(b, ',')) AS item FROM lists) items)
+SELECT DISTINCT a, b FROM pairs WHERE a_key <> '' AND {Z.ratio('a_key', 'b_key')} >= 80""")
 def plan_name_fuzzy_join(s: Source) -> DataFrame:
     one = F.lit("all").alias("block")
     plans = s.mis.select(one, F.col("plan_name").alias("a")).where("a <> ''").distinct()
@@ -416,7 +420,8 @@ def plan_name_fuzzy_join(s: Source) -> DataFrame:
     return R.fuzzy_plan_pairs(plans, lists, "block").select("a", "b")
 
 
-@query("fuzzy_category_pairs")
+@query("fuzzy_category_pairs", f"""
+SELECT a, b FROM (SELECT DISTINCT lower(product_name) AS a FROM mis WHERE product_name <> '') x, (SELECT DISTINCT lower(product_name) AS b FROM health_card WHERE product_name <> '') y WHERE {Z.alike('a', 'b')}""")
 def fuzzy_category_pairs(s: Source) -> DataFrame:
     one = F.lit("all").alias("block")
     left = s.mis.select(one, F.lower("product_name").alias("a")).where("a <> ''").distinct()
@@ -424,7 +429,11 @@ def fuzzy_category_pairs(s: Source) -> DataFrame:
     return R.fuzzy_category_pairs(left, right, "block").select("a", "b")
 
 
-@query("spelling_suggestions")
+@query("spelling_suggestions", f"""
+WITH pairs AS (SELECT value, item, trim(regexp_replace(lower(value), '[^a-z0-9]', ' ', 'g')) AS a, trim(regexp_replace(lower(item), '[^a-z0-9]', ' ', 'g')) AS b
+  FROM (SELECT DISTINCT upper(p_name) AS value FROM {{part}}) v, (SELECT DISTINCT upper(item) AS item FROM make_items) i WHERE value <> item),
+scores AS ({Z.scored('pairs', 'a', 'b')})
+SELECT value, item, by_set AS score, by_sort AS tie FROM scores WHERE by_set >= 90 AND len(w2) >= 2""")
 def spelling_suggestions(s: Source) -> DataFrame:
     return R.suggest_spellings(s.part.select(F.upper("p_name").alias("value")).distinct(), make_master(s))
 

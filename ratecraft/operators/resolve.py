@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ratecraft import constants as K
 from ratecraft.functions.clusters import alnum_tokens, split_list
-from ratecraft.functions.similarity import similarity
+from ratecraft.functions.similarity import ratio, similarity, token_set_ratio, token_sort_ratio
 from ratecraft.functions.text import (
     insurer_key_tokens, lowered, model_words, norm_text, normalize_plan_name, present, strip, word_match,
 )
@@ -198,7 +198,7 @@ def contained_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
 def fuzzy_category_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     """(block, a, b): values that are equal, contain one another, or have a ratio above 75."""
     close = close_pairs(left, right, block, K.CATEGORY_RATIO_ABOVE)
-    close = close.where(similarity("ratio", F.col("a"), F.col("b")) > K.CATEGORY_RATIO_ABOVE)
+    close = close.where(ratio(F.col("a"), F.col("b")) > K.CATEGORY_RATIO_ABOVE)
     return contained_pairs(left, right, block).unionByName(close).distinct()
 
 
@@ -217,7 +217,7 @@ def fuzzy_plan_pairs(plans: DataFrame, lists: DataFrame, block: str) -> DataFram
     a = left.select(block, F.col("a_sorted").alias("a")).distinct()
     b = right.select(block, F.col("b_sorted").alias("b")).distinct()
     close = close_pairs(a, b, block, K.PLAN_RATIO_MIN)
-    close = close.where(similarity("ratio", F.col("a"), F.col("b")) >= K.PLAN_RATIO_MIN)
+    close = close.where(ratio(F.col("a"), F.col("b")) >= K.PLAN_RATIO_MIN)
     close = close.select(block, F.col("a").alias("a_sorted"), F.col("b").alias("b_sorted"))
     return (
         left.join(close, [block, "a_sorted"]).join(right, [block, "b_sorted"]).select(block, "a", "b").distinct()
@@ -231,7 +231,7 @@ def default_process(c: Column) -> Column:
 
 
 def suggest_spellings(values: DataFrame, master: DataFrame, limit: int | None = None) -> DataFrame:
-    """(value, item, score, tie, place): cluster items that look like another spelling of a value, best first.
+    """(value, item, score, tie): cluster items that look like another spelling of a value, all of them or the ``limit`` best.
 
     A pair scores 90 by its token sets only if it shares a word, or if the texts as a whole are that close.
     """
@@ -257,17 +257,18 @@ def suggest_spellings(values: DataFrame, master: DataFrame, limit: int | None =
         .join(right.select(F.array_join("b_words", " ").alias("bw"), "b").distinct(), "bw")
     )
     pairs = shared.select("a", "b").unionByName(whole.select("a", "b")).distinct()
-    pairs = pairs.withColumn("score", similarity("token_set_ratio", F.col("a"), F.col("b")))
+    pairs = pairs.withColumn("score", token_set_ratio(F.col("a"), F.col("b")))
     pairs = pairs.where(F.col("score") >= K.SPELLING_RATIO_MIN)
-    pairs = pairs.withColumn("tie", similarity("token_sort_ratio", F.col("a"), F.col("b")))
+    pairs = pairs.withColumn("tie", token_sort_ratio(F.col("a"), F.col("b")))
     named = (
         pairs.join(left.select("a", F.col("a_raw").alias("value")), "a")
         .join(right.select("b", F.col("b_raw").alias("item")), "b")
         .where("value <> item")
         .select("value", "item", "score", "tie")
     )
-    order = [F.desc("score"), F.desc("tie"), F.asc("item")]
-    return first_per_group(named, ["value"], order, 2**31 - 1 if limit is None else limit)
+    if limit is None:
+        return named
+    return first_per_group(named, ["value"], [F.desc("score"), F.desc("tie"), F.asc("item")], limit)
 
 
 def item_index(master: DataFrame) -> DataFrame:
