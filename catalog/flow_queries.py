@@ -50,18 +50,6 @@ def mapped_file_columns(s: Source) -> DataFrame:
     return out.select(F.col(P.ROW_ID).alias("original_row_id"), F.col("Insurer").alias("insurer"), F.col("Mapping Status").alias("mapping_status"))
 
 
-@query("failed_row_sink", "SELECT CAST(file_id AS BIGINT) AS mis_file_id, count(*) AS n FROM policy WHERE row_id % 2 = 1 GROUP BY 1")
-def failed_row_sink(s: Source) -> DataFrame:
-    """Failed rows written per file, one file written again: each file's rows are there once."""
-    path = scratch(s)
-    rows = s.mis.withColumn("mapping_status", F.when(F.col("row_id") % 2 == 0, F.lit(K.MATCH)).otherwise(F.lit(K.NO_MATCH))).withColumn("failure_reason", F.lit("No rates found for criteria"))
-    rows = rows.withColumn("match_ids", F.array().cast("array<bigint>"))
-    failed = stage(G.failed_rows(rows, F.col("file_id")))
-    G.write_failed_rows(failed, path)
-    G.write_failed_rows(failed.where("mis_file_id = 2"), path)
-    return s.spark.read.parquet(path).groupBy(F.col("mis_file_id").cast("bigint").alias("mis_file_id")).agg(F.count("*").alias("n"))
-
-
 @query("file_hash_registry", """WITH last AS (SELECT target_table, file_hash, max_by(status, (created_at, id)) AS prior_status FROM attempts WHERE id % 2 = 0 GROUP BY 1, 2)
 SELECT DISTINCT a.target_table, a.file_hash, prior_status FROM attempts a LEFT JOIN last USING (target_table, file_hash)""")
 def file_hash_registry(s: Source) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.bridge import RUN_YEAR, master
 from catalog import fuzzy_sql as Z
 from catalog.registry import Source, query
+from ratecraft import constants as K
 from ratecraft.functions import text as T
-from ratecraft.operators import rulejoin as J, resolve as R
+from ratecraft.operators import gaps as G, rulejoin as J, resolve as R
 from ratecraft.plans import mapping as M
+from ratecraft.session import shared_folder, stage
 from ratecraft.sources import policies as P, rates as S
+from ratecraft.sources.reports import write_csv
 
 
 def rto_master(s: Source) -> DataFrame:
@@ -271,34 +276,51 @@ def base_premium(s: Source) -> DataFrame:
     return s.mis.select("row_id", premium(F.lit("motor"), *cells).alias("general"), premium(F.lit("Non_Motor"), *cells).alias("non_motor"))
 
 
-_CP = f"""CASE WHEN display_group_id IS NOT NULL AND pi_type = 'On OD' THEN {_amount('total_od')} WHEN display_group_id IS NOT NULL AND pi_type = 'On TP' THEN {_amount('tp_premium')}
-  WHEN display_group_id IS NOT NULL AND pi_type = 'On Net' THEN {_amount('gwp_net')} ELSE {_BASE} END"""
+# ---- the whole file: motor, health and unroutable policies --------------------------------------------
+_LEGS = ("po_od_rate", "po_tp_rate", "pi_od_rate", "pi_tp_rate")
+_OK = "CASE WHEN result.display_group_id IS NOT NULL THEN {} END"
+_WHOLE = _MAPPED + f""", {Z.HEALTH}, every_result AS (
+  SELECT result.row_id, mapping_status, failure_reason, result.display_group_id, {_OK.format('po_type')} AS po_type, {_OK.format('pi_type')} AS pi_type,
+    {', '.join(f"{_OK.format(leg)} AS {leg}" for leg in _LEGS)}, {_OK.format(_SIDE.format(s='po'))} AS po_one, {_OK.format(_SIDE.format(s='pi'))} AS pi_one, coalesce(result.groups, 0) AS groups,
+    CASE WHEN mapping_status = '⚠️ MULTIPLE MATCHES' THEN all_keys END AS all_ids, CASE WHEN mapping_status = '❌ NO MATCH' THEN failed ELSE [] END AS failed
+  FROM result LEFT JOIN used USING (row_id) LEFT JOIN (SELECT row_id, failed FROM spoken) said USING (row_id)
+    LEFT JOIN (SELECT row_id, list_sort(list(DISTINCT group_key)) AS all_keys FROM hit GROUP BY 1) every_key USING (row_id)
+  UNION ALL
+  SELECT row_id, mapping_status, failure_reason, display_group_id, CASE WHEN display_group_id IS NOT NULL THEN 'ON Net 1 Year' END, CASE WHEN display_group_id IS NOT NULL THEN 'ON Net 1 Year' END,
+    NULL, NULL, NULL, NULL, po_rate, pi_rate, groups, CASE WHEN mapping_status = '⚠️ MULTIPLE MATCHES' THEN all_ids END, CASE WHEN mapping_status = '❌ NO MATCH' THEN failed ELSE [] END FROM health_result
+  UNION ALL
+  SELECT row_id, '❌ NO MATCH', 'Failed on: ' || said, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, NULL, [said] FROM (
+    SELECT row_id, 'Product — Product ''' || coalesce(product, '(blank)') || ''' is neither ''motor'' nor ''health'', so no Rate Master applies and the row was not matched. '
+      || 'Correct the Product column and re-run mapping for this row.' AS said FROM mis WHERE lower(trim(coalesce(product, ''))) NOT IN ('motor', 'health')) unrouted
+), every_row AS (
+  SELECT every_result.*, mis.* EXCLUDE (row_id), CASE WHEN lower(trim(product)) = 'motor' AND pi_type = 'On OD' THEN {_amount('total_od')} WHEN lower(trim(product)) = 'motor' AND pi_type = 'On TP' THEN {_amount('tp_premium')}
+    WHEN lower(trim(product)) = 'motor' AND pi_type = 'On Net' THEN {_amount('gwp_net')} ELSE {_BASE} END AS cp FROM every_result JOIN mis USING (row_id)
+), every_amount AS (
+  SELECT *, {', '.join(f"""CASE WHEN {side}_type = 'On OD and TP' THEN {_amount('total_od')} * (coalesce({side}_od_rate, 0) / 100) + {_amount('tp_premium')} * (coalesce({side}_tp_rate, 0) / 100)
+      ELSE {side}_one / 100 * cp END AS {side}_pay, CASE WHEN {side}_type = 'On OD and TP' THEN regexp_replace(CAST({side}_od_rate AS STRING), '\\.0$', '') || '+' || regexp_replace(CAST({side}_tp_rate AS STRING), '\\.0$', '')
+      ELSE CAST({side}_one AS STRING) END AS {side}_text""" for side in ("po", "pi"))} FROM every_row
+)
+"""
 
 
-def _pay(side: str) -> str:
-    return (f"CASE WHEN display_group_id IS NULL THEN NULL WHEN {side}_type = 'On OD and TP' THEN {_amount('total_od')} * (coalesce({side}_od_rate, 0) / 100) + "
-            f"{_amount('tp_premium')} * (coalesce({side}_tp_rate, 0) / 100) ELSE ({_SIDE.format(s=side)}) / 100 * ({_CP}) END")
+def _milli(x: str) -> str:
+    return f"floor(({x}) * 1000 + 0.5) / 1000"
 
 
-@query("payout_amounts", _MAPPED + f"""
-SELECT cell.row_id, floor(({_CP}) * 1000 + 0.5) / 1000 AS cp_premium, floor(({_pay('pi')}) * 1000 + 0.5) / 1000 AS pay_in, floor(({_pay('po')}) * 1000 + 0.5) / 1000 AS pay_out,
-  floor((({_pay('pi')}) - ({_pay('po')})) * 1000 + 0.5) / 1000 AS margin,
-  CASE WHEN display_group_id IS NOT NULL THEN CASE WHEN po_type = 'On OD and TP' THEN regexp_replace(CAST(po_od_rate AS STRING), '\\.0$', '') || '+' || regexp_replace(CAST(po_tp_rate AS STRING), '\\.0$', '')
-    ELSE CAST({_SIDE.format(s='po')} AS STRING) END END AS po_rate_text
-FROM result JOIN cell USING (row_id) LEFT JOIN used USING (row_id)""")
+@query("payout_amounts", _WHOLE + f"""
+SELECT row_id, {_milli('cp')} AS cp_premium, {_milli('pi_pay')} AS pay_in, {_milli('po_pay')} AS pay_out, {_milli('pi_pay - po_pay')} AS margin, po_text AS po_rate_text FROM every_amount""")
 def payout_amounts(s: Source) -> DataFrame:
-    from ratecraft.operators.amounts import with_amounts
-
-    mapped = with_amounts(s.mis.join(motor_results(s), "row_id"))
     shown = {"cp_premium": "cp_premium", "pay_in_amount": "pay_in", "pay_out_amount": "pay_out", "margin_amount": "margin"}
-    return mapped.select("row_id", *[(F.floor(F.col(a) * 1000 + 0.5) / 1000).alias(b) for a, b in shown.items()], "po_rate_text")
+    return mapped_policies(s).select("row_id", *[(F.floor(F.col(a) * 1000 + 0.5) / 1000).alias(b) for a, b in shown.items()], "po_rate_text")
 
 
-@query("run_summary", _MAPPED + """
+@query("run_summary", _WHOLE + """, n AS (
 SELECT count(*) AS processed, count_if(mapping_status = '✅ MATCH') AS matched, count_if(mapping_status = '✅ MATCH' AND groups > 1) AS collapsed,
-  count_if(mapping_status = '⚠️ MULTIPLE MATCHES') AS multiple, count_if(mapping_status = 'FAILED - BAD DATA') AS bad_data FROM result""")
+  count_if(mapping_status = '⚠️ MULTIPLE MATCHES') AS multiple, count_if(mapping_status = 'FAILED - BAD DATA') AS bad_data FROM every_result)
+SELECT *, 'Processed ' || processed || ' rows successfully. Mapped ' || matched || ' rates. ' || CASE WHEN collapsed > 0 THEN collapsed || ' of them matched several Rate Master groups/rows with identical payout and payin rates and used the lowest Group ID. ' ELSE '' END
+  || multiple || ' rows skipped — multiple Rate Master groups matched (refine Rate Master to get a single match). ' || bad_data || ' rows flagged FAILED - BAD DATA (invalid source values — see Failure Reason).' AS sentence FROM n""")
 def run_summary(s: Source) -> DataFrame:
-    return M.run_summary(motor_results(s))
+    return M.run_summary(mapped_policies(s)).withColumn("sentence", M.summary_text())
 
 
 @query("multiple_match_message", _MAPPED + "SELECT row_id, failure_reason FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'")
@@ -306,45 +328,55 @@ def multiple_match_message(s: Source) -> DataFrame:
     return motor_results(s).where("mapping_status = '⚠️ MULTIPLE MATCHES'").select("row_id", "failure_reason")
 
 
-@query("failed_rows_by_status", _MAPPED + """
-SELECT CASE mapping_status WHEN '⚠️ MULTIPLE MATCHES' THEN 'MULTIPLE_MATCHES' WHEN '❌ NO MATCH' THEN 'NO_MATCH' ELSE 'BAD_DATA' END AS status_key, count(*) AS n
-FROM result WHERE mapping_status <> '✅ MATCH' GROUP BY 1""")
-def failed_rows_by_status(s: Source) -> DataFrame:
-    from ratecraft.operators import gaps as G
+_STATUS_KEY = "CASE mapping_status WHEN '⚠️ MULTIPLE MATCHES' THEN 'MULTIPLE_MATCHES' WHEN '❌ NO MATCH' THEN 'NO_MATCH' ELSE 'BAD_DATA' END"
 
-    mapped = s.mis.join(motor_results(s), "row_id")
-    return G.status_totals(G.failed_rows(mapped, F.col("file_id")))
 
+@query("failed_rows_by_status", _WHOLE + f"SELECT {_STATUS_KEY} AS status_key, count(*) AS n FROM every_result WHERE mapping_status <> '✅ MATCH' GROUP BY 1")
+def failed_rows_by_status(s: Source) -> DataFrame:
+    return G.status_totals(G.failed_rows(mapped_policies(s), F.col("file_id")))
 
-@query("ambiguous_group_ids", _MAPPED + """
-SELECT row_id, array_to_string(list_sort(list(DISTINCT group_key)), ',') AS group_ids FROM hit JOIN result USING (row_id) WHERE mapping_status = '⚠️ MULTIPLE MATCHES' GROUP BY 1""")
+
+@query("ambiguous_group_ids", _WHOLE + "SELECT row_id, array_to_string(all_ids, ',') AS group_ids FROM every_result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'")
 def ambiguous_group_ids(s: Source) -> DataFrame:
     """Every group id of an ambiguous policy as its failed row keeps them, those beyond the ten of the text too."""
-    from ratecraft.operators import gaps as G
-
-    failed = G.failed_rows(s.mis.join(motor_results(s), "row_id"), F.col("file_id")).where("status_key = 'MULTIPLE_MATCHES'")
+    failed = G.failed_rows(mapped_policies(s), F.col("file_id")).where("status_key = 'MULTIPLE_MATCHES'")
     return failed.select("row_id", F.array_join("group_ids", ",").alias("group_ids"))
 
 
-@query("coverage_gaps", _MAPPED + """, gap AS (
+@query("failed_row_sink", _WHOLE + f"""
+SELECT row_id, CAST(file_id AS BIGINT) AS mis_file_id, {_STATUS_KEY} AS status_key, failure_reason, coalesce(array_to_string(all_ids, ','), '') AS group_ids
+FROM every_row WHERE mapping_status <> '✅ MATCH'""")
+def failed_row_sink(s: Source) -> DataFrame:
+    """A processed file written as CSV and read back: its failed rows rebuilt and stored, one file's twice; each is there once."""
+    raw = s.mis.select(F.col("row_id").alias(P.ROW_ID), F.col("file_id").alias("MIS File"), *[F.col(short).alias(header) for short, header in K.POLICY_FILE_COLUMNS.items()])
+    folder = f"{shared_folder(s.spark)}/processed-{uuid.uuid4().hex}"
+    write_csv(M.mapped_file(raw, mapped_policies(s), all_ids=True), f"{folder}/file")
+    processed = s.spark.read.csv(f"{folder}/file", header=True, escape='"')
+    failed = stage(G.failed_from_file(processed, F.col("MIS File").cast("bigint")))
+    G.write_failed_rows(failed, f"{folder}/failed")
+    G.write_failed_rows(failed.where("mis_file_id = 2"), f"{folder}/failed")
+    stored = s.spark.read.parquet(f"{folder}/failed")
+    return stored.select("row_id", F.col("mis_file_id").cast("bigint").alias("mis_file_id"), "status_key", "failure_reason", F.array_join("group_ids", ",").alias("group_ids"))
+
+
+@query("coverage_gaps", _WHOLE + """, gap AS (
   SELECT 'no_match' AS kind, trim(split_part(x, ' — ', 1)) AS rule, trim(substring(x, strpos(x, ' — ') + 3)) AS detail
-  FROM (SELECT unnest(failed) AS x FROM spoken JOIN result USING (row_id) WHERE mapping_status = '❌ NO MATCH') named
+  FROM (SELECT unnest(failed) AS x FROM every_result) named
 ), keyed AS (
   SELECT kind, rule, coalesce(nullif(trim(regexp_extract(detail, '''([^'']*)''', 1)), ''), trim(detail)) AS value, '' AS group_ids FROM gap
-  UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)),
-    (SELECT array_to_string(list_sort(list(DISTINCT group_key)), ',') FROM hit WHERE hit.row_id = result.row_id) FROM result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
+  UNION ALL SELECT 'multiple_matches', '', trim(split_part(failure_reason, 'Matching Group IDs: ', 2)), array_to_string(all_ids, ',') FROM every_result WHERE mapping_status = '⚠️ MULTIPLE MATCHES'
 ), counted AS (SELECT kind, rule, value, group_ids, count(*) AS n FROM keyed GROUP BY 1, 2, 3, 4)
 SELECT kind, rule, value, group_ids, n FROM counted""")
 def coverage_gaps(s: Source) -> DataFrame:
-    from ratecraft.operators import gaps as G
-
-    return G.coverage_gaps(motor_results(s)).withColumn("group_ids", F.array_join("group_ids", ","))
+    return G.coverage_gaps(mapped_policies(s)).withColumn("group_ids", F.array_join("group_ids", ","))
 
 
-@query("mapped_policies")
+@query("mapped_policies", _WHOLE + f"""
+SELECT row_id, mapping_status, failure_reason, display_group_id, po_text AS po_rate_text, pi_text AS pi_rate_text, {_milli('cp')} AS cp_premium, {_milli('pi_pay')} AS pay_in_amount,
+  {_milli('po_pay')} AS pay_out_amount, {_milli('pi_pay - po_pay')} AS margin_amount FROM every_amount""")
 def mapped_policies_query(s: Source) -> DataFrame:
-    return mapped_policies(s).select("row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate_text", "pi_rate_text", "cp_premium",
-                                     "pay_in_amount", "pay_out_amount", "margin_amount")
+    amounts = [(F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in ("cp_premium", "pay_in_amount", "pay_out_amount", "margin_amount")]
+    return mapped_policies(s).select("row_id", "mapping_status", "failure_reason", "display_group_id", "po_rate_text", "pi_rate_text", *amounts)
 
 
 @query("health_mapping", f"WITH {Z.HEALTH} SELECT row_id, mapping_status, failure_reason, display_group_id, po_rate, pi_rate FROM health_result")

@@ -127,6 +127,7 @@ PREMIUM_FILE_COLUMNS = {
 }
 SUMMARY_KEYS = ["vehicle make", "model", "policy type", "sub product"]
 GAP_SHOWN_CHARS = 60
+ALL_IDS_COLUMN = "Matching Group IDs"
 SUMMARY_LIMIT = 3
 
 # ---- conflict types, most actionable first, and how many pairs of each a scan stores --------------

@@ -159,8 +159,12 @@ def with_results(policies: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("mapping_status", F.coalesce("mapping_status", F.lit(K.NO_MATCH)))
 
 
-def mapped_file(policies_raw: DataFrame, mapped: DataFrame, key: str = "Original_Row_ID") -> DataFrame:
-    """The output file: generated columns first, then every original column in its order."""
+def mapped_file(policies_raw: DataFrame, mapped: DataFrame, key: str = "Original_Row_ID", all_ids: bool = False) -> DataFrame:
+    """The output file: generated columns first, then every original column in its order.
+
+    With ``all_ids`` a last column lists every group id of an ambiguous row, of which the failure text shows ten, so failed rows
+    can be rebuilt from the file (``gaps.failed_from_file``).
+    """
     generated = {
         "Mapping Status": "mapping_status", "Failure Reason": "failure_reason", "Displaygroupid": "display_group_id",
         "Potype": "po_type", "Porate": "po_rate_text", "Poflatamount": "po_flat_amount", "Pitype": "pi_type",
@@ -168,9 +172,10 @@ def mapped_file(policies_raw: DataFrame, mapped: DataFrame, key: str = "Original
         "Pay-in Amt": "pay_in_amount", "Pay-out Amt": "pay_out_amount", "Margin Rate": "margin_rate",
         "Margin Amt": "margin_amount",
     }
-    results = mapped.select(F.col("row_id").alias(key), *[F.col(v).alias(k) for k, v in generated.items()])
+    ids = {K.ALL_IDS_COLUMN: F.array_join("match_ids", ",")} if all_ids else {}
+    results = mapped.select(F.col("row_id").alias(key), *[F.col(v).alias(k) for k, v in generated.items()], *[v.alias(k) for k, v in ids.items()])
     original = [c for c in policies_raw.columns if c != key]
-    return policies_raw.join(results, key, "left").select(*[F.col(f"`{c}`") for c in [*generated, *original, key]])
+    return policies_raw.join(results, key, "left").select(*[F.col(f"`{c}`") for c in [*generated, *original, key, *ids]])
 
 
 def run_summary(mapped: DataFrame) -> DataFrame:
