@@ -130,6 +130,21 @@ GAP_SHOWN_CHARS = 60
 ALL_IDS_COLUMN = "Matching Group IDs"
 SUMMARY_LIMIT = 3
 
+# ---- axes of a conflict and their labels, and the note of a double-rate risk (fixed values) --------
+CONFLICT_CATEGORIES = {"product": "Product", "sub_product": "Sub Product", "fuel_type": "Fuel Type"}
+CONFLICT_CODES = {"is_ncb": "NCB", "is_cpa": "CPA", "is_zd": "Nil Dep"}
+CONFLICT_NUMERIC = {
+    ("cc_min", "cc_max"): "CC", ("sc_min", "sc_max"): "Seating Capacity",
+    ("vehicle_age_min", "vehicle_age_max"): "Vehicle Age", ("tariff_min", "tariff_max"): "Tariff",
+}
+CONFLICT_DATES = {("from_date", "to_date"): "Validity"}
+CONFLICT_LISTS = {"new_vehicle_makes": "Vehicle Make Cluster", "new_rto_list": "RTO Cluster"}
+RISK_NOTE = (
+    "These reference different clusters, but a raw code is duplicated across both clusters' entries in RTOMaster / "
+    "MakeModelMaster — fix the master table entry (or point one group at a cluster that doesn't share the code), "
+    "rather than deactivating either group."
+)
+
 # ---- conflict types, most actionable first, and how many pairs of each a scan stores --------------
 CONFLICT_SEVERITY = {
     "DOUBLE_RATE_RISK": 1, "EXACT_DUPLICATE": 2, "CONTAINED": 3, "OPEN_ENDED": 4, "PARTIAL": 5,
