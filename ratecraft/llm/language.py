@@ -21,7 +21,8 @@ SAMPLE = 500  # fitting: documents of each language
 STEPS, BATCH, TRAIN_SPAN = 240, 160, 64
 PAD = 256
 FOLDS, HELD = 4, 2
-_LETTER = re.compile(r"[^\W\d_]")
+PART_CHARS = 4096
+_PLAIN_LETTER = re.compile(r"[A-Za-z]")
 
 
 def _blank(classes: int, seed: int) -> dict:
@@ -143,8 +144,14 @@ def score(model: dict, texts: list[bytes], sequences: int = 4096) -> np.ndarray:
     return total / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (``½``, ``²`` and other numbers are none)."""
+    return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict]:
-    """The languages of the learning folds and a network from at most ``sample`` documents of each."""
+    """The languages of the learning folds and a network from at most ``sample`` documents of each, and of each of those from one
+    stretch of ``PART_CHARS`` characters, placed by a hash of the text. Both bound fitting only; scoring reads whole texts."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", FOLDS) != HELD)).select("doc_id", "text", "lang")
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     texts, labels = [], []
@@ -152,7 +159,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict]:
         chosen = known.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         own = known.where(F.col("lang") == name).join(chosen.distinct(), "doc_id").select("text")
         # fitting reads spans, so one part of each sampled text, from anywhere in it, is enough
-        rows = sorted(r["part"] for r in own.select(F.col("text").substr(F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - 4095)).cast("int") + 1, F.lit(4096)).alias("part")).collect())[: 4 * sample]
+        rows = sorted(r["part"] for r in own.select(F.col("text").substr(F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - PART_CHARS + 1)).cast("int") + 1, F.lit(PART_CHARS)).alias("part")).collect())[: 4 * sample]
         texts += [t.encode("utf-8", "surrogatepass") for t in rows]
         labels += [k] * len(rows)
     return names, fit(texts, labels, max(1, len(names)))
@@ -170,7 +177,7 @@ def languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(ids, texts, held):
-        letters = [bool(t) and bool(names) and _LETTER.search(t) is not None for t in texts]
+        letters = [bool(names) and has_letter(t) for t in texts]
         p = score(model, [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, letters)])
         best = p.argmax(axis=1)
         return [ids, held, [names[k] if ok else "und" for k, ok in zip(best, letters)], pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))]

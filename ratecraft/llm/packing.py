@@ -124,9 +124,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def ranked(parts: DataFrame, rows: int = RANK_ROWS) -> DataFrame:
-    """Adds ``rank``, from 0 within a length, by hashed shares of each length, so a length of very many pieces is no hot task."""
+    """Adds ``rank``, from 0 within a length, by hashed shares of each length, so a length of very many pieces is no hot task.
+    ``place`` tells rows apart that are equal otherwise, so copies are dealt to different shares; it is dropped."""
     shares = max(1, -(-parts.count() // rows))
-    parts = parts.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
+    parts = parts.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(shares))).drop("place")
     sizes = parts.groupBy("length", "share").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "share", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
@@ -137,7 +138,7 @@ def ranked(parts: DataFrame, rows: int = RANK_ROWS) -> DataFrame:
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` of at most the capacity."""
-    parts = stage(parts)
+    parts = stage(parts.withColumn("place", F.monotonically_increasing_id()))
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows
     slots = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 5)
     by_length = {int(k): slots[slots[:, 0] == k, 1:] for k in np.unique(slots[:, 0])}

@@ -342,3 +342,17 @@ def test_search_oracle(spark):
     got = queries.QUERIES["op13_exact_top_k"](spark, SF)
     assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == want and want
     assert search.top_k(spark.createDataFrame([], "vec_id long, vec array<long>"), spark.createDataFrame([], "vec_id long, vec array<long>"), 5).collect() == []
+
+
+def test_numbers_are_no_letters():
+    from ratecraft.llm import language
+
+    assert [language.has_letter(t) for t in (None, "", "12 _", "½ ²", "Ⅷ", "٣", "é", "日", "1a")] == [False, False, False, False, False, False, True, True, True]
+
+
+def test_equal_rows_are_dealt_to_several_shares(spark):
+    from ratecraft.llm import packing
+
+    rows = spark.range(900).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"), F.col("id").alias("place"))
+    got = packing.ranked(rows, rows=100).collect()
+    assert sorted(r["rank"] for r in got) == list(range(900)) and got[0].asDict().keys() == {"doc_id", "piece", "length", "ids_crc32", "rank"}
