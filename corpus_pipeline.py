@@ -17,35 +17,42 @@ from ratecraft.llm.simhash import near_duplicates
 from ratecraft.session import shared_folder
 
 
-ROW = "__row"
+def _row(docs: DataFrame) -> str:
+    """A name for the row key that no column of the documents has."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with a row key: id, null ids last, and the digest of the text. Decisions of stages are made for keys, so rows
     that share only an id, or the lack of one, don't share a fate. A null text counts as empty."""
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.withColumn(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), digest.alias("digest")))
+    return docs.withColumn(_row(docs), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), digest.alias("digest")))
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
     """(doc_id, text) for an operator, with row keys as ids."""
-    return _keyed(docs).select(F.col(ROW).alias("doc_id"), "text")
+    return _keyed(docs).select(F.col(_row(docs)).alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose row key is not among the ids of ``dropped``."""
-    gone = dropped.select(F.col("doc_id").alias(ROW)).distinct()
-    return _keyed(docs).join(gone, ROW, "left_anti").select(docs.columns)
+    row = _row(docs)
+    return _keyed(docs).join(dropped.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def _one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One document for each row key among the ids of ``kept``: rows that repeat id and text are copies of each other."""
-    stays = kept.select(F.col("doc_id").alias(ROW)).distinct()
-    return _keyed(docs).dropDuplicates([ROW]).join(stays, ROW, "left_semi").select(docs.columns)
+    row = _row(docs)
+    return _keyed(docs).dropDuplicates([row]).join(kept.select(F.col("doc_id").alias(row)).distinct(), row, "left_semi").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null and empty texts are scored as empty, long texts whole; rows that repeat
+    share one fate and stay as often as they occur. Other columns are carried and not looked at; an empty table gives no rows, and
+    without labels of both kinds every document scores alike."""
     labels = table(spark, sf_dir, "labels")
     return _without(docs, quality(_by_row(docs), labels, model=train(docs, labels)).where("predicted = 0"))
 
@@ -63,12 +70,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; long texts are searched whole; repeated rows share one
+    fate. Other columns are carried; an empty table, or an empty benchmark, drops nothing."""
     return _without(docs, leaks(_by_row(docs), table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left and their places in training sequences."""
+    """The pieces of what is left and their places in training sequences: null and empty texts are one end token, only documents
+    longer than a sequence are cut, repeated rows are packed one by one, equal pieces are interchangeable. Other columns are
+    left out; an empty table gives no rows."""
     return pack(docs, TOKENIZER)
 
 
