@@ -22,14 +22,22 @@ def scratch(s: Source) -> str:
 
 
 # ---- sources --------------------------------------------------------------------------------------
-@query("policy_file_scan", "SELECT count(*) AS \"rows\", CAST(min(0) AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS ids FROM policy")
+@query("policy_file_scan", """SELECT 'P' || CAST(row_id AS STRING) AS policy, row_number() OVER (ORDER BY row_id) - 1 AS id, row_number() OVER (ORDER BY row_id) - 1 AS id_by_small_blocks FROM policy""")
 def policy_file_scan(s: Source) -> DataFrame:
-    """Policies written as CSV and read back: ids run from 0 to n-1 without a gap."""
+    """Policies written in order as several CSV files and read back twice, in whole files and in blocks of 64 kB: every row has the
+    number of its line both times."""
     path = scratch(s)
-    s.policy.select(F.col("insurer_raw").alias(" Policy: insurance company "), F.col("cc").alias("Policy: cc cubic capacity")).write.csv(path, header=True)
-    rows = P.read_policy_file(s.spark, path)
-    ids = F.col(P.ROW_ID)
-    return rows.where(F.col("`Policy: insurance company`").isNotNull()).agg(F.count("*").alias("rows"), F.min(ids).alias("low"), F.max(ids).alias("high"), F.count_distinct(ids).alias("ids"))
+    s.policy.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").select(F.concat(F.lit("P"), F.col("row_id").cast("string")).alias(" Policy: insurance company "), F.col("cc").alias("Policy: cc cubic capacity")).write.csv(path, header=True)
+    key, ids = F.col("`Policy: insurance company`").alias("policy"), F.col(P.ROW_ID)
+    whole = P.read_policy_file(s.spark, path).select(key, ids.alias("id"))
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = s.spark.conf.get(limit)
+    s.spark.conf.set(limit, "64k")
+    try:
+        cut = P.read_policy_file(s.spark, path).select(key, ids.alias("id_by_small_blocks"))
+    finally:
+        s.spark.conf.set(limit, before)
+    return whole.join(cut, "policy")
 
 
 @query("tolerant_column_lookup", "SELECT row_id, insurer_raw AS insurer, CAST(NULL AS STRING) AS rto FROM policy")
@@ -381,12 +389,20 @@ def wide_payout_records(s: Source) -> DataFrame:
     return wide.select("table_id", *[F.col(c).alias(y) for c, y in zip(K.RENEWAL_SLOTS, ("yr2", "yr3", "yr4", "yr5", "yr6"))])
 
 
-@query("context_fill_down", """WITH c AS (SELECT p_brand AS sheet, p_partkey % 4 AS block, p_partkey AS line, CASE WHEN p_size % 3 = 0 THEN p_name END AS product, CASE WHEN p_size % 5 = 0 THEN p_type END AS category FROM {part})
-SELECT sheet, block, line, last_value(product IGNORE NULLS) OVER w AS product_name, last_value(category IGNORE NULLS) OVER w AS category_name FROM c WINDOW w AS (PARTITION BY sheet, block ORDER BY line)""")
+@query("context_fill_down", """WITH own AS (SELECT p_brand AS sheet, p_partkey % 4 AS block, p_partkey AS line, CASE WHEN p_size % 3 = 0 THEN p_name END AS product, CASE WHEN p_size % 5 = 0 THEN p_type END AS category,
+  CASE WHEN p_size % 4 = 0 THEN p_type END AS variant, CASE WHEN p_size % 7 = 0 THEN p_brand END AS pt FROM {part}),
+c AS (SELECT * FROM own UNION ALL SELECT 'all', 0, line, product, category, variant, pt FROM own),
+named AS (SELECT *, last_value(product IGNORE NULLS) OVER w AS product_name, last_value(category IGNORE NULLS) OVER w AS category_name,
+  last_value(product IGNORE NULLS) OVER (PARTITION BY sheet, block ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c WINDOW w AS (PARTITION BY sheet, block ORDER BY line)),
+runs AS (SELECT *, count_if(product IS NOT NULL AND (prior IS NULL OR product <> prior)) OVER (PARTITION BY sheet, block ORDER BY line) AS run FROM named)
+SELECT sheet, block, line, product_name, category_name, last_value(variant IGNORE NULLS) OVER r AS variant_name, last_value(pt IGNORE NULLS) OVER r AS pt_value FROM runs
+WINDOW r AS (PARTITION BY sheet, block, run ORDER BY line)""")
 def context_fill_down(s: Source) -> DataFrame:
-    cells = s.part.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") % 4).alias("block"), F.col("p_partkey").alias("line"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).alias("product"),
-                          F.when(F.col("p_size") % 5 == 0, F.col("p_type")).alias("category"), F.lit(None).cast("string").alias("variant"), F.lit(None).cast("string").alias("pt"))
-    return L.fill_down(cells).select("sheet", "block", "line", "product_name", "category_name")
+    """Blocks of a few lines, and one block of all lines."""
+    filled = {"product": (3, "p_name"), "category": (5, "p_type"), "variant": (4, "p_type"), "pt": (7, "p_brand")}
+    cells = s.part.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") % 4).alias("block"), F.col("p_partkey").alias("line"), *[F.when(F.col("p_size") % n == 0, F.col(c)).alias(out) for out, (n, c) in filled.items()])
+    whole = cells.withColumns({"sheet": F.lit("all"), "block": F.lit(0).cast(cells.schema["block"].dataType)})
+    return L.fill_down(cells.unionByName(whole))
 
 
 # ---- logs -----------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratecraft import constants as K
 from ratecraft.functions import life as L, text as T
+from ratecraft.session import stage
 
 SLOT_LABELS = ["Yr 2", "Yr 3", "Yr 4", "Yr 5", "Yr 6+"]
 
@@ -89,21 +90,44 @@ def fill_down(cells: DataFrame) -> DataFrame:
 
     ``cells`` has ``sheet``, ``block``, ``line`` and the four columns. Category carries through a block; variant and PT
     start afresh where a different product begins.
+
+    A segmented scan: rows are cut into ranges of lines, filled inside their range, and each range of a block takes over what the
+    ranges before it left, so a block of any length is no single task.
     """
-    block = Window.partitionBy("sheet", "block").orderBy("line")
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    before = block.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last("product", ignorenulls=True)
-    current = cells.withColumn("_prior", seen.over(before)).withColumn("product_name", seen.over(upto))
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["sheet", "block", "line"]
+    rows = cells.select(*order, "product", "variant", "pt", "category").repartitionByRange(n, *order)
+    rows = stage(rows.withColumn("_part", F.spark_partition_id()))
+    keys = ["sheet", "block", "_part"]
+    own = Window.partitionBy(*keys).orderBy("line")
+    upto, before = (own.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+
+    def last_filled(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line")))
+
+    def carried(df: DataFrame, left: DataFrame, columns: list[str]) -> DataFrame:
+        """Adds ``_<c>_in``: the last value of ``left``, one row a range, from the ranges before."""
+        taken = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.last(c, ignorenulls=True).over(
+            Window.partitionBy("sheet", "block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{c}_in") for c in columns])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        return df.join(taken, same).drop(*[f"_k_{k}" for k in keys])
+
+    ends = rows.groupBy(*keys).agg(*[last_filled(c).alias(c) for c in ("product", "category")])
+    current = carried(rows, ends, ["product", "category"])
+    filled = lambda c, over: F.coalesce(F.last(c, ignorenulls=True).over(over), F.col(f"_{c}_in"))
+    current = current.withColumn("_prior", filled("product", before)).withColumn("product_name", filled("product", upto)).withColumn("category_name", filled("category", upto))
     starts = F.col("product").isNotNull() & (F.col("_prior").isNull() | (F.col("product") != F.col("_prior")))
     current = current.withColumn("_run", F.sum(starts.cast("int")).over(upto))
-    run = Window.partitionBy("sheet", "block", "_run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        current.withColumn("category_name", F.last("category", ignorenulls=True).over(upto))
-        .withColumn("variant_name", F.last("variant", ignorenulls=True).over(run))
-        .withColumn("pt_value", F.last("pt", ignorenulls=True).over(run))
-        .select("sheet", "block", "line", "product_name", "category_name", "variant_name", "pt_value")
-    )
+    # what a range leaves: the value of its last run, blank where a product began there without one; nothing if it saw neither
+    place = F.struct("_run", "line")
+    left = current.groupBy(*keys).agg(F.max("_run").alias("_runs"), *[F.max_by(F.struct(F.col(c).alias("value"), "_run"), F.when(F.col(c).isNotNull(), place)).alias(c) for c in ("variant", "pt")])
+    value = lambda c: F.when(F.col(f"{c}._run") == F.col("_runs"), F.col(f"{c}.value"))
+    left = left.select(*keys, *[F.when((F.col("_runs") > 0) | value(c).isNotNull(), F.struct(value(c).alias("value"))).alias(c) for c in ("variant", "pt")])
+    current = carried(current, left, ["variant", "pt"])
+    run = Window.partitionBy(*keys, "_run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lambda c: F.last(c, ignorenulls=True).over(run)
+    names = [F.coalesce(inside(c), F.when(F.col("_run") == 0, F.col(f"_{c}_in.value"))).alias(out) for c, out in (("variant", "variant_name"), ("pt", "pt_value"))]
+    return current.select(*order, "product_name", "category_name", *names)
 
 
 def slot_columns(columns: DataFrame) -> DataFrame:

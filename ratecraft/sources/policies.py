@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ratecraft import constants as K
 from ratecraft.functions import dates as D, numbers as N, text as T
 from ratecraft.operators import resolve as R
+from ratecraft.session import stage
 
 ROW_ID = "Original_Row_ID"
 
@@ -21,25 +22,25 @@ def find_column(df: DataFrame, wanted: str, ignore_case: bool = False) -> Column
 
 
 def number_rows(df: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Contiguous ids 0..n-1 in file order.
+    """Contiguous ids 0..n-1 in file order, for rows read straight from files.
 
-    Each partition counts its own rows; the running total over partitions, one row each, gives every partition its
-    offset. The data itself is never sorted nor pulled into one task.
+    A row's address is its file, the start of the block it was read from, and its place there; blocks are counted and each adds
+    what comes before it by path and start. Ids don't depend on how the scan was split, and the file is read once: rows are
+    staged with their address. Nothing is sorted but the blocks, one row each.
     """
-    part_bits = 33
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_at", part_bits))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    row = F.col("_offset") + (F.col("_at") - F.shiftleft("_part", part_bits))
-    return placed.join(offsets, "_part").withColumn(name, row).drop("_at", "_part", "_offset")
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    placed = stage(df.select("*", *block, F.monotonically_increasing_id().alias("_at")))
+    sizes = placed.groupBy("_file", "_start").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_offset"))
+    row = F.col("_offset") + F.col("_at") - F.col("_first")
+    return placed.join(offsets, ["_file", "_start"]).withColumn(name, row).drop("_file", "_start", "_at", "_first", "_offset")
 
 
 def read_policy_file(spark: SparkSession, path: str) -> DataFrame:
     """A CSV policy file, every cell as text, headers trimmed, rows numbered."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
-    return number_rows(raw.toDF(*[c.strip() for c in raw.columns]))
+    raw = number_rows(spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"'))
+    return raw.toDF(*[c.strip() for c in raw.columns])
 
 
 def policy_columns(df: DataFrame, key: str = ROW_ID, carry: tuple[str, ...] = ()) -> DataFrame:
