@@ -312,6 +312,11 @@ def extraction_audit(s: Source) -> DataFrame:
     return Q.extraction_audit(rows, raw.unionByName(empty))
 
 
+@query("extraction_acceptance", f"SELECT CAST(count(*) AS BIGINT) AS \"rows\", count(*) >= {K.LIFE_MINIMUM_ROWS} AS accepted FROM life")
+def extraction_acceptance(s: Source) -> DataFrame:
+    return Q.enough_rows(extraction_audit(s))
+
+
 # ---- duplicates and regrouping --------------------------------------------------------------------
 _CONTENT = ", ".join(K.CONTENT_FIELDS)
 
@@ -539,9 +544,9 @@ def most_recent_rows(s: Source) -> DataFrame:
 
 
 # ---- set operations -------------------------------------------------------------------------------
-@query("set_union_of_results", "SELECT id, 'motor' AS kind FROM rate_card UNION ALL SELECT id, 'health' AS kind FROM health_card")
+@query("set_union_of_results", "SELECT id, add_tnc, 'motor' AS kind FROM rate_card UNION ALL SELECT id, NULL, 'health' AS kind FROM health_card")
 def set_union_of_results(s: Source) -> DataFrame:
-    return s.rate_card.select("id", F.lit("motor").alias("kind")).unionByName(s.health_card.select("id", F.lit("health").alias("kind")))
+    return A.labelled_union({"motor": s.rate_card, "health": s.health_card}, ["id", "add_tnc"])
 
 
 @query("zone_sync", "SELECT DISTINCT pincode_zone AS name FROM health_card WHERE coalesce(is_deleted, 'NO') <> 'YES' AND pincode_zone NOT IN (SELECT name FROM pin_items WHERE name <> 'pz_4')")

@@ -191,6 +191,29 @@ def health_upsert(s: Source) -> DataFrame:
     return M.upsert_health(unique, changed).select("id", "one_year_rate", "status")
 
 
+def health_upload(s: Source) -> DataFrame:
+    """The health card as an uploaded sheet: text cells, some of them no good."""
+    text = [F.when(F.col("id") % 50 == 0, F.lit("  ")).otherwise(F.col(c)).alias(c) if c == "insurance_company" else F.concat(F.lit(" "), F.col(c)).alias(c) for c in M.HEALTH_TEXT]
+    numbers = [F.when(F.col("id") % 9 == 0, F.lit("--")).otherwise(F.format_number(c, 0)).alias(c) for c in M.HEALTH_NUMBERS]
+    status = F.when(F.col("id") % 40 == 0, F.lit("PAUSED")).otherwise(F.lower("status"))
+    deleted = F.when(F.col("id") % 60 == 0, F.lit("MAYBE")).otherwise(F.col("is_deleted"))
+    return s.health_card.select(
+        F.col("id").alias("line"), *text, *numbers, *[F.concat(F.col(c).cast("string"), F.lit("%")).alias(c) for c in M.HEALTH_PERCENTS],
+        *[F.date_format(c, "dd/MM/yyyy").alias(c) for c in ("from_date", "to_date")], status.alias("status"), deleted.alias("is_deleted"), "remarks")
+
+
+@query("health_upload_typed", """SELECT id AS line, CASE WHEN id % 50 <> 0 THEN insurance_company END AS insurance_company, nullif(product_name, '') AS product_name, CASE WHEN id % 9 = 0 THEN 0.0 ELSE min_sum_insured END AS min_sum_insured,
+  payin_rate, multi_year_3_rate, from_date, to_date, CASE WHEN id % 40 = 0 THEN 'PAUSED' ELSE status END AS status, CASE WHEN id % 60 = 0 THEN 'MAYBE' ELSE is_deleted END AS is_deleted FROM health_card""")
+def health_upload_typed(s: Source) -> DataFrame:
+    return M.typed_health_upload(health_upload(s)).select("line", "insurance_company", "product_name", "min_sum_insured", "payin_rate", "multi_year_3_rate", "from_date", "to_date", "status", "is_deleted")
+
+
+@query("health_upload_rejected", """SELECT line, problem FROM (SELECT id AS line, CASE WHEN id % 50 = 0 THEN 'insurance_company is blank' WHEN id % 40 = 0 THEN '''PAUSED'' is not a valid Status (ACTIVE or INACTIVE).'
+  WHEN id % 60 = 0 THEN '''MAYBE'' is not a valid Is Deleted value (YES or NO).' END AS problem FROM health_card) x WHERE problem IS NOT NULL""")
+def health_upload_rejected(s: Source) -> DataFrame:
+    return M.invalid_health_rows(M.typed_health_upload(health_upload(s)))
+
+
 # ---- retention ------------------------------------------------------------------------------------
 @query("log_retention", "SELECT id FROM audit WHERE action = 'LOGIN' OR ts >= TIMESTAMP '2024-01-13 00:00:00'")
 def log_retention(s: Source) -> DataFrame:
@@ -354,7 +377,7 @@ def renewal_summary_text(s: Source) -> DataFrame:
     return life_rows(s).select(F.col("Row_ID").alias("row_id"), L.renewal_summary().alias("summary"))
 
 
-@query("populated_renewal_years", "SELECT 'Renewal_Yr2' AS slot, true AS visible UNION ALL SELECT 'Renewal_Yr3', true UNION ALL SELECT 'Renewal_Yr4', false UNION ALL SELECT 'Renewal_Yr5', true UNION ALL SELECT 'Renewal_Yr6_Plus', true")
+@query("populated_renewal_years", " UNION ALL ".join(f"SELECT '{slot}' AS slot, count(renewal_{k}) > 0 AS visible FROM life" for k, slot in enumerate(K.RENEWAL_SLOTS, 2)))
 def populated_renewal_years(s: Source) -> DataFrame:
     return L.visible_slots(life_rows(s))
 

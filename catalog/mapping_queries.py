@@ -482,31 +482,38 @@ def mapped_to_lookup(s: Source) -> DataFrame:
 
 @query("configured_rule_join", """
 WITH p AS (SELECT row_id, insurer_no, lower(trim(coalesce(vehproduct, ''))) AS product, TRY_CAST(regexp_replace(cc, '[^0-9.]', '', 'g') AS DOUBLE) AS cc_value,
-  CASE WHEN inception <> '' THEN inception_date END AS day, CAST(seating AS DOUBLE) AS seats FROM mis WHERE insurer IS NOT NULL AND insurer_no < 10),
+  CASE WHEN inception <> '' THEN inception_date END AS day, CAST(seating AS DOUBLE) AS seats, clean_model, lower(trim(coalesce(sub_product, ''))) AS sub, CAST(custkey % 12 AS DOUBLE) AS years FROM mis WHERE insurer IS NOT NULL AND insurer_no < 10),
 r AS (SELECT *, g % 10 AS no FROM rate_card WHERE status = 'ACTIVE' AND is_deleted = 'NO'),
-t AS (SELECT row_id, max(8 * CAST(r.product = '' OR lower(r.product) = p.product AS INTEGER)
-  + 4 * CAST(CASE WHEN cc_value IS NULL THEN cc_min IS NULL AND cc_max IS NULL ELSE coalesce(cc_min <= cc_value, true) AND coalesce(cc_max >= cc_value, true) END AS INTEGER)
-  + 2 * CAST(CASE WHEN day IS NULL THEN from_date IS NULL AND to_date IS NULL ELSE coalesce(from_date <= day, true) AND coalesce(to_date >= day, true) END AS INTEGER)
+t AS (SELECT row_id, max(64 * CAST(r.product = '' OR lower(r.product) = p.product AS INTEGER)
+  + 32 * CAST(CASE WHEN cc_value IS NULL THEN cc_min IS NULL AND cc_max IS NULL ELSE coalesce(cc_min <= cc_value, true) AND coalesce(cc_max >= cc_value, true) END AS INTEGER)
+  + 16 * CAST(len(list_intersect(string_split(upper(clean_model), ' '), string_split(upper(model_name), ' '))) >= 2 AS INTEGER)
+  + 8 * CAST(CASE WHEN day IS NULL THEN from_date IS NULL AND to_date IS NULL ELSE coalesce(from_date <= day, true) AND coalesce(to_date >= day, true) END AS INTEGER)
+  + 4 * CAST(r.sub_product = '' OR (p.sub <> '' AND (contains(lower(r.sub_product), p.sub) OR contains(p.sub, lower(r.sub_product)))) AS INTEGER)
+  + 2 * CAST(coalesce(vehicle_age_min < years, true) AND coalesce(vehicle_age_max >= years, true) AS INTEGER)
   + CAST(coalesce(sc_min <= seats, true) AND coalesce(sc_max >= seats, true) AS INTEGER)) AS mask FROM p JOIN r ON r.no = p.insurer_no GROUP BY 1)
-SELECT row_id, CAST(mask AS BIGINT) AS mask, CAST(4 - bit_count(mask) AS INTEGER) AS failed FROM t""")
+SELECT row_id, CAST(mask AS BIGINT) AS mask, CAST(7 - bit_count(mask) AS INTEGER) AS failed FROM t""")
 def configured_rule_join(s: Source) -> DataFrame:
+    """A table of rules with every operator, one of them switched off."""
     specs = [
         {"source": "vehproduct", "operator": "EXACT", "target": "product", "order": 1, "active": True},
         {"source": "fuel", "operator": "EXACT", "target": "fuel_type", "order": 2, "active": False},
         {"source": "cc_value", "operator": "RANGE_CC", "target": "cc", "order": 3, "active": True},
-        {"source": "day", "operator": "RANGE_DATE", "target": "validity", "order": 4, "active": True},
-        {"source": "seats", "operator": "RANGE_SC", "target": "sc", "order": 5, "active": True},
+        {"source": "clean_model", "operator": "WORD_MATCH", "target": "model_name", "order": 4, "active": True},
+        {"source": "day", "operator": "RANGE_DATE", "target": "validity", "order": 5, "active": True},
+        {"source": "sub_product", "operator": "CONTAINS", "target": "sub_product", "order": 6, "active": True},
+        {"source": "years", "operator": "RANGE_AGE", "target": "vehicle_age", "order": 7, "active": True},
+        {"source": "seats", "operator": "RANGE_SC", "target": "sc", "order": 8, "active": True},
     ]
     from ratecraft.functions import dates as D, numbers as N
 
     policies = s.mis.where("insurer IS NOT NULL AND insurer_no < 10").select(
-        "row_id", F.col("insurer_no").alias("insurer"), "vehproduct", N.digits_number("cc").alias("cc_value"), D.policy_date("inception").alias("day"),
-        N.digits_number("seating").alias("seats"))
-    rates = S.active_rates(s.rate_card)
+        "row_id", F.col("insurer_no").alias("insurer"), "vehproduct", "clean_model", "sub_product", N.digits_number("cc").alias("cc_value"), D.policy_date("inception").alias("day"),
+        (F.col("custkey") % 12).cast("double").alias("years"), N.digits_number("seating").alias("seats"))
+    live = s.rate_card.where("status = 'ACTIVE' AND is_deleted = 'NO'")
     number = F.substring("insurance_company", 10, 2).cast("bigint")
-    rates = rates.select(number.alias("r_insurer"), *[F.col(c).alias(f"r_{c}") for c in ("product", "cc_min", "cc_max", "from_date", "to_date", "sc_min", "sc_max")])
-    joined = J.configured_join(policies, rates, J.configured_rules(specs), "insurer", "row_id", lead=1, lead_policy=["vehproduct"], lead_rate=["r_product"],
-                               tail_policy=["cc_value", "day", "seats"], tail_rate=["r_cc_min", "r_cc_max", "r_from_date", "r_to_date", "r_sc_min", "r_sc_max"])
+    targets = ["cc_min", "cc_max", "model_name", "from_date", "to_date", "sub_product", "vehicle_age_min", "vehicle_age_max", "sc_min", "sc_max"]
+    rates = live.select(number.alias("r_insurer"), *[F.col(c).alias(f"r_{c}") for c in ("product", *targets)])
+    joined = J.configured_join(policies, rates, J.configured_rules(specs), "insurer", "row_id").where("mask IS NOT NULL")
     return joined.select("row_id", "mask", F.size("failed").alias("failed"))
 
 

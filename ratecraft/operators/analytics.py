@@ -159,15 +159,21 @@ def facet_counts(rows: DataFrame, facets: dict[str, list[str]]) -> DataFrame:
 
 
 def cascading_values(rows: DataFrame, chain: list[str], picks: dict[str, str]) -> DataFrame:
-    """(facet, value): the values each facet of a chain still offers, given the picks made before it."""
-    frames = []
-    for i, facet in enumerate(chain):
-        scoped = rows
-        for earlier in chain[:i]:
-            if picks.get(earlier):
-                scoped = scoped.where(F.col(earlier) == picks[earlier])
-        frames.append(scoped.where(F.coalesce(F.col(facet), F.lit("")) != "").select(F.lit(facet).alias("facet"), F.col(facet).alias("value")).distinct())
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """(facet, value): the values each facet of a chain still offers, given the picks made before it. One scan and one aggregate:
+    a row gives an entry for every facet whose earlier picks it meets."""
+    entries, met = [], F.lit(True)
+    for facet in chain:
+        offered = met & (F.coalesce(F.col(facet), F.lit("")) != "")
+        entries.append(F.when(offered, F.struct(F.lit(facet).alias("facet"), F.col(facet).alias("value"))))
+        if picks.get(facet):
+            met = met & F.coalesce(F.col(facet) == picks[facet], F.lit(False))
+    return rows.select(F.inline(F.array_compact(F.array(*entries)))).distinct()
+
+
+def labelled_union(frames: dict[str, DataFrame], columns: list[str], label: str = "kind") -> DataFrame:
+    """Rows of several results under one another, each with the name of its result; a column that a result lacks is NULL."""
+    parts = [df.select(*[c for c in columns if c in df.columns], F.lit(name).alias(label)) for name, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:

@@ -6,9 +6,10 @@ zero bits of that vector. As an integer mask that is ``max(mask)`` per policy: o
 map-side, with no iteration over rules.
 
 The motor and health chains are answered from a bitmap index of the card (``operators.bitmap``): no policy meets a rate row.
-Rules of a configuration may be any test, and are joined: the chain is split into *lead* rules (equality on a few
-low-cardinality fields) and *tail* rules. The lead part of the mask depends only on the distinct lead values, so it is worked
-out on those, and only the candidates that survive it meet the policies: the greatest vector has the greatest prefix.
+So are rules of a configuration. For tests of any other kind there is ``best_masks``, a join: the chain is split into *lead*
+rules (equality on a few low-cardinality fields) and *tail* rules. The lead part of the mask depends only on the distinct lead
+values, so it is worked out on those, and only the candidates that survive it meet the policies: the greatest vector has the
+greatest prefix.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ratecraft import constants as K
 from ratecraft.functions import numbers as N, reasons, text as T
 from ratecraft.functions.rates import consolidated_rate, effective_rate, payout_signature
 from ratecraft.operators.bitmap import Range, Tokens, days, list_or_empty, names_or_blank, narrowed, one_of
+from ratecraft.operators.resolve import word_pairs
 
 
 @dataclass(frozen=True)
@@ -331,19 +333,17 @@ def configured_rules(specs: list[dict]) -> list[Rule]:
     for spec in sorted((s for s in specs if s["active"]), key=lambda s: s["order"]):
         p, target, op = F.col(spec["source"]), spec["target"], spec["operator"]
         if op == "EXACT":
-            r = T.norm_text(f"r_{target}")
-            test = (r == "") | (r == T.norm_text(p))
+            test = exact_or_wildcard(T.norm_text(f"r_{target}"), T.norm_text(p))
         elif op == "WORD_MATCH":
+            # two shared words are a shared pair of words
             items = F.split(F.coalesce(F.col(f"r_{target}"), F.lit("")), ",")
-            own = T.model_words(p)
-            test = F.exists(items, lambda i: F.size(F.array_intersect(T.model_words(i), own)) >= K.MODEL_SHARED_WORDS)
+            test = Tokens(word_pairs(T.model_words(p)), F.array_distinct(F.flatten(F.transform(items, lambda i: word_pairs(T.model_words(i))))))
         elif op == "CONTAINS":
-            r = T.norm_text(f"r_{target}")
-            test = (r == "") | ((T.norm_text(p) != "") & (F.contains(r, T.norm_text(p)) | F.contains(T.norm_text(p), r)))
+            test = _contained(T.norm_text(f"r_{target}"), T.norm_text(p))
         elif op == "RANGE_DATE":
-            test = N.in_range(p, F.col("r_from_date"), F.col("r_to_date"))
+            test = Range(days(p), days(F.col("r_from_date")), days(F.col("r_to_date")))
         elif op in ("RANGE_CC", "RANGE_SC", "RANGE_AGE"):
-            test = N.in_range(p, F.col(f"r_{target}_min"), F.col(f"r_{target}_max"), low_open=op == "RANGE_AGE")
+            test = Range(p, F.col(f"r_{target}_min"), F.col(f"r_{target}_max"), op == "RANGE_AGE")
         else:
             raise ValueError(f"unknown operator {op!r}")
         shown = F.concat(F.lit("value '"), F.coalesce(p.cast("string"), F.lit("(blank)")), F.lit(f"' fails {op} on {target}"))
@@ -351,13 +351,19 @@ def configured_rules(specs: list[dict]) -> list[Rule]:
     return rules
 
 
-def configured_join(policies: DataFrame, rates: DataFrame, rules: list[Rule], block: str, key: str,
-                    lead: int = 0, lead_policy: list[str] | None = None, lead_rate: list[str] | None = None,
-                    tail_policy: list[str] | None = None, tail_rate: list[str] | None = None) -> DataFrame:
-    """(key, mask, failed): keep-on-fail evaluation of a configured chain. ``rates`` carries ``r_`` names."""
-    chain = RuleChain(
-        lead=rules[:lead], tail=rules[lead:], lead_policy=lead_policy or [], lead_rate=lead_rate or [],
-        tail_policy=tail_policy or [], tail_rate=tail_rate or [], block=block, key=key,
-    )
-    masks = best_masks(policies, rates, chain)
+def _contained(rate: Column, policy: Column) -> Tokens:
+    """Blank rate matches anything; otherwise one text holds the other: each offers all pieces of itself."""
+    def pieces(c: Column, mark: str) -> Column:
+        starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.concat(F.lit(mark), F.substr(c, i, n))))
+        return F.array_distinct(F.flatten(cut))
+
+    asked = F.concat(F.array(F.lit("any")), F.when(policy != "", F.array(F.concat(F.lit("in:"), policy))).otherwise(F.array().cast("array<string>")), pieces(policy, "of:"))
+    offered = F.when(rate == "", F.array(F.lit("any"))).otherwise(F.concat(pieces(rate, "in:"), F.array(F.concat(F.lit("of:"), rate))))
+    return Tokens(asked, offered)
+
+
+def configured_join(policies: DataFrame, rates: DataFrame, rules: list[Rule], block: str, key: str) -> DataFrame:
+    """(key, mask, failed): keep-on-fail evaluation of a configured chain, from a bitmap index. ``rates`` carries ``r_`` names."""
+    masks = indexed_masks(policies, rates, RuleChain(lead=[], tail=rules, block=block, key=key))
     return policies.join(masks, key, "left").withColumn("failed", F.array_compact(failed_segments(rules, F.col("mask"))))
