@@ -24,6 +24,7 @@ from ratecraft.session import stage
 RADIUS = 3
 SEED = 42
 SPAN = 32_768  # shingles hashed at a time
+EMIT_ROWS = 16_384
 BUCKET_VARIANTS = 2_000_000
 _ONE = np.uint64(1)
 
@@ -151,7 +152,9 @@ def links(distinct: DataFrame) -> DataFrame:
     n = distinct.count()
     per = (len(MASKS) + SINGLES) // 2
     buckets = 1 << (n * per // BUCKET_VARIANTS).bit_length()
-    sent = map_rows(distinct.select("fp"), _emit(buckets), "bucket int, fps binary, codes binary", rows=4096)
+    # dealt by count, since a small table of fingerprints becomes a large one of variants
+    dealt = distinct.select("fp").repartition(max(1, -(-n // EMIT_ROWS)), "fp")
+    sent = map_rows(dealt, _emit(buckets), "bucket int, fps binary, codes binary", rows=4096)
     return sent.groupBy("bucket").applyInPandas(_collide, "u long, v long")
 
 
