@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratecraft import constants as K
 from ratecraft.functions import similarity as S
 from ratecraft.operators import overlap as O, resolve as R, rulejoin as J
-from ratecraft.operators.skew import first_per_group, grid_join
+from ratecraft.operators.skew import first_per_group, grid_join, hot_keys
 
 
 def test_masks_equal_greedy_narrowing(spark):
@@ -90,6 +90,16 @@ def test_grid_join_is_the_plain_join(spark):
     assert got == sorted((i, j) for i, k in rows for j, m in rows if k == m and i < j)
 
 
+def test_grid_join_cuts_the_side_that_is_hot(spark):
+    few, many = [(1, "hot"), (2, "k3")], [(i, "hot" if i % 3 else f"k{i}") for i in range(300)]
+    for left, right in ((few, many), (many, few)):
+        a, b = spark.createDataFrame(left, "x long, k string"), spark.createDataFrame(right, "y long, k string")
+        got = sorted((r["x"], r["y"]) for r in grid_join(a, b, ["k"], ("x", "y"), F.lit(True), side=16).collect())
+        assert got == sorted((i, j) for i, k in left for j, m in right if k == m)
+        slices = [tuple(r)[1:] for r in hot_keys(a, b, ["k"], 16).collect()]
+        assert slices == [(None, 13) if right is many else (13, None)]
+
+
 def test_first_per_group(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     got = sorted(tuple(r) for r in first_per_group(rows, ["g"], [F.desc("id")], 4).collect())
