@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.card_queries import life_rows
-from catalog.mapping_queries import make_master, motor_results, pin_master, rto_master
+from catalog.mapping_queries import make_master, motor_results, rto_master
 from catalog.registry import ORACLES, Source, query
 from ratecraft import constants as K
-from ratecraft.functions import documents as J, life as LF
+from ratecraft.functions import documents as J
 from ratecraft.operators import documents as DOC, gaps as G, life as L, logs as LOG, maintain as M
 from ratecraft.session import shared_folder, stage
 from ratecraft.sources import life as LS, policies as P, registry as REG
@@ -58,6 +58,28 @@ def mapped_file_columns(s: Source) -> DataFrame:
     return out.select(F.col(P.ROW_ID).alias("original_row_id"), F.col("Insurer").alias("insurer"), F.col("Mapping Status").alias("mapping_status"))
 
 
+_FILES = """WITH f AS (SELECT s_suppkey % 20 AS bucket, string_agg('S' || CAST(s_suppkey AS STRING) || chr(10), '' ORDER BY s_suppkey) AS content FROM {supplier} GROUP BY 1)"""
+
+
+def written_files(s: Source) -> str:
+    """Suppliers written as text, one file for each of twenty buckets."""
+    path = scratch(s)
+    lines = s.supplier.select((F.col("s_suppkey") % 20).alias("bucket"), "s_suppkey", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("line"))
+    lines.repartition("bucket").sortWithinPartitions("bucket", "s_suppkey").select("bucket", "line").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("file_hash_scan", _FILES + "SELECT CAST(strlen(content) AS BIGINT) AS file_size, sha256(content) AS file_hash FROM f")
+def file_hash_scan(s: Source) -> DataFrame:
+    return REG.file_hashes(s.spark, written_files(s)).select("file_size", "file_hash")
+
+
+@query("stored_file_scan", _FILES + "SELECT CAST(bucket AS BIGINT) AS bucket, CAST(strlen(content) AS BIGINT) AS file_size FROM f")
+def stored_file_scan(s: Source) -> DataFrame:
+    files = REG.stored_files(s.spark, written_files(s))
+    return files.select(F.regexp_extract("file_key", "bucket=([0-9]+)", 1).cast("bigint").alias("bucket"), "file_size")
+
+
 @query("file_hash_registry", """WITH last AS (SELECT target_table, file_hash, max_by(status, (created_at, id)) AS prior_status FROM attempts WHERE id % 2 = 0 GROUP BY 1, 2)
 SELECT DISTINCT a.target_table, a.file_hash, prior_status FROM attempts a LEFT JOIN last USING (target_table, file_hash)""")
 def file_hash_registry(s: Source) -> DataFrame:
@@ -512,6 +534,3 @@ def stream_failure_counts(s: Source) -> DataFrame:
     # a batch writes only the counts it changed; the last one of a window holds
     rows = s.spark.read.parquet(out).groupBy("day", "status_key").agg(F.max_by("n", "batch").alias("n"))
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status_key", "n")
-
-
-__all__ = ["LF", "pin_master"]
