@@ -14,7 +14,7 @@ from ratecraft.functions import documents as J
 from ratecraft.operators import documents as DOC, gaps as G, life as L, logs as LOG, maintain as M
 from ratecraft.session import shared_folder, stage
 from ratecraft.sources import life as LS, policies as P, registry as REG
-from ratecraft.streaming import jobs as ST
+from ratecraft.streaming import ingest as ST_INGEST, jobs as ST
 
 
 def scratch(s: Source) -> str:
@@ -513,12 +513,46 @@ def stream_motor_mapping(s: Source) -> DataFrame:
 ORACLES["stream_motor_mapping"] = ORACLES["motor_mapping"]
 
 
-@query("stream_rate_ingest", _INGEST + """SELECT new_rto_list, count(*) AS n FROM (SELECT DISTINCT insurance_company, new_rto_list, new_vehicle_makes, nullif(product, ''), nullif(fuel_type, ''), is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max FROM typed) d GROUP BY 1""")
+_ARRIVED = _INGEST + """, dealt AS (SELECT *, CAST(substring(insurance_company, 10, 2) AS INT) % 3 AS file FROM typed),
+rules AS (SELECT DISTINCT file, insurance_company, new_rto_list, new_vehicle_makes, nullif(product, '') AS product, nullif(fuel_type, '') AS fuel_type, is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max FROM dealt)"""
+
+
+def ingested(s: Source) -> tuple[str, DataFrame]:
+    """The folder of a job to which the card arrives as one file for each third of the insurers, once more with an unknown RTO in
+    it, and then all of it again as a replay; and the arrived files with their numbers."""
+    from ratecraft.plans.ingest import DIMENSIONS
+
+    arrived, folder = scratch(s), scratch(s)
+    file = F.substring("insurance_company", 11, 2).cast("int") % 3
+    rows = stage(upload(s).drop("line").withColumn("file", file))
+    masters = {d: stage(rows.select(F.lower(d).alias("_k"), F.col(d).alias("name")).where("name <> ''").groupBy("_k").agg(F.min("name").alias("name")).select(F.abs(F.xxhash64("_k")).alias("id"), "name")) for d in DIMENSIONS}
+    places = stage(rto_master(s)), stage(make_master(s))
+    bad = rows.where("file = 0").withColumns({"file": F.lit(9), "new_rto_list": F.concat("new_rto_list", F.lit(", nowhere"))})
+    kinds = ", ".join(f"{c} string" for c in rows.drop("file").columns) + ", file int"
+    for uploads in (rows.unionByName(bad), rows):
+        uploads.repartition("file").write.partitionBy("file").mode("append").parquet(arrived)
+        ST_INGEST.run_ingest(ST_INGEST.rate_uploads(s.spark, arrived, kinds, form="parquet"), folder, lambda: (masters, *places))
+    return folder, rows
+
+
+@query("stream_rate_ingest", _ARRIVED + """SELECT new_rto_list, count(*) AS n, count(DISTINCT (insurance_company, new_vehicle_makes, product, fuel_type, is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max)) AS groups FROM rules GROUP BY 1""")
 def stream_rate_ingest(s: Source) -> DataFrame:
-    table, checkpoint = scratch(s), scratch(s)
-    rows = upload(s).drop("line").withColumn("arrived_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    ST.ingest_stream(streamed(s, rows), table, checkpoint, available_now=True).awaitTermination()
-    return s.spark.read.parquet(table).groupBy("new_rto_list").agg(F.count("*").alias("n"))
+    """Rate rows after three uploads, one to reject and a replay of all: as many rows and groups as one upload gives."""
+    folder, rows = ingested(s)
+    kind = M.typed_upload(rows.limit(0)).schema.simpleString()
+    rates = ST_INGEST.ingested_rates(s.spark, folder, kind)
+    return rates.groupBy("new_rto_list").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups"))
+
+
+@query("stream_ingest_outcome", _ARRIVED + """, n AS (SELECT file, count(*) AS "rows" FROM rules GROUP BY 1)
+SELECT file, true AS success, "rows", CAST(NULL AS STRING) AS problem, false AS replay FROM n UNION ALL SELECT file, true, 0, NULL, true FROM n
+UNION ALL SELECT 9, false, 0, 'RTO ''nowhere'' does not exist in RTOMaster. Please add it first.', false WHERE EXISTS (SELECT 1 FROM n WHERE file = 0)""")
+def stream_ingest_outcome(s: Source) -> DataFrame:
+    """What became of each upload: the rows it brought, why it was rejected, nothing for a replay."""
+    folder, _ = ingested(s)
+    file = F.regexp_extract("upload_id", "file=([0-9]+)", 1).cast("int")
+    done = ST_INGEST.ingest_outcomes(s.spark, folder).withColumn("file", file)
+    return done.select("file", "success", "rows", "problem", (F.col("success") & (F.col("rows") == 0)).alias("replay"))
 
 
 @query("stream_failure_counts", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, action AS status_key, count(*) AS n FROM audit GROUP BY 1, 2")

@@ -45,6 +45,16 @@ def member_names(upload: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
     return found.select("field", "_key", F.when(is_new, F.col("cell")).otherwise(name).alias("name"), is_new.alias("is_new"))
 
 
+def named_rows(rows: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
+    """Upload rows with their dimension cells replaced by the names of :func:`member_names`."""
+    named = rows
+    for field in fields:
+        own = members.where(F.col("field") == field).select("_key", F.col("name").alias("_name"))
+        named = named.withColumn("_key", F.lower(T.strip(F.coalesce(field, F.lit(""))))).join(own, "_key", "left")
+        named = named.withColumn(field, F.col("_name")).drop("_key", "_name")
+    return named
+
+
 def problems(upload: DataFrame, rto_master: DataFrame, make_master: DataFrame) -> DataFrame:
     """(line, problem): RTO and make names no master has, and filled number cells that are no number."""
     rto = F.concat(F.lit("RTO '"), F.col("item"), F.lit("' does not exist in RTOMaster. Please add it first."))
@@ -67,11 +77,7 @@ def ingest_rates(upload: DataFrame, existing: DataFrame, groups: DataFrame, mast
     found = stage(problems(rows, rto_master, make_master))
     rejected: Column = found.agg((F.count("*") > 0).alias("rejected")).scalar()
     members = stage(member_names(rows, masters))
-    named = rows
-    for field in masters:
-        own = members.where(F.col("field") == field).select("_key", F.col("name").alias("_name"))
-        named = named.withColumn("_key", F.lower(T.strip(F.coalesce(field, F.lit(""))))).join(own, "_key", "left")
-        named = named.withColumn(field, F.col("_name")).drop("_key", "_name")
+    named = named_rows(rows, members, list(masters))
     fresh = M.new_rates(stage(M.typed_upload(named)), existing).where(~rejected)
     inserted = stage(M.assign_groups(fresh, groups))
     first = found.agg(F.min_by("problem", F.struct("line", "problem")).alias("problem"))

@@ -1,15 +1,12 @@
-"""Files that keep arriving: continuous mapping, idempotent rate ingest, rolling failure counts."""
+"""Files that keep arriving: continuous mapping and rolling failure counts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ratecraft.operators import maintain as M
-
 
 def policy_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """Policy files as they arrive in a folder; every cell text, as in the batch scan."""
@@ -34,39 +31,6 @@ def map_stream(policies: DataFrame, map_batch: Callable[[DataFrame], DataFrame],
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def ingest_stream(uploads: DataFrame, table: str, checkpoint: str, watermark: str = "1 day",
-                  available_now: bool = False) -> StreamingQuery:
-    """Rate upload rows into a parquet table, each (batch, hash, RTO list) once.
-
-    Duplicates inside the watermark are dropped by state; older replays fall to the anti-join against the table.
-    ``uploads`` has the all-text upload columns and ``arrived_at``.
-    """
-    spark = uploads.sparkSession
-    cells = [F.coalesce(F.col(c), F.lit("\x00")) for c in uploads.columns if c != "arrived_at"]
-    once = (
-        uploads.withWatermark("arrived_at", watermark)
-        .withColumn("_row", F.sha2(F.concat_ws("\x1f", *cells), 256))
-        .dropDuplicatesWithinWatermark(["_row"])
-    )
-
-    def table_before(number: int, shape: DataFrame) -> DataFrame:
-        """The table without this batch's own rows, so that a retried batch sees what the first try saw."""
-        try:
-            return spark.read.parquet(table).where(F.col("_batch") != number)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return shape.limit(0)
-
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = M.typed_upload(batch.withColumn("line", F.monotonically_increasing_id()))
-        kept = M.new_rates(fresh, table_before(number, fresh))
-        kept.write.mode("overwrite").parquet(f"{table}/_batch={number}")
-
-    writer = once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 def failure_counts(failed: DataFrame, watermark: str = "2 days", window: str = "1 day") -> DataFrame:
     """(day, status_key, n) of a stream of failed rows with ``uploaded_at``; also runs on a batch frame."""
     rows = failed.withWatermark("uploaded_at", watermark) if failed.isStreaming else failed
