@@ -13,7 +13,7 @@ from ratecraft import constants as K
 from ratecraft.functions import documents as J
 from ratecraft.operators import documents as DOC, gaps as G, life as L, logs as LOG, maintain as M
 from ratecraft.session import shared_folder, stage
-from ratecraft.sources import life as LS, policies as P, registry as REG
+from ratecraft.sources import life as LS, policies as P, registry as REG, stored as STORED
 from ratecraft.streaming import ingest as ST_INGEST, jobs as ST
 
 
@@ -236,6 +236,45 @@ def health_upload_rejected(s: Source) -> DataFrame:
     return M.invalid_health_rows(M.typed_health_upload(health_upload(s)))
 
 
+# ---- stored tables --------------------------------------------------------------------------------
+def kinds_of(frame: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
+
+
+_HEALTH_CHANGES = """WITH card AS (SELECT *, row_number() OVER (PARTITION BY insurance_company, product_name, policy_category, plan_names, business_type, min_deductible, max_deductible, min_sum_insured, max_sum_insured, min_age, max_age, pincode_zone, from_date, to_date ORDER BY id) AS p FROM health_card)"""
+
+
+@query("stored_health_upsert", _HEALTH_CHANGES + " SELECT id, CASE WHEN id % 3 = 0 THEN 99.5 ELSE one_year_rate END AS one_year_rate, CASE WHEN id % 6 = 0 THEN 'INACTIVE' ELSE status END AS status FROM card WHERE p = 1")
+def stored_health_upsert(s: Source) -> DataFrame:
+    """The health card as a stored table, an upload applied to it by identity, and the same upload again as a retry."""
+    card = s.health_card
+    unique = stage(M.first_in_file(card.withColumn("source_row_hash", M.health_hash(card)), "source_row_hash", "id"))
+    own = ["id", "source_row_hash", *M.HEALTH_TEXT, *M.HEALTH_NUMBERS, *M.HEALTH_PERCENTS, "from_date", "to_date", "status", "is_deleted", "remarks"]
+    rows = unique.select(*own)
+    fields = [F.lit(99.5).alias("one_year_rate") if c == "one_year_rate" else F.when(F.col("id") % 6 == 0, F.lit("INACTIVE")).alias("status") if c == "status"
+              else F.lit(None).cast("string").alias(c) if c in ("is_deleted", "remarks") else F.col(c) for c in own if c != "id"]
+    changed = rows.where("id % 3 = 0").select(F.col("id").alias("line"), *fields)
+    table = STORED.StoredTable(s.spark, scratch(s), kinds_of(rows), key="source_row_hash")
+    table.insert("load", rows)
+    for _ in range(2):
+        table.upsert("upload 1", changed, M.upsert_health)
+    return table.read().select("id", "one_year_rate", "status")
+
+
+@query("stored_rate_changes", """WITH hit AS (SELECT DISTINCT group_id FROM rate_card WHERE group_id % 7 = 0)
+SELECT id, CASE WHEN group_id IN (SELECT group_id FROM hit) THEN 12.35 ELSE pi_od_rate END AS pi_od_rate FROM rate_card WHERE is_deleted <> 'YES'""")
+def stored_rate_changes(s: Source) -> DataFrame:
+    """The rate card as a stored table; a bulk update of some groups and a purge, each applied twice as a retry would."""
+    card = stage(s.rate_card)
+    table = STORED.StoredTable(s.spark, scratch(s), kinds_of(card))
+    table.insert("load", card)
+    keys = card.where("group_id % 7 = 0").select(F.col("group_id").alias("wanted")).distinct()
+    for _ in range(2):
+        table.set_field("edit", keys, "pi_od_rate", "12.347")
+        table.purge("purge", F.col("is_deleted") == "YES")
+    return table.read().select("id", F.round("pi_od_rate", 2).alias("pi_od_rate"))
+
+
 # ---- retention ------------------------------------------------------------------------------------
 @query("log_retention", "SELECT id FROM audit WHERE action = 'LOGIN' OR ts >= TIMESTAMP '2024-01-13 00:00:00'")
 def log_retention(s: Source) -> DataFrame:

@@ -366,6 +366,22 @@ def bulk_update(rates: DataFrame, keys: DataFrame, field: str, text: str) -> Dat
     return marked.withColumn(field, F.when(hit, value).otherwise(F.col(field))).drop("_by_group", "_by_id").select(*rates.columns)
 
 
+def selected_rows(rates: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct ``id`` of the rows behind selected keys, resolved as in :func:`bulk_update`."""
+    wanted = keys.select(F.col("wanted").cast("bigint").alias("wanted")).distinct()
+    by_group = rates.join(wanted, F.col("wanted") == F.col("group_id"), "left_semi").select("id")
+    loose = wanted.join(rates.select("group_id"), F.col("wanted") == F.col("group_id"), "left_anti")
+    return by_group.unionByName(rates.join(loose, F.col("wanted") == F.col("id"), "left_semi").select("id")).distinct()
+
+
+def set_field(rates: DataFrame, ids: DataFrame, field: str, text: str) -> DataFrame:
+    """Sets an allow-listed field on the rows of given ids."""
+    if field not in EDITABLE:
+        raise ValueError(f"'{field}' is not an editable field")
+    marked = rates.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    return marked.withColumn(field, F.when(F.col("_hit"), _typed_value(field, text)).otherwise(F.col(field))).select(*rates.columns)
+
+
 def bulk_update_health(rates: DataFrame, ids: DataFrame, field: str, text: str) -> DataFrame:
     """Same for health rates, by row id. ``ids`` has ``id``."""
     if field in HEALTH_NUMBERS or field in HEALTH_PERCENTS:
