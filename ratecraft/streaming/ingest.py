@@ -5,7 +5,7 @@ once; ``number_groups`` gives each new group its id. The rate table itself is re
 state of the streams, which Spark keeps in its checkpoints. All of them survive a restart at any point and a replay of any upload.
 
 Folder of a job: ``outcome`` and ``members`` (a decision a batch), ``accepted`` (records for the guard), ``rows`` (the rate rows),
-``groups`` (key_hash, group_id), ``checkpoint``.
+``groups`` (key_hash, group_id), ``known`` (groups the table had before), ``checkpoint``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ratecraft import constants as K
@@ -28,7 +28,8 @@ OUTCOME = "upload_id string, success boolean, problem string"
 MEMBER = "field string, name string"
 INSERTED = "key_hash string, upload_id string, payload string"
 GROUP = "key_hash string, group_id bigint"
-#: how many counters number the groups between them
+KNOWN = "bucket bigint, key_hash string, group_id bigint"
+#: how many counters number the groups between them; fixed for the life of a job
 BUCKETS = 256
 
 Masters = Callable[[], tuple[dict[str, DataFrame], DataFrame, DataFrame]]
@@ -90,12 +91,25 @@ def feed_table(rates: DataFrame, folder: str) -> None:
     """Tells a job what a rate table holds: before its first upload the whole table, later rows that were added past it or switched.
 
     Rows that are live (ACTIVE and not deleted) block uploads of their content, rows that no longer are stop doing so; every row
-    blocks its RTO list in its group. ``rates`` has ``key_hash``.
+    blocks its RTO list in its group. ``rates`` has ``key_hash`` and ``group_id``; new group ids come after its highest.
     """
     live = F.coalesce((F.col("status") == "ACTIVE") & (F.col("is_deleted") == "NO"), F.lit(False))
     table = rates.drop("batch", "line", "upload_id")
     fed = [records(table, "held"), records(table.where(~live), "gone"), records(table.where(live), "live")]
     reduce(DataFrame.unionByName, fed).distinct().write.mode("append").parquet(f"{folder}/accepted")
+    feed_groups(rates.select("key_hash", "group_id").distinct(), folder)
+
+
+def feed_groups(groups: DataFrame, folder: str) -> None:
+    """Adds (key_hash, group_id) to the known groups, and for each counter the highest id it has to pass."""
+    top = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).cast("bigint")).scalar()
+    floors = groups.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(None).cast("string").alias("key_hash"), top.alias("group_id"))
+    own = groups.select(_bucket().alias("bucket"), "key_hash", F.col("group_id").cast("bigint").alias("group_id"))
+    own.unionByName(floors).write.mode("append").parquet(f"{folder}/known")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("key_hash"), F.lit(BUCKETS)).cast("bigint")
 
 
 def check_batch(batch: DataFrame, number: int, folder: str, masters: Masters) -> None:
@@ -218,25 +232,25 @@ def _group_numbers(buckets: int) -> StatefulProcessor:
             self.known = handle.getMapState("known", "hash string", "group_id bigint")
             self.counter = handle.getValueState("counter", "n bigint")
 
-        def handleInitialState(self, key, initial, timer_values) -> None:
-            for r in initial.itertuples(index=False):
-                if r.key_hash is not None:
-                    self.known.updateValue((r.key_hash,), (int(r.group_id),))
-                self.counter.update((int(r.counter),))
-
         def handleInputRows(self, key, rows, timer_values):
             n = int(self.counter.get()[0]) if self.counter.exists() else 0
-            for frame in rows:
-                made = []
-                for h in sorted(set(frame["key_hash"])):
-                    if not self.known.containsKey((h,)):
-                        group = n * buckets + int(key[0]) + 1
-                        self.known.updateValue((h,), (group,))
-                        made.append((h, group))
-                        n += 1
-                if made:
-                    yield pd.DataFrame(made, columns=["key_hash", "group_id"])
+            wanted = set()
+            for frame in rows:  # known groups go before new ones, whatever order they come in
+                fed = frame["group_id"].notna()
+                for r in frame[fed].itertuples(index=False):
+                    if r.key_hash is None:
+                        n = max(n, -(-int(r.group_id) // buckets))
+                    else:
+                        self.known.updateValue((r.key_hash,), (int(r.group_id),))
+                wanted.update(frame["key_hash"][~fed])
+            made = []
+            for h in sorted(wanted):
+                if not self.known.containsKey((h,)):
+                    made.append((h, n * buckets + int(key[0]) + 1))
+                    self.known.updateValue((h,), (made[-1][1],))
+                    n += 1
             self.counter.update((n,))
+            yield pd.DataFrame(made, columns=["key_hash", "group_id"]).astype({"group_id": "int64"})
 
         def close(self) -> None:
             pass
@@ -249,42 +263,39 @@ def _distinct_in_batches(frames):
         yield frame.drop_duplicates()
 
 
-def number_groups(spark: SparkSession, folder: str, known: DataFrame | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+def number_groups(spark: SparkSession, folder: str) -> StreamingQuery:
     """Starts the third stream: an id for every group of ``rows`` that has none, into ``groups``.
 
-    ``known`` (key_hash, group_id) are the groups of the table before the job; read at the first start only. New ids come after the
-    highest of them; they are unique, not gapless. Repeats of a group go before the shuffle, batch by batch.
+    Ids are unique, not gapless, and come after those of the known groups. Repeats of a group go before the shuffle, batch by
+    batch; a counter's task then holds the distinct groups of its share of one trigger.
     """
-    bucket = F.pmod(F.xxhash64("key_hash"), F.lit(buckets))
     found = spark.readStream.schema(INSERTED).parquet(f"{folder}/rows").select("key_hash").mapInPandas(_distinct_in_batches, "key_hash string")
-    start = None
-    if known is not None:
-        top = known.agg(F.ceil(F.coalesce(F.max("group_id"), F.lit(0)) / buckets).cast("bigint").alias("m")).scalar()
-        own = known.select(bucket.alias("bucket"), "key_hash", "group_id").distinct()
-        start = spark.range(buckets).select(F.col("id").alias("bucket")).join(own, "bucket", "left").withColumn("counter", top).groupBy("bucket")
+    if not _exists(spark, f"{folder}/known"):
+        feed_groups(spark.createDataFrame([], GROUP), folder)
+    fed = spark.readStream.schema(KNOWN).parquet(f"{folder}/known")
+    both = fed.unionByName(found.select(_bucket().alias("bucket"), "key_hash", F.lit(None).cast("bigint").alias("group_id")))
     with _rocksdb(spark):
-        groups = found.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
-            _group_numbers(buckets), GROUP, "Append", "None", initialState=start)
+        groups = both.groupBy("bucket").transformWithStateInPandas(_group_numbers(BUCKETS), GROUP, "Append", "None")
         return groups.writeStream.format("parquet").option("path", f"{folder}/groups").option("checkpointLocation", f"{folder}/checkpoint/groups").outputMode(
             "append").trigger(availableNow=True).start()
 
 
-def run_ingest(uploads: DataFrame, folder: str, masters: Masters, known: DataFrame | None = None, keep_ms: int | None = None) -> None:
+def run_ingest(uploads: DataFrame, folder: str, masters: Masters, keep_ms: int | None = None) -> None:
     """Everything that has arrived, through all three streams; nothing happens where nothing ever arrived."""
     spark = uploads.sparkSession
     check_uploads(uploads, folder, masters).awaitTermination()
     if not _exists(spark, f"{folder}/accepted"):
         return
     guard_rows(spark, folder, keep_ms).awaitTermination()
-    number_groups(spark, folder, known).awaitTermination()
+    number_groups(spark, folder).awaitTermination()
 
 
 # ---- what came of it ------------------------------------------------------------------------------
-def ingested_rates(spark: SparkSession, folder: str, schema: str, known: DataFrame | None = None) -> DataFrame:
+def ingested_rates(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The rate rows of a job with ``group_id`` and ``upload_id``; ``schema`` is that of typed uploads."""
     rows = _table(spark, f"{folder}/rows", INSERTED)
-    groups = _table(spark, f"{folder}/groups", GROUP)
-    groups = groups if known is None else groups.unionByName(known.select("key_hash", "group_id"))
+    known = _table(spark, f"{folder}/known", KNOWN).where("key_hash IS NOT NULL").select("key_hash", "group_id").distinct()
+    groups = _table(spark, f"{folder}/groups", GROUP).unionByName(known)
     return rows.withColumn("_r", F.from_json("payload", schema)).select("_r.*", "upload_id").join(groups, "key_hash")
 
 

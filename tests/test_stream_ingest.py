@@ -18,12 +18,12 @@ class Job:
         self.shape = upload_of(self.spark, rows).drop("line")
         self.shape.coalesce(1).write.mode("append").parquet(self.arrived)
 
-    def run(self, known=None, per_batch=20):
+    def run(self, per_batch=20):
         kinds = ", ".join(f"{f.name} string" for f in self.shape.schema)
-        S.run_ingest(S.rate_uploads(self.spark, self.arrived, kinds, per_batch, "parquet"), self.folder, self.masters, known)
+        S.run_ingest(S.rate_uploads(self.spark, self.arrived, kinds, per_batch, "parquet"), self.folder, self.masters)
         typed = M.typed_upload(upload_of(self.spark, []))
         self.kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed.schema)
-        rows = S.ingested_rates(self.spark, self.folder, self.kind, known).collect()
+        rows = S.ingested_rates(self.spark, self.folder, self.kind).collect()
         outcomes = sorted((r.success, r.rows, r.problem) for r in S.ingest_outcomes(self.spark, self.folder).collect())
         return rows, outcomes
 
@@ -65,19 +65,20 @@ def test_table_before_the_job_blocks_its_rows_and_keeps_its_groups(job, spark):
     typed = M.typed_upload(upload_of(spark, [{**ROW, "product": "Private Car", "fuel_type": "Petrol"}, {**ROW, "product": "Private Car", "fuel_type": "Diesel"}])).drop("line")
     old = typed.withColumns({"status": F.when(F.col("fuel_type") == "Petrol", F.lit("ACTIVE")).otherwise(F.lit("INACTIVE")), "upload_batch": F.lit("old")})
     old = old.withColumn("key_hash", M.group_hash(old))
-    known = old.select("key_hash", F.lit(700).cast("bigint").alias("group_id")).where("false").unionByName(
-        spark.createDataFrame([(M.typed_upload(upload_of(spark, [{**ROW, "product": "Private Car", "fuel_type": "CNG"}])).first().key_hash, 700)], S.GROUP))
+    old = old.withColumn("group_id", F.when(F.col("fuel_type") == "Petrol", F.lit(700)).otherwise(F.lit(3)))
+    cng = M.typed_upload(upload_of(spark, [{**ROW, "product": "Private Car", "fuel_type": "CNG"}])).select("key_hash", F.lit(41).alias("group_id"))
+    S.feed_groups(cng, job.folder)
     S.feed_table(old, job.folder)
     job.arrive([ROW, {**ROW, "fuel_type": "2"}, {**ROW, "fuel_type": "CNG"}])
-    rows, _ = job.run(known)
+    rows, _ = job.run()
     # Petrol is live under another batch; Diesel is there but not live; CNG belongs to a group of the table
     assert sorted(r.fuel_type for r in rows) == ["CNG", "Diesel"]
     ids = {r.fuel_type: r.group_id for r in rows}
-    assert ids["CNG"] == 700 and ids["Diesel"] > 700
+    assert ids["CNG"] == 41 and ids["Diesel"] > 700
     # once the row is no longer live, its content may come again
     S.feed_table(old.withColumn("status", F.lit("INACTIVE")), job.folder)
     job.arrive([ROW])
-    rows, _ = job.run(known)
+    rows, _ = job.run()
     assert sorted(r.fuel_type for r in rows) == ["CNG", "Diesel", "Petrol"]
 
 
