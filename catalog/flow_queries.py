@@ -95,10 +95,15 @@ def upload_outcome(s: Source) -> DataFrame:
 
 @query("life_grid_load", "SELECT row_id, insurer, base_rate, base_text FROM life")
 def life_grid_load(s: Source) -> DataFrame:
-    """Rows written as one grid file per insurer and read back."""
+    """Rows written as one grid file per insurer, row by row between an opening and a closing line, and read back."""
     path = scratch(s)
-    row = F.struct(F.col("row_id").alias("Row_ID"), F.col("insurer").alias("InsurerDisplay"), F.coalesce(F.col("base_rate").cast("string"), "base_text").alias("Base_Payout_Yr1"))
-    s.life.groupBy("insurer").agg(F.collect_list(row).alias("rows")).write.partitionBy("insurer").json(path)
+    row = F.to_json(F.struct(F.col("row_id").alias("Row_ID"), F.col("insurer").alias("InsurerDisplay"), F.coalesce(F.col("base_rate").cast("string"), "base_text").alias("Base_Payout_Yr1")))
+    ends = stage(s.life.groupBy("insurer").agg(F.min("row_id").alias("first")))
+    comma = F.when(F.col("row_id") == F.col("first"), F.lit("")).otherwise(F.lit(", "))
+    lines = s.life.join(ends, "insurer").select("insurer", F.lit(1).alias("part"), "row_id", F.concat(comma, row).alias("line"))
+    for part, text in ((0, '{"meta": {"source": "grid"}, "rows": ['), (2, "]}")):
+        lines = lines.unionByName(ends.select("insurer", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("row_id"), F.lit(text).alias("line")))
+    lines.repartition("insurer").sortWithinPartitions("insurer", "part", "row_id").select("insurer", "line").write.partitionBy("insurer").text(path)
     return LS.read_life_grid(s.spark, path).select(F.col("Row_ID").alias("row_id"), F.col("InsurerDisplay").alias("insurer"), F.col("Base_Payout_Yr1").alias("base_rate"),
                                                   F.col("Base_Payout_Yr1_text").alias("base_text"))
 

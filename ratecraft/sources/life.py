@@ -13,15 +13,20 @@ PAYOUTS = ["Base_Payout_Yr1", "Renewal_Yr2", "Renewal_Yr3", "Renewal_Yr4", "Rene
 
 def read_life_grid(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """Rows of ``{meta, rows: [...]}`` files; a payout is a number, a text, or NULL. A missing path is an
-    error, or no rows where the caller allows for it."""
-    schema = f"rows array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in ROW.replace(chr(10), ' ').split(',')))}>>"
+    error, or no rows where the caller allows for it.
+
+    A file is one variant, whose rows are handed out one by one; a file without rows gives none, a field of another type NULL.
+    """
+    fields = [c.split() for c in ROW.replace("\n", " ").split(",")]
     try:
-        files = spark.read.schema(schema).json(path, multiLine=True)
+        files = spark.read.option("singleVariantColumn", "doc").option("multiLine", True).json(path)
     except AnalysisException as error:
         if not missing_ok or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return typed_payouts(spark.createDataFrame([], ROW))
-    return typed_payouts(files.select(F.explode("rows").alias("row")).select("row.*"))
+    listed = files.select(F.try_variant_get("doc", "$.rows", "variant").alias("listed"))
+    rows = listed.lateralJoin(spark.tvf.variant_explode(F.col("listed").outer()))
+    return typed_payouts(rows.select(*[F.try_variant_get("value", f"$.{n}", t).alias(n) for n, t in fields]))
 
 
 def typed_payouts(rows: DataFrame) -> DataFrame:
