@@ -139,7 +139,8 @@ def check_batch(batch: DataFrame, number: int, folder: str, masters: Masters) ->
         names.where("is_new").select("field", "name").write.mode("overwrite").parquet(members)
     kept = named_rows(accepted, names, list(known))
     place = kept.select("line", "upload_id")
-    typed = M.typed_upload(kept.drop("upload_id")).join(place, "line").withColumn("batch", F.lit(number).cast("bigint"))
+    # staged: hashes and payload would each work out every typed cell again
+    typed = stage(M.typed_upload(kept.drop("upload_id"))).join(place, "line").withColumn("batch", F.lit(number).cast("bigint"))
     # The first row of each (group, RTO list): copies inside a batch go before the guard's shuffle. A copy whose text differs
     # elsewhere is held back by the first one either way, unless the first one's content is live, so the content counts too.
     made = records(typed, "upload", payload=True)
