@@ -15,6 +15,7 @@ from ratecraft.functions.text import (
     insurer_key_tokens, lowered, model_words, norm_text, normalize_plan_name, present, strip, word_match,
 )
 from ratecraft.operators.skew import first_per_group, grid_join
+from ratecraft.session import stage
 
 _NO_TOKEN = ""
 
@@ -76,7 +77,8 @@ def resolve_codes(terms: DataFrame, master: DataFrame) -> DataFrame:
 
     ``terms`` has one column ``term``; ``master`` has ``name`` and ``cluster``.
     """
-    wanted = terms.select(F.upper(strip("term")).alias("term")).where("term <> ''").distinct()
+    # both branches read the distinct terms; without the table each would normalise every row again, once a filter
+    wanted = stage(terms.select(F.upper(strip("term")).alias("term")).where("term <> ''").distinct())
     wanted = wanted.withColumn("token", F.regexp_extract("term", "[A-Z0-9]+", 0))
     items = cluster_long(master)
     tokens = items.select("name", "item", F.explode(F.array_union(alnum_tokens(F.col("item")), F.array(F.lit(_NO_TOKEN)))).alias("token"))
