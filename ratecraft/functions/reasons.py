@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ratecraft import constants as K
@@ -83,17 +85,26 @@ def normalized_payload(payload: Column | str) -> Column:
     return F.transform_keys(clean, lambda k, v: F.lower(strip(k)))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it may name many times: the value is worked out once a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def payload_summary(payload: Column | str) -> Column:
     """(summary, rest): up to three identifying entries by key fragment, else the first three, then the others."""
-    entries = F.filter(F.map_entries(col(payload)), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-
-    def naming(fragment: str, taken: Column) -> Column:
-        return F.filter(entries, lambda e: F.contains(F.lower(strip(e["key"])), F.lit(fragment)) & ~F.array_contains(taken, e))
-
-    picked = F.array().cast("array<struct<key:string,value:string>>")
-    for fragment in K.SUMMARY_KEYS:
-        hits = naming(fragment, picked)
-        take = (F.size(picked) < K.SUMMARY_LIMIT) & (F.size(hits) > 0)
-        picked = F.when(take, F.concat(picked, F.slice(hits, 1, 1))).otherwise(picked)
-    summary = F.when(F.size(picked) > 0, picked).otherwise(F.slice(entries, 1, K.SUMMARY_LIMIT))
-    return F.struct(summary.alias("summary"), F.array_except(entries, summary).alias("rest"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    filled = F.filter(F.map_entries(col(payload)), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+
+    def named(entries: Column) -> Column:
+        def take(picked: Column, fragment: Column) -> Column:
+            hits = F.filter(entries, lambda e: F.contains(F.lower(strip(e["key"])), fragment) & ~F.array_contains(picked, e))
+            more = F.coalesce(F.slice(hits, 1, 1), none)
+            return F.when(F.size(picked) < K.SUMMARY_LIMIT, F.concat(picked, more)).otherwise(picked)
+
+        return F.aggregate(F.array(*[F.lit(f) for f in K.SUMMARY_KEYS]), none, take)
+
+    def shown(entries: Column) -> Column:
+        return _bound(named(entries), lambda picked: F.when(F.size(picked) > 0, picked).otherwise(F.slice(entries, 1, K.SUMMARY_LIMIT)))
+
+    return _bound(filled, lambda entries: _bound(
+        shown(entries), lambda summary: F.struct(summary.alias("summary"), F.array_except(entries, summary).alias("rest"))))

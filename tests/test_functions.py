@@ -121,3 +121,13 @@ def test_similarity(name, a, b, want):
 def test_premium_validation(spark, sub, product, od, tp, ncb, part):
     text = one(spark, premium_validation(*[F.lit(x) for x in (sub, product, od, tp, ncb)]))
     assert (text is None) if part is None else (part in text)
+
+
+def test_payload_summary_works_out_each_row_once(spark):
+    payload = {"Policy: model": "m", " Vehicle Make": "k", "x": "1", "Policy Type": "t", "sub product": "s", "empty": "", "none": None}
+    frame = spark.createDataFrame([(payload,), ({"a": "1", "b": "", "c": "3", "d": "4", "e": "5"},), (None,)], "payload map<string,string>")
+    split = frame.select(E.payload_summary("payload").alias("s")).select(
+        *[F.transform(f"s.{part}", lambda e: e["value"]).alias(part) for part in ("summary", "rest")])
+    assert [(r["summary"], r["rest"]) for r in split.collect()] == [(["k", "m", "t"], ["1", "s"]), (["1", "3", "4"], ["5"]), (None, None)]
+    # entries are listed in one place of the plan, however often they are named
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("map_entries") == 1
