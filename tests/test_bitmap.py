@@ -115,6 +115,31 @@ def test_health_chain(spark, cut):
             assert row["match_ids"] == sorted(own)
 
 
+
+def test_health_matches_are_counted_where_they_are_found(spark, monkeypatch):
+    day, names = datetime.date(2000, 1, 1), "r_min_deductible r_max_deductible r_min_sum_insured r_max_sum_insured r_min_age r_max_age".split()
+    rates = spark.createDataFrame(
+        [(i, "acme", "", "", "", "", "", *[None] * 6, 20.0, 9.0 if i == 7 else 5.0, 6.0, None, None, None, None, None) for i in [*range(1, 30), 30, 30]],
+        "r_id long, r_insurer string, r_product_name string, r_policy_category string, r_pincode_zone string, r_business_type string, r_plan_names string, "
+        + ", ".join(f"{n} double" for n in names) + ", r_payin_rate double, r_one_year_rate double, r_multi_year_2_rate double, r_multi_year_3_rate double, "
+        "r_multi_year_4_rate double, r_multi_year_5_rate double, r_from_date date, r_to_date date")
+    features = spark.createDataFrame(
+        [(i, "x", "acme", "", [], "", [], "", [], "", 1.0, 1.0, 1.0, "", [], day, tenure, []) for i, tenure in enumerate([1, 2, 3, 6, None])],
+        "row_id long, insurer_raw string, insurer string, product_name string, product_name_matches array<string>, policy_category string, policy_category_matches array<string>, business_type string, "
+        "business_type_matches array<string>, plan_name string, deductible double, sum_assured double, age double, pincode string, zones array<string>, inception date, tenure int, plan_matches array<string>")
+    asked = []
+    monkeypatch.setattr(H, "narrowed", lambda *args, **kw: asked.append(kw.get("groups")) or B.narrowed(*args, **kw))
+    for card, n, ids in ((rates.where("r_id < 30"), 29, list(range(1, 30))), (rates, 33, [*range(1, 30), 30, 30, 30, 30])):
+        got = {r["row_id"]: r for r in H.map_health_features(features, card).collect()}
+        assert [got[i]["mapping_status"] for i in range(5)] == [J.K.MULTIPLE, J.K.MATCH, J.K.MATCH, J.K.NO_MATCH, J.K.NO_MATCH]
+        assert got[0]["match_ids"] == ids and f"({n} rows)" in got[0]["failure_reason"] and f"(+{n - 10} more)" in got[0]["failure_reason"]
+        assert [(got[i]["display_group_id"], got[i]["po_rate"], got[i]["pi_rate"], got[i]["tied_groups"]) for i in (1, 2)] == [(1, 6.0, 20.0, n), (1, None, 20.0, n)]
+        shown = {r["row_id"]: r for r in H.map_health_features(features, card, all_ids=False).collect()}
+        assert shown[0]["match_ids"] == ids[:10] and all(shown[i]["failure_reason"] == got[i]["failure_reason"] for i in range(5))
+    # no match is handed on by itself
+    assert all(asked)
+
+
 def test_index_without_rows(spark):
     rnd = random.Random(1)
     rates, policies, chain = J.with_group_places(_card(spark, 3, rnd)), _policies(spark, 5, rnd), J.motor_chain()
