@@ -171,3 +171,18 @@ def test_capped_listing_is_the_head_of_the_full_one(spark):
         want += sorted(f for f in full if f[0] == kind)[:7]
     assert sorted(capped) == sorted(want)
     assert len([f for f in full if f[0] == "EXACT_DUPLICATE"]) >= 66
+
+
+def test_export_makes_a_pairs_row_where_it_is(spark):
+    labels = [*O.CATEGORIES.values(), "Vehicle Class", *O.INTERVALS.values(), *O.CODES.values(), *O.LISTS.values(), "Add T&C"]
+    axes = [(label, f"a{i}", None if i == 3 else f"b{i}", f"s{i}") for i, label in enumerate(labels)]
+    pairs = spark.createDataFrame(
+        [("acme", "DOUBLE_RATE_RISK", 1, 2, 3, 4, "CC: 1", axes), ("acme", "PARTIAL", 1, 2, 5, 6, "", axes)],
+        "insurance_company string, conflict_type string, group_key_a long, row_count_a long, group_key_b long, row_count_b long, summary string, "
+        "axes array<struct<label:string,a:string,b:string,shared:string>>")
+    wide = O.export_pivot(pairs)
+    rows = {r["group_key_b"]: r for r in wide.collect()}
+    assert len(rows) == 2 and rows[3]["note"] and rows[5]["note"] == "" and rows[3]["collides_on"] == "CC: 1"
+    for label, a, b, shared in axes:
+        assert [rows[3][f"{label} ({side})"] for side in ("Group A", "Group B", "Shared")] == [a, b, shared]
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
