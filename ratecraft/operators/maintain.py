@@ -213,13 +213,13 @@ def sync_zones(health_rates: DataFrame, pincode_master: DataFrame) -> DataFrame:
 
 # ---- rate ingest ----------------------------------------------------------------------------------
 def typed_upload(upload: DataFrame) -> DataFrame:
-    """All-text upload rows as typed rates: missing numbers 0, new rows INACTIVE and not deleted."""
+    """All-text upload rows as typed rates: missing numbers 0, new rows INACTIVE and not deleted; ``line`` and ``upload_id`` stay."""
     def blank_to_null(c: str) -> Column:
         return F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
 
     zero = F.lit(0.0)
     typed = upload.select(
-        *[c for c in ("line",) if c in upload.columns],
+        *[c for c in ("line", "upload_id") if c in upload.columns],
         F.col("upload_batch_id").alias("upload_batch"),
         T.strip(F.coalesce("insurance_company", F.lit(""))).alias("insurance_company"),
         blank_to_null("new_rto_list").alias("new_rto_list"),
@@ -233,23 +233,26 @@ def typed_upload(upload: DataFrame) -> DataFrame:
     return typed.withColumn("key_hash", group_hash(typed))
 
 
-def unknown_members(upload: DataFrame, rto_master: DataFrame, make_master: DataFrame) -> DataFrame:
-    """(line, field, item): RTO and make names that no master has. An upload with any is rejected as a whole."""
+def unknown_members(upload: DataFrame, rto_master: DataFrame, make_master: DataFrame, keys: tuple[str, ...] = ("line",)) -> DataFrame:
+    """(line, field, item): RTO and make names that no master has. An upload with any is rejected as a whole.
+
+    ``keys`` are the columns that name a row, ``line`` alone where there is one upload.
+    """
     parts = []
     for column, master in (("new_rto_list", rto_master), ("new_vehicle_makes", make_master)):
-        items = upload.select("line", F.lit(column).alias("field"), F.explode(C.split_list(column)).alias("item"))
+        items = upload.select(*keys, F.lit(column).alias("field"), F.explode(C.split_list(column)).alias("item"))
         known = master.select(F.lower("name").alias("_key")).distinct()
         parts.append(items.withColumn("_key", F.lower("item")).join(known, "_key", "left_anti").drop("_key"))
     return parts[0].unionByName(parts[1])
 
 
-def unreadable_numbers(upload: DataFrame) -> DataFrame:
-    """(line, field, cell): filled number cells that are no number."""
+def unreadable_numbers(upload: DataFrame, keys: tuple[str, ...] = ("line",)) -> DataFrame:
+    """(line, field, cell): filled number cells that are no number; ``keys`` as in :func:`unknown_members`."""
     cells = F.array_compact(F.array(*[
         F.when(T.present(c).isNotNull() & T.present(c).try_cast("double").isNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("cell")))
         for c in NUMBER_FIELDS
     ]))
-    return upload.select("line", F.inline(cells))
+    return upload.select(*keys, F.inline(cells))
 
 
 def new_rates(typed: DataFrame, existing: DataFrame) -> DataFrame:

@@ -55,14 +55,14 @@ def named_rows(rows: DataFrame, members: DataFrame, fields: list[str]) -> DataFr
     return named
 
 
-def problems(upload: DataFrame, rto_master: DataFrame, make_master: DataFrame) -> DataFrame:
-    """(line, problem): RTO and make names no master has, and filled number cells that are no number."""
+def problems(upload: DataFrame, rto_master: DataFrame, make_master: DataFrame, keys: tuple[str, ...] = ("line",)) -> DataFrame:
+    """(line, problem): RTO and make names no master has, and filled number cells that are no number. ``keys`` name a row."""
     rto = F.concat(F.lit("RTO '"), F.col("item"), F.lit("' does not exist in RTOMaster. Please add it first."))
     make = F.concat(F.lit("Vehicle Make '"), F.col("item"), F.lit("' does not exist in MakeModelMaster. Please add it first."))
-    unknown = M.unknown_members(upload, rto_master, make_master).select(
-        "line", F.when(F.col("field") == "new_rto_list", rto).otherwise(make).alias("problem"))
+    unknown = M.unknown_members(upload, rto_master, make_master, keys).select(
+        *keys, F.when(F.col("field") == "new_rto_list", rto).otherwise(make).alias("problem"))
     number = F.concat(F.col("field"), F.lit(" value '"), F.col("cell"), F.lit("' is not a valid number."))
-    return unknown.unionByName(M.unreadable_numbers(upload).select("line", number.alias("problem")))
+    return unknown.unionByName(M.unreadable_numbers(upload, keys).select(*keys, number.alias("problem")))
 
 
 def ingest_rates(upload: DataFrame, existing: DataFrame, groups: DataFrame, masters: dict[str, DataFrame],

@@ -64,12 +64,17 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered(batch: DataFrame) -> DataFrame:
-    """A batch with ``line``: rows by upload, block and place there, so that a retried batch numbers them as the first try did."""
+    """A batch with ``line``: rows by upload, block and place there, so that a retried batch numbers them as the first try did.
+
+    Lines are dealt to all tasks, for an upload comes in few blocks. The numbers of the blocks, a few rows, are sent to the batch:
+    a batch of repeated cells is a small file however many rows it has, so by file sizes Spark may send the batch to them.
+    """
     placed = stage(batch.withColumn("_at", F.monotonically_increasing_id()))
     sizes = placed.groupBy("upload_id", "block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     before = F.sum("_rows").over(Window.orderBy("upload_id", "block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("upload_id", "block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    return placed.join(offsets, ["upload_id", "block"]).withColumn("line", F.col("_at") + F.col("_shift")).drop("_at", "_shift", "block")
+    lines = placed.join(F.broadcast(offsets), ["upload_id", "block"]).withColumn("line", F.col("_at") + F.col("_shift"))
+    return stage(lines.drop("_at", "_shift", "block").repartition("line"))
 
 
 def records(rows: DataFrame, kind: str, payload: bool = False) -> DataFrame:
@@ -129,7 +134,7 @@ def check_batch(batch: DataFrame, number: int, folder: str, masters: Masters) ->
         known[field] = master.select(F.col("id").cast("bigint").alias("id"), "name").unionByName(own)
     decided = f"{folder}/outcome/batch={number}"
     if not _written(spark, decided):
-        found = problems(rows, rto_master, make_master).join(rows.select("line", "upload_id"), "line")
+        found = problems(rows, rto_master, make_master, ("line", "upload_id"))
         first = found.groupBy("upload_id").agg(F.min_by("problem", F.struct("line", "problem")).alias("problem"))
         uploads.join(first, "upload_id", "left").select("upload_id", F.col("problem").isNull().alias("success"), "problem").write.mode("overwrite").parquet(decided)
     accepted = stage(rows.join(spark.read.schema(OUTCOME).parquet(decided).where("success").select("upload_id"), "upload_id"))
@@ -138,9 +143,8 @@ def check_batch(batch: DataFrame, number: int, folder: str, masters: Masters) ->
     if not _written(spark, members):
         names.where("is_new").select("field", "name").write.mode("overwrite").parquet(members)
     kept = named_rows(accepted, names, list(known))
-    place = kept.select("line", "upload_id")
     # staged: hashes and payload would each work out every typed cell again
-    typed = stage(M.typed_upload(kept.drop("upload_id"))).join(place, "line").withColumn("batch", F.lit(number).cast("bigint"))
+    typed = stage(M.typed_upload(kept)).withColumn("batch", F.lit(number).cast("bigint"))
     # The first row of each (group, RTO list): copies inside a batch go before the guard's shuffle. A copy whose text differs
     # elsewhere is held back by the first one either way, unless the first one's content is live, so the content counts too.
     made = records(typed, "upload", payload=True)

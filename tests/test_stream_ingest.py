@@ -97,3 +97,21 @@ def test_nothing_arrives(job, spark):
     job.arrive([])
     rows, outcomes = job.run()
     assert rows == [] and outcomes == []
+
+
+def test_no_row_of_a_batch_is_looked_up_by_its_line(job, spark, monkeypatch):
+    """Such a join would send all lines of a batch to every task: files of repeated cells are small, so Spark may broadcast them."""
+    job.arrive([ROW, {**ROW, "pi_net_rate": "six"}])
+    job.arrive([{**ROW, "fuel_type": "CNG"}])
+    batch = spark.read.parquet(job.arrived).select("*", F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_block_start").alias("block"))
+    keys, join = [], type(batch).join
+
+    def spied(self, other, on=None, how=None):
+        keys.extend([on] if isinstance(on, str) else on or [])
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(batch), "join", spied)
+    S.check_batch(batch, 0, job.folder, job.masters)
+    assert "upload_id" in keys and "line" not in keys
+    outcomes = sorted((r.success, r.problem) for r in S._table(spark, f"{job.folder}/outcome", S.OUTCOME).collect())
+    assert outcomes == [(False, "pi_net_rate value 'six' is not a valid number."), (True, None)]
