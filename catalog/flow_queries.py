@@ -12,7 +12,7 @@ from catalog.registry import ORACLES, Source, query
 from ratecraft import constants as K
 from ratecraft.functions import documents as J
 from ratecraft.operators import documents as DOC, gaps as G, life as L, logs as LOG, maintain as M
-from ratecraft.session import shared_folder, stage
+from ratecraft.session import dealt, shared_folder, stage
 from ratecraft.sources import life as LS, policies as P, registry as REG, stored as STORED
 from ratecraft.streaming import ingest as ST_INGEST, jobs as ST
 
@@ -141,7 +141,7 @@ def rate_upload_typed(s: Source) -> DataFrame:
 
 @query("rate_ingest", _INGEST + """SELECT min(line) AS line, new_rto_list FROM typed GROUP BY insurance_company, new_rto_list, new_vehicle_makes, nullif(product, ''), nullif(fuel_type, ''), is_ncb, from_date, to_date, pi_net_rate, cc_min, cc_max""")
 def rate_ingest(s: Source) -> DataFrame:
-    typed = stage(M.typed_upload(upload(s)))
+    typed = stage(M.typed_upload(dealt(upload(s), "line")))
     empty = typed.limit(0)
     return M.new_rates(typed, empty).select("line", "new_rto_list")
 
@@ -181,7 +181,7 @@ WHERE line NOT IN (SELECT t.line FROM typed t JOIN typed v ON v.line % 3 = 0 AND
   AND t.fuel_type = v.fuel_type AND t.is_ncb = v.is_ncb AND t.from_date IS NOT DISTINCT FROM v.from_date AND t.to_date IS NOT DISTINCT FROM v.to_date AND t.pi_net_rate = v.pi_net_rate AND t.cc_min = v.cc_min AND t.cc_max = v.cc_max)""")
 def cross_upload_anti_join(s: Source) -> DataFrame:
     """A third of the rows is live already, under another batch."""
-    typed = stage(M.typed_upload(upload(s)))
+    typed = stage(M.typed_upload(dealt(upload(s), "line")))
     live = typed.where("line % 3 = 0 AND line < 10000000").withColumns({"status": F.lit("ACTIVE"), "key_hash": F.lit("another batch")})
     return M.new_rates(typed, live).select("line")
 

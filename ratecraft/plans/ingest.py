@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ratecraft.functions import text as T
 from ratecraft.operators import maintain as M
-from ratecraft.session import stage
+from ratecraft.session import dealt, stage
 
 #: dimension cells of an upload; an unknown number is a new name everywhere but in ``product``, where it is blank
 DIMENSIONS = ["product", "sub_product", "policy_type", "fuel_type", "make_model_class"]
@@ -73,7 +73,7 @@ def ingest_rates(upload: DataFrame, existing: DataFrame, groups: DataFrame, mast
     content is live already, or whose group has the same RTO list already, are left out, so a replay inserts nothing.
     ``masters`` are those of the dimension cells, by field (see ``DIMENSIONS``). ``existing`` has ``key_hash``; ``groups`` has ``group_id`` and ``key_hash``. An empty upload succeeds with no rows.
     """
-    rows = stage(upload)
+    rows = stage(dealt(upload, "line"))
     found = stage(problems(rows, rto_master, make_master))
     rejected: Column = found.agg((F.count("*") > 0).alias("rejected")).scalar()
     members = stage(member_names(rows, masters))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ratecraft.operators import maintain as M
 from ratecraft.plans import ingest as I
+from ratecraft.session import stage
 
 
 def upload_of(spark, rows):
@@ -71,3 +72,13 @@ def test_any_problem_rejects_the_whole_upload(spark, masters, places, cell, prob
 def test_empty_upload(spark, masters, places):
     done = I.ingest_rates(upload_of(spark, [ROW]).where(F.lit(False)), M.typed_upload(upload_of(spark, [])), spark.createDataFrame([], "group_id bigint, key_hash string"), masters, *places)
     assert tuple(done.outcome.first()) == (True, 0, None)
+
+
+def test_lines_of_a_small_file_are_dealt_to_all_tasks(spark, masters, places, tmp_path, monkeypatch):
+    upload_of(spark, [{**ROW, "pi_net_rate": str(n)} for n in range(400)]).coalesce(1).write.parquet(str(tmp_path / "upload"))
+    one_file = spark.read.parquet(str(tmp_path / "upload"))
+    files = []
+    monkeypatch.setattr(I, "stage", lambda df: files.append(len((made := stage(df)).inputFiles())) or made)
+    done = I.ingest_rates(one_file, M.typed_upload(one_file.limit(0)), spark.createDataFrame([], "group_id bigint, key_hash string"), masters, *places)
+    assert one_file.rdd.getNumPartitions() == 1 and files[0] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tuple(done.outcome.first()) == (True, 400, None)
