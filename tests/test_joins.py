@@ -186,3 +186,31 @@ def test_export_makes_a_pairs_row_where_it_is(spark):
     for label, a, b, shared in axes:
         assert [rows[3][f"{label} ({side})"] for side in ("Group A", "Group B", "Shared")] == [a, b, shared]
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_groups_are_made_where_their_blocks_met(spark, monkeypatch):
+    rates, _ = _groups(spark, 50, 11)
+    one = rates.where("id = 1")
+    same = one.crossJoin(spark.range(9).withColumnRenamed("id", "i")).withColumn("id", F.col("i") * 3 + 1).drop("i")
+    # one profile of nine groups whose texts differ, so detail does too
+    same = same.withColumn("add_tnc", F.when(F.col("id") % 2 == 0, F.lit("A B")).otherwise(F.lit("a  b")))
+    groups = O.with_profile(O.active_groups(rates.where("id % 3 <> 1 OR id > 25").unionByName(same))).cache()
+    pairs = O.profile_pairs(O.profiles(groups)).cache()
+    keys = {r["profile"]: [] for r in groups.select("profile").distinct().collect()}
+    for r in groups.collect():
+        keys[r["profile"]].append(r["grid_key"])
+    want = {(min(x, y), max(x, y)): p["conflict_type"] for p in pairs.where("conflict_type IS NOT NULL").collect() for x in keys[p["a_profile"]] for y in keys[p["b_profile"]]}
+    want.update({(x, y): "EXACT_DUPLICATE" for own in keys.values() for x in own for y in own if x < y})
+    for size in (2, 256):
+        monkeypatch.setattr(O, "BLOCK", size)
+        listed = O.list_pairs(groups, pairs)
+        assert sorted((r["group_key_a"], r["group_key_b"], r["conflict_type"]) for r in listed.collect()) == sorted((*k, v) for k, v in want.items())
+    # nothing that grows as the pairs of groups is moved or sent to every task
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(b_members") < plan.index("Exchange") and plan.count("SortMergeJoin") >= 2
+
+    empty = spark.createDataFrame([], "name string, cluster string")
+    detailed = O.members_paired(O.with_detail(O.pair_blocks(groups, pairs, O.DETAIL), groups, empty, empty, pairs))
+    by_pair = O.with_detail(listed, groups, empty, empty)
+    shown = ["group_key_a", "group_key_b", "conflict_type", "insurance_company", "row_count_a", "row_count_b", "severity_rank", "axes", "summary"]
+    assert sorted(map(str, detailed.select(*shown).collect())) == sorted(map(str, by_pair.select(*shown).collect()))
