@@ -72,3 +72,31 @@ def test_gaps_read_the_mapped_rows_once(spark):
     got = sorted(tuple(r) for r in G.gap_counts(mapped).collect())
     assert got == [("multiple_matches", "", "5, 6", [5, 6], 1), ("no_match", "Other", "odd", [], 1), ("no_match", "Policy: cpa", "x", [], 1), ("no_match", "Policy: fuel", "y", [], 1)]
     assert read.value == len(rows)
+
+
+def test_lists_of_ids_are_kept_apart_and_counted_by_name(spark):
+    from pyspark.sql import functions as F
+
+    from ratecraft import constants as K
+    from ratecraft.operators import gaps as G, rulejoin as J
+
+    # two shards for policies 1 and 2, one for 3 and 4, none for 5
+    found = spark.createDataFrame(
+        [(1, list(range(0, 40, 2))), (1, [1, 3]), (2, [1, 3]), (2, list(range(0, 40, 2))), (3, [1, 3]), (4, [1, 3]), (5, [])], "row_id long, group_keys array<long>")
+    lists = J.Lists("row_id", "motor")
+    named = lists.named(found)
+    assert max(len(r["group_keys"]) for r in named.collect()) == J.SHOWN_IDS
+    every = lists.all()
+    assert sorted(r["ids"] for r in every.collect()) == [sorted([*range(0, 40, 2), 1, 3]), [1, 3]]
+    other = J.Lists("row_id", "health")
+    of_health = other.named(found.where("row_id = 3").withColumn("row_id", F.lit(6).cast("long")))
+    names = named.unionByName(of_health).groupBy("row_id").agg(*J.list_names(named))
+    every = every.unionByName(other.all())
+    assert every.count() == every.select("list_ids").distinct().count() == 3
+
+    mapped = names.where("row_id <> 5").select(
+        F.lit(K.MULTIPLE).alias("mapping_status"), F.lit("Multiple Rate Master groups matched. Matching Group IDs: x").alias("failure_reason"), F.col("list_ids").alias("match_ids"))
+    mapped = mapped.unionByName(spark.range(2).select(
+        F.lit(K.NO_MATCH).alias("mapping_status"), F.lit("Failed on: Policy: rto no — RTO 'x' is bad").alias("failure_reason"), F.array().cast("array<binary>").alias("match_ids")))
+    got = sorted((r["kind"], len(r["group_ids"]), r["n"]) for r in G.coverage_gaps(mapped, lists=every).collect())
+    assert got == [("multiple_matches", 2, 3), ("multiple_matches", 22, 2), ("no_match", 0, 2)]
